@@ -43,6 +43,9 @@ SCOPE = frozenset("table td th caption html body article section div main aside
 ENDS_P = BLOCK - frozenset(["br", "html", "body", "td", "th", "tr", "tbody", "thead", "tfoot"])
 INLINE = frozenset("b i em strong a span u s small big code font tt abbr cite mark q sub sup ins del label time var kbd samp strike".split())
 
+#: Elements that are menus where links make up most of them, outside of articles.
+LISTS = frozenset("ul ol dl div section table center".split())
+
 #: Words in class, id, role or aria-label that mark what is not the article.
 NOISE = re.compile(r"(?:^|[\s_\-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|comments?|replies|respond|disqus|sidebar|side|widget|related|recommend\w*|share|sharing|social|cookies?|consent|gdpr|notice|popup|modal|newsletter|subscribe|signup|login|breadcrumbs?|pagination|pager|menu|nav\w*|footer|masthead|toolbar|copyright|skip|tags?|contentinfo|complementary|navigation|search|alert)(?=$|[\s_\-])", re.I)
 WHOLE = frozenset("html body main article".split())
@@ -209,6 +212,7 @@ def blocks(node: Node) -> list[str]:
         if text:
             out.append(text)
 
+    loose = not _in_article(node)
     stack: list[Node | str | None] = [node]
     while stack:
         x = stack.pop()
@@ -220,6 +224,8 @@ def blocks(node: Node) -> list[str]:
             continue
         elif x.name == "header" and not _in_article(x):
             continue
+        elif loose and x is not node and x.name in LISTS and 2 * x.link_characters > x.characters:
+            continue  # a menu
         else:
             if x.name in BLOCK:
                 flush()

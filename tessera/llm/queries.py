@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact, html, mixing, quality
+from . import bpe, exact, html, mixing, quality, tokencount
 from .tables import read
 
 
@@ -32,8 +32,12 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(read(spark, sf_dir, "documents"), with_ids=False)
 
 
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.token_counts(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_html_extraction, op4_mixing, op6_quality_rules, op7_bpe)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_html_extraction, op4_mixing, op6_quality_rules, op7_bpe, op8_token_counts)}
 
 
 BARE = r"regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g')"

@@ -89,7 +89,7 @@ def slices(data: np.ndarray, off: np.ndarray, size: int = SLICE_BYTES) -> Iterat
 
 
 def prefix_hash(data: np.ndarray) -> np.ndarray:
-    """P with P[j] - P[i] the polynomial hash of bytes i..j-1, still scaled by BASE**i."""
+    """P with P[j] - P[i] the polynomial hash of elements i..j-1 (bytes or word hashes), still scaled by BASE**i."""
     out = np.zeros(len(data) + 1, dtype=np.uint64)
     with np.errstate(over="ignore"):
         np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(BASE, len(data)), out=out[1:])

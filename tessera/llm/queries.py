@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact, html, jaccard, mixing, quality, tokencount
+from . import bpe, exact, html, jaccard, mixing, quality, tokencount, wordrepeats
 from .tables import read
 
 
@@ -40,8 +40,12 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.token_counts(read(spark, sf_dir, "documents"))
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wordrepeats.drop_repeated_words(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_html_extraction, op4_mixing, op5_ngram_jaccard_join, op6_quality_rules, op7_bpe, op8_token_counts)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_html_extraction, op4_mixing, op5_ngram_jaccard_join, op6_quality_rules, op7_bpe, op8_token_counts, op10_substring_dedup)}
 
 
 BARE = r"regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g')"

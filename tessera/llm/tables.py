@@ -38,3 +38,23 @@ def spread(spark: SparkSession) -> int:
 def bucket_of(n: int, *cols: Column) -> Column:
     """Deterministic bucket 0..n-1 of the columns' values; repeated rows share a bucket."""
     return F.pmod(F.xxhash64(*cols), F.lit(n)).cast("int")
+
+
+#: Bytes of input that one group of documents holds at most, on average, when the input is large.
+GROUP_BYTES = 256 << 20
+
+
+def groups_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(grp, doc_id, text): documents dealt by id into groups that one task can hold.
+
+    There are as many groups as ``spread`` says, more where Spark's estimate of the input's size
+    would make groups of over GROUP_BYTES.
+    """
+    try:
+        size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except Exception as e:  # no estimate in this kind of session
+        if "_jdf" not in str(e):
+            raise
+        size = 0
+    n = max(spread(docs.sparkSession), min(size // GROUP_BYTES, 1 << 20))
+    return docs.select(bucket_of(n, F.col(id_col)).alias("grp"), F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact, html, jaccard, mixing, quality, tokencount, wordrepeats
+from . import bpe, bytesuffix, exact, html, jaccard, mixing, quality, tokencount, wordrepeats
 from .tables import read
 
 
@@ -19,6 +19,10 @@ def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(read(spark, sf_dir, "pages"))
 
 
+def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bytesuffix.drop_repeated_bytes(read(spark, sf_dir, "documents"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -45,7 +49,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_html_extraction, op4_mixing, op5_ngram_jaccard_join, op6_quality_rules, op7_bpe, op8_token_counts, op10_substring_dedup)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_html_extraction, op3_suffix_array_dedup, op4_mixing, op5_ngram_jaccard_join, op6_quality_rules, op7_bpe, op8_token_counts, op10_substring_dedup)}
 
 
 BARE = r"regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g')"

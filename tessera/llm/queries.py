@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
+
 from . import bpe, brown, bytesuffix, exact, html, jaccard, mixing, quality, tokencount, wordrepeats
 from .tables import read
 
@@ -52,8 +54,11 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wordrepeats.drop_repeated_words(read(spark, sf_dir, "documents"))
 
 
+OPERATORS = (op1_exact_dedup, op2_html_extraction, op3_suffix_array_dedup, op4_mixing, op5_ngram_jaccard_join, op6_quality_rules, op7_bpe, op8_token_counts, op9_lm_scoring, op10_substring_dedup)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_html_extraction, op3_suffix_array_dedup, op4_mixing, op5_ngram_jaccard_join, op6_quality_rules, op7_bpe, op8_token_counts, op9_lm_scoring, op10_substring_dedup)}
+    return {f.__name__: f for f in OPERATORS} | {"pipeline": corpus_pipeline.run}
 
 
 BARE = r"regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g')"

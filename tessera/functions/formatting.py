@@ -13,7 +13,7 @@ def format_float(x: float, single: bool = False) -> str:
         return "inf" if x > 0 else "-inf"
     value = np.float32(x) if single else np.float64(x)
     size = abs(float(x))
-    if size != 0 and (size >= 1e16 or size < 1e-5):
+    if size != 0 and (size >= 1e16 or size < 1e-4):
         digits, _, power = np.format_float_scientific(value, trim="-").partition("e")
         return f"{digits}e{int(power)}"
     return np.format_float_positional(value, unique=True, trim="0")

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.formatting import format_value
+from ..functions.formatting import format_float, format_value
 
 
 def text_lines(df: DataFrame) -> Iterator[str]:
@@ -37,11 +38,7 @@ def write_text(df: DataFrame, path: str) -> None:
     df.select(F.concat(F.concat_ws("|", *shown), F.lit("|")).alias("value")).write.mode("overwrite").text(path)
 
 
-def _float_text(c, single: bool):
-    import pandas as pd
-
-    from ..functions.formatting import format_float
-
+def _float_text(c: Column, single: bool) -> Column:
     @F.pandas_udf("string")
     def show(values: pd.Series) -> pd.Series:
         return values.map(lambda x: format_float(x, single))

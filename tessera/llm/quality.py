@@ -51,12 +51,10 @@ def count_slice(data: np.ndarray, off: np.ndarray) -> list[np.ndarray]:
     # lines, white space included; those without a word do not count
     edge = np.flatnonzero(data == 10)
     doc = np.searchsorted(off, edge, "right") - 1
-    begin = np.concatenate([off[:-1], edge + 1])
-    stop = np.concatenate([edge, off[1:]])
-    own = np.concatenate([np.arange(n), doc])
-    order = np.argsort(begin * 2 + (np.arange(len(begin)) < n) * 0, kind="stable")
-    begin, own = begin[order], own[order]
-    stop = np.sort(stop, kind="stable")
+    begin, stop = np.concatenate([off[:-1], edge + 1]), np.concatenate([edge, off[1:]])
+    own, until = np.concatenate([np.arange(n), doc]), np.concatenate([doc, np.arange(n)])
+    order = np.lexsort((begin, own))
+    begin, own, stop = begin[order], own[order], stop[np.lexsort((stop, until))]
     lines = np.bincount(own, minlength=n)
     has_word = np.searchsorted(starts, stop) > np.searchsorted(starts, begin)
     begin, stop, own = begin[has_word], stop[has_word], own[has_word]

@@ -70,4 +70,13 @@ g AS (SELECT *, row_number() OVER (PARTITION BY text_sha256 ORDER BY n_chars DES
   first_value(doc_id) OVER (PARTITION BY text_sha256 ORDER BY n_chars DESC, doc_id) AS keep_id,
   count(*) OVER (PARTITION BY text_sha256) AS group_size FROM d)
 SELECT doc_id, keep_id, group_size, rn = 1 AS kept, text_sha256 FROM g""",
+    "op10_substring_dedup": r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+g AS (SELECT doc_id, i, array_to_string(list_slice(ws, i, i + 12), ' ') AS gram FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM d WHERE len(ws) >= 13)),
+m AS (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY gram) AS low FROM g),
+c AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS p FROM m WHERE low < doc_id),
+w AS (SELECT doc_id, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS p FROM d),
+k AS (SELECT w.doc_id, count(c.p) AS gone, string_agg(w, ' ' ORDER BY w.p) FILTER (WHERE c.p IS NULL) AS kept FROM w LEFT JOIN c ON w.doc_id = c.doc_id AND w.p = c.p GROUP BY w.doc_id)
+SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN k ON d.doc_id = k.doc_id""",
 }

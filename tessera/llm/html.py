@@ -173,7 +173,12 @@ def density(node: Node, share: float) -> float:
 
 def main_node(root: Node) -> Node:
     """The subtree with the largest density sum among those that reach the threshold of the body's path."""
-    nodes = [n for n in measure(root) if not _inside_aside(n)]
+    nodes = measure(root)
+    for n in nodes:
+        # a mark on the frame around the whole article ("with-sidebar") does not mean the article
+        if n.aside and n.name not in ("nav", "footer", "aside", "menu") and _frames(n, root) and not any(x.name in ("article", "main") and not _inside_aside(x) for x in nodes):
+            n.aside = False
+    nodes = [n for n in nodes if not _inside_aside(n)]
     if not nodes:
         return root
     top = max(nodes, key=lambda n: n.sum)
@@ -193,6 +198,12 @@ def main_node(root: Node) -> Node:
     return found or best
 
 
+def _frames(node: Node, root: Node) -> bool:
+    """Does an element hold the article, or the first heading and most of the page's text?"""
+    inner = {n.name for n in walk(node)}
+    return "article" in inner or "main" in inner or ("h1" in inner and 2 * node.characters > root.characters)
+
+
 def _inside_aside(node: Node | None) -> bool:
     while node is not None:
         if node.aside:

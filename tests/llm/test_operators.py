@@ -113,7 +113,9 @@ def test_jaccard_in_chunks(docs, rows, none, monkeypatch):
     assert ids == sorted(i for i, _, c in brute.jaccard(pairs(rows), 5, 80) if i is not None and i == c)
 
 
-def test_components(spark):
+@pytest.mark.parametrize("few", [200_000, 0])
+def test_components(spark, monkeypatch, few):
+    monkeypatch.setattr(components, "FEW_EDGES", few)
     r = random.Random(5)
     edges = [(k, k + 1) for k in range(100, 160)] + [(7, x) for x in range(200, 260)] + [(r.randrange(300, 400), r.randrange(300, 400)) for _ in range(70)] + [(9, 9)]
     got = dict(tuple(x) for x in components.components(spark.createDataFrame(edges, "a long, b long").repartition(5)).collect())

@@ -23,12 +23,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
 from .packed import DDL, Box, bucket, find, unpack
-from .tables import groups_of, materialise, spread
+from .tables import group_count, groups_of, materialise
 
 #: A word with at least this share of the tokens (one in SHARE) is a unit of its own.
 SHARE = 2000
@@ -251,9 +251,8 @@ class Model:
         return seen - np.log10(self.total + self.kinds + 1.0), self.step[before, own] + seen - self.space[own]
 
 
-def learn(spark: SparkSession, rows: DataFrame, classes: int = CLASSES) -> tuple[Model, DataFrame]:
-    """The model of the training rows of (doc_id, text), and its vocabulary: a message row for each bucket."""
-    n = spread(spark)
+def learn(rows: DataFrame, n: int, classes: int = CLASSES) -> tuple[Model, DataFrame]:
+    """The model of the training rows of (doc_id, text), and its vocabulary: a message row for each of n buckets."""
     counted = rows.mapInArrow(count_batches(n), DDL)
     vocabulary = materialise(counted.groupBy("bucket").applyInArrow(sum_words, DDL))
     sums = vocabulary.mapInArrow(frequent_batches(np.inf), "word long, count long, shape long, kinds long").agg(F.sum("count"), F.sum("kinds")).first()
@@ -270,7 +269,7 @@ def learn(spark: SparkSession, rows: DataFrame, classes: int = CLASSES) -> tuple
     size = len(units)
     pairs = np.zeros(size * size, dtype=np.float32)
     counted = rows.mapInArrow(bigram_batches(units, n), DDL).groupBy("bucket").applyInArrow(sum_pairs, DDL)
-    for _, _, _, a, b, _ in counted.toLocalIterator():  # at most (SHARE + SHAPES)**2 counts in all
+    for a, b in counted.select("a", "b").collect():  # at most (SHARE + SHAPES)**2 counts in all, 100 MB
         pairs[np.frombuffer(a, I)] = np.frombuffer(b, I)
     pairs = pairs.reshape(size, size)
     own = exchange(pairs, classes)
@@ -337,10 +336,9 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", class
     the end; repeated rows count each; a null id is trained on; an empty table gives an empty
     result, and with nothing to train on every word is unseen.
     """
-    spark = docs.sparkSession
-    base = groups_of(docs, id_col, text_col)
-    model, vocabulary = learn(spark, base.select("doc_id", "text"), classes)
-    n = spread(spark)
+    n = group_count(docs)
+    base = groups_of(docs, n, id_col, text_col)
+    model, vocabulary = learn(base.select("doc_id", "text"), n, classes)
     asked = base.groupBy("grp").applyInArrow(ask_words(n), DDL)
     told = asked.groupBy("bucket").cogroup(vocabulary.groupBy("bucket")).applyInArrow(answer_words, DDL)
     kind = docs.schema[id_col].dataType.simpleString()

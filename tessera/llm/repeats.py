@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 
 from . import kernels as K
 from .packed import DDL, Box, bucket, find, unpack
-from .tables import groups_of, spread
+from .tables import group_count, groups_of
 
 #: Contexts of one gram that are compared in one place.
 MANY = 20_000
@@ -336,9 +336,9 @@ class Repeats:
         raise NotImplementedError
 
     def run(self, docs: DataFrame, id_col: str, text_col: str, schema: str) -> DataFrame:
-        base = groups_of(docs, id_col, text_col)
+        n = group_count(docs)
+        base = groups_of(docs, n, id_col, text_col)
         kind = docs.schema[id_col].dataType.simpleString()
-        n = spread(docs.sparkSession)
         told = base.groupBy("grp").applyInArrow(self.ask_grams(n), DDL)
         told = told.groupBy("bucket").applyInArrow(_of_table(self.answer_grams), DDL)
         for ask, answer in ((self.ask_contexts(n), self.answer_contexts), (self.ask_contents(n), self.answer_contents)):

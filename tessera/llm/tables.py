@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,7 +16,25 @@ SPACES = " \t\n\x0b\f\r"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors once, for those that do not have it on their path."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    _shipped.add(context.applicationId)
+    package = Path(__file__).resolve().parents[1]
+    archive = Path(tempfile.mkdtemp()) / f"{package.name}.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, str(f.relative_to(package.parent)))
+    context.addPyFile(str(archive))  # the driver serves it; executors need no access to the folder
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -43,21 +65,29 @@ def bucket_of(n: int, *cols: Column) -> Column:
     return F.pmod(F.xxhash64(*cols), F.lit(n)).cast("int")
 
 
-#: Bytes of input that one group of documents holds at most, on average, when the input is large.
-GROUP_BYTES = 256 << 20
+#: Bytes of input in a group of documents: no group is meant to hold less than the first, nor more than the second.
+GROUP_LEAST, GROUP_MOST = 4 << 20, 256 << 20
 
 
-def groups_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(grp, doc_id, text): documents dealt by id into groups that one task can hold.
+def input_bytes(df: DataFrame) -> int | None:
+    """Spark's estimate of a DataFrame's size; None where a session gives none."""
+    if not hasattr(df, "_jdf"):
+        return None
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
-    There are as many groups as ``spread`` says, more where Spark's estimate of the input's size
-    would make groups of over GROUP_BYTES.
+
+def group_count(docs: DataFrame) -> int:
+    """Number of groups, and of buckets, for messages between them (see packed.py).
+
+    As many as ``spread`` says, but no more than groups of GROUP_LEAST bytes allow, since messages
+    grow with groups times buckets, and no fewer than groups of GROUP_MOST bytes need.
     """
-    try:
-        size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except Exception as e:  # no estimate in this kind of session
-        if "_jdf" not in str(e):
-            raise
-        size = 0
-    n = max(spread(docs.sparkSession), min(size // GROUP_BYTES, 1 << 20))
+    n, size = spread(docs.sparkSession), input_bytes(docs)
+    if size is None:
+        return n
+    return max(4, min(n, size // GROUP_LEAST), min(size // GROUP_MOST, 1 << 20))
+
+
+def groups_of(docs: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
+    """(grp, doc_id, text): documents dealt by id into n groups that one task can hold."""
     return docs.select(bucket_of(n, F.col(id_col)).alias("grp"), F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))

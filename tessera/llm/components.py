@@ -4,6 +4,7 @@ Edges are first contracted inside each partition, then rounds of large stars (ev
 neighbour of a node goes to the smallest) and small stars (every smaller neighbour does) follow
 until nothing changes; each round starts from a table in the shared checkpoint folder.  A node
 with many neighbours is met with partial minima and with joins that adaptive execution may split.
+A table of at most FEW_EDGES contracted edges is finished by one task instead.
 """
 
 from __future__ import annotations
@@ -17,6 +18,9 @@ from pyspark.sql import functions as F
 
 from .tables import materialise
 
+#: Edges that one task may contract: about 40 MB of its memory.
+FEW_EDGES = 200_000
+
 
 class Forest:
     """Union-find over any hashable nodes; the smallest node of a tree is its root."""
@@ -64,9 +68,13 @@ def _tell(edges: DataFrame) -> tuple:
 
 def components(edges: DataFrame) -> DataFrame:
     """Edges (a long, b long) -> (node, root): each node of an edge that is not its component's smallest node, and that node."""
-    now = materialise(edges.filter("a <> b").mapInArrow(contract, "a long, b long"))
+    # written first, so that the Python workers that made the edges are not doubled by those that contract them
+    now = materialise(materialise(edges.filter("a <> b")).mapInArrow(contract, "a long, b long"))
     before = _tell(now)
     while True:
+        if before[0] <= FEW_EDGES:
+            now = now.repartition(1).mapInArrow(contract, "a long, b long")
+            return materialise(now).select(F.col("a").alias("node"), F.col("b").alias("root"))
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"))
         large = both.filter("b > a").join(least, F.col("a") == F.col("u")).select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()

@@ -31,12 +31,20 @@ from . import kernels as K
 from .components import components
 from .tables import bucket_of, materialise, spread
 
-#: Counters of the table that orders tokens: 2**COUNTER_BITS of 4 bytes, whatever the input.
-COUNTER_BITS = 21
-#: Bits of the parity bitmap.
+#: Counters of the table that orders tokens: 2**COUNTER_BITS, whatever the input.
+COUNTER_BITS = 20
+#: Bits of the table that tells which documents' texts are fetched: 2**FETCH_BITS, whatever the input.
+FETCH_BITS = 24
+#: Bits of the parity bitmap of sets of up to as many elements.
 BITS = 1024
-#: Members of a list or of a component that one task compares; larger ones are cut into chunks.
+#: Groups of a list whose pairs are told one by one; larger lists are compared as a whole.
+FEW = 64
+#: Members of a list that one task compares; larger ones are cut into chunks.
 CHUNK = 2048
+#: Shingles of a component's members that make a chunk.
+WEIGHT = 1 << 20
+#: Postings that are added up at a time.
+POSTINGS = 1 << 18
 #: Rows of the counter table.
 BLOCKS = 64
 
@@ -86,18 +94,23 @@ def count_batches(width: int):
                 token, _ = shingle_sets(part, cut, width)
                 table += np.bincount(_counter(token), minlength=len(table))
         if table.any():
-            rows = [np.minimum(x, 0xFFFFFFFF).astype(np.uint32).tobytes() for x in np.split(table, BLOCKS)]
+            rows = [_short(x) for x in np.split(table, BLOCKS)]
             yield pa.RecordBatch.from_arrays([pa.array(range(BLOCKS), pa.int32()), pa.array(rows, pa.binary())], names=["block", "counts"])
 
     return run
 
 
+def _short(x: np.ndarray) -> bytes:
+    """Counts as 16 bits, those beyond as the largest: counts only order tokens."""
+    return np.minimum(x, 0xFFFF).astype(np.uint16).tobytes()
+
+
 def add_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sums of the counter blocks of a partition."""
     total: dict[int, np.ndarray] = {}
     for batch in batches:
         for block, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            x = np.frombuffer(raw, np.uint32).astype(np.int64)
+            x = np.frombuffer(raw, np.uint16).astype(np.int64)
             total[block] = total[block] + x if block in total else x
     if total:
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([np.minimum(x, 0xFFFFFFFF).astype(np.uint32).tobytes() for x in total.values()], pa.binary())], names=["block", "counts"])
@@ -106,12 +119,11 @@ def add_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def token_classes(texts: DataFrame, width: int) -> np.ndarray:
     """Class of each counter: 0 for those near the mean, one more for each doubling (one byte each)."""
     parts = texts.mapInArrow(count_batches(width), "block int, counts binary")
-    # BLOCKS rows of fixed size: summed in two steps, so that no task reads all partitions' counters
+    # BLOCKS rows of fixed size from each of four parts, so that no task reads all partitions' counters
     parts = parts.repartition(BLOCKS * 4, F.col("block"), F.spark_partition_id() % 4).mapInArrow(add_counts, "block int, counts binary")
-    rows = parts.repartition(BLOCKS, "block").mapInArrow(add_counts, "block int, counts binary").collect()
     table = np.zeros(1 << COUNTER_BITS, dtype=np.int64)
     size = len(table) // BLOCKS
-    for block, raw in rows:
+    for block, raw in parts.collect():  # 4 * BLOCKS rows, 16 MB whatever the input
         table[block * size : (block + 1) * size] += np.frombuffer(raw, np.uint32)
     mean = max(4.0, table.sum() / len(table))
     return np.maximum(0, np.log2(np.maximum(table, 1) / mean)).astype(np.uint8)
@@ -124,8 +136,36 @@ def largest_difference(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray
     return both - 2 * least
 
 
+def set_names(token: np.ndarray, border: np.ndarray) -> np.ndarray:
+    """A 64-bit name of each document's set."""
+    with np.errstate(over="ignore"):
+        sums = np.concatenate([[np.uint64(0)], np.cumsum(K.mix(token + K.BASE), dtype=np.uint64)])
+        return K.mix((sums[border[1:]] - sums[border[:-1]]) + np.diff(border).astype(np.uint64) * K.BASE).view(np.int64)
+
+
+def parity_maps(mixed: np.ndarray, doc: np.ndarray, border: np.ndarray) -> list[bytes]:
+    """Of each document: whether an odd number of its elements fall on each bit, by the lowest bits of their hash.
+
+    A map has BITS bits, and more for larger sets: a power of two of at least the set's size, so
+    that maps of unlike sets stay unlike.
+    """
+    n = np.diff(border)
+    count = np.bincount(doc * BITS + (mixed & np.uint64(BITS - 1)).astype(np.int64), minlength=len(n) * BITS)
+    out = [x.tobytes() for x in np.packbits((count & 1).astype(np.uint8).reshape(len(n), BITS), axis=1)]
+    for d in np.flatnonzero(n > BITS).tolist():
+        bits = 1 << int(n[d] - 1).bit_length()
+        count = np.bincount((mixed[border[d] : border[d + 1]] & np.uint64(bits - 1)).astype(np.int64), minlength=bits)
+        out[d] = np.packbits((count & 1).astype(np.uint8)).tobytes()
+    return out
+
+
+def fold(raw: bytes, size: int) -> np.ndarray:
+    """A map as words, folded to ``size`` bytes: the parity of bits that agree in the lower part of their number."""
+    return np.bitwise_xor.reduce(np.frombuffer(raw, np.uint64).reshape(-1, size // 8), axis=0)
+
+
 def feature_batches(width: int, percent: int, classes):
-    """Arrow function: (doc_id, text) -> doc_id, n, node, prefix (bytes of uint64), bitmap."""
+    """Arrow function: (doc_id, text) -> doc_id, n, node, prefix (bytes of uint64), bitmap; node names the set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = classes.value
@@ -136,21 +176,17 @@ def feature_batches(width: int, percent: int, classes):
                 n = np.diff(at)
                 doc = np.repeat(np.arange(j - i), n)
                 mixed = K.mix(token + K.BASE)
-                with np.errstate(over="ignore"):
-                    sums = np.concatenate([[np.uint64(0)], np.cumsum(mixed, dtype=np.uint64)])
-                    node = K.mix((sums[at[1:]] - sums[at[:-1]]) + n.astype(np.uint64) * K.BASE)
+                node = set_names(token, at)
                 kind = table[_counter(token)]
                 order = np.lexsort((token, kind, doc))
                 rank = np.arange(len(token)) - np.repeat(at[:-1], n)
                 size = n - -(-percent * n // 100) + 1
                 head = token[order][rank < np.repeat(size, n)]
                 size = np.where(n > 0, size, 0)
-                bits = np.zeros((j - i) * BITS, dtype=np.uint8)
-                place = np.bincount(doc * BITS + (mixed & np.uint64(BITS - 1)).astype(np.int64), minlength=len(bits))
-                bits = np.packbits((place & 1).astype(np.uint8).reshape(j - i, BITS), axis=1)
+                maps = parity_maps(mixed, doc, at)
                 raw, border = head.tobytes(), np.concatenate([[0], np.cumsum(size)]) * 8
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, j - i), pa.array(n), pa.array(node.view(np.int64)), pa.array([raw[a:b] for a, b in zip(border[:-1], border[1:], strict=True)], pa.binary()), pa.array([b.tobytes() for b in bits], pa.binary())],
+                    [batch.column(0).slice(i, j - i), pa.array(n), pa.array(node), pa.array([raw[a:b] for a, b in zip(border[:-1], border[1:], strict=True)], pa.binary()), pa.array(maps, pa.binary())],
                     names=["doc_id", "n", "node", "prefix", "bitmap"],
                 )
 
@@ -169,7 +205,11 @@ def posting_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 
 def shared_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(token, g) of a partition -> (list, g) for tokens of two groups or more; long lists as pairs of chunks."""
+    """(token, g) of a partition -> (list, g, h) for tokens of two groups or more.
+
+    Lists of up to FEW groups give their pairs (null, g, h); longer ones their members (list, g,
+    null), and those beyond CHUNK members each pair of their chunks as a list of its own.
+    """
     tokens, groups = [], []
     for batch in batches:
         tokens.append(batch.column(0).to_numpy(zero_copy_only=False))
@@ -177,13 +217,27 @@ def shared_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     token, group = K.rejoin(tokens), K.rejoin(groups)
     order = np.lexsort((group, token))
     token, group = token[order], group[order]
-    new = np.ones(len(token), dtype=bool)
-    new[1:] = token[1:] != token[:-1]
-    head = np.flatnonzero(new)
+    head = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])) if len(token) else token
     size = np.diff(np.append(head, len(token)))
+
+    def rows(key: np.ndarray | None, g: np.ndarray, h: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+        for k in range(0, len(g), 50_000):
+            part = [pa.nulls(len(g[k : k + 50_000]), pa.int64()) if x is None else pa.array(x[k : k + 50_000]) for x in (key, g, h)]
+            yield pa.RecordBatch.from_arrays(part, names=["list", "g", "h"])
+
+    found = [np.zeros((0, 2), dtype=np.int64)]
+    for k in np.unique(size[(size > 1) & (size <= FEW)]).tolist():
+        i, j = np.triu_indices(k, 1)
+        at = head[size == k]
+        step = max(1, 200_000 // len(i))
+        for s in range(0, len(at), step):
+            pair = np.stack([group[at[s : s + step, None] + i].ravel(), group[at[s : s + step, None] + j].ravel()], axis=1)
+            found.append(np.unique(pair, axis=0))
+    pair = np.unique(np.concatenate(found), axis=0)
+    yield from rows(None, pair[:, 0].copy(), pair[:, 1].copy())
     full = np.repeat(size, size)
-    some = (full > 1) & (full <= CHUNK)
-    out = [(token[some], group[some])]
+    some = (full > FEW) & (full <= CHUNK)
+    yield from rows(token[some], group[some], None)
     for h, k in zip(head[size > CHUNK], size[size > CHUNK], strict=True):
         chunk = np.arange(k) * -(-k // CHUNK) // k
         last = int(chunk[-1]) + 1
@@ -191,55 +245,78 @@ def shared_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in range(a + 1, last):
                 own = (chunk == a) | (chunk == b)
                 key = K.mix(np.array([token[h]], np.int64).view(np.uint64) + np.uint64(1 + a * last + b)).view(np.int64)
-                out.append((np.repeat(key, own.sum()), group[h : h + k][own]))
-    for t, g in out:
-        for k in range(0, len(t), 50_000):
-            yield pa.RecordBatch.from_arrays([pa.array(t[k : k + 50_000]), pa.array(g[k : k + 50_000])], names=["list", "g"])
+                yield from rows(np.repeat(key, own.sum()), group[h : h + k][own], None)
+
+
+class Maps:
+    """Parity maps of many sets: folded to BITS bits as a matrix, and the longer ones in full."""
+
+    def __init__(self, columns: list[pa.Array]) -> None:
+        raw = [x for c in columns for x in c.to_pylist()]
+        self.free = np.array([x is None for x in raw], dtype=bool)
+        self.long = {i: x for i, x in enumerate(raw) if x is not None and len(x) > BITS // 8}
+        nothing = bytes(BITS // 8)
+        self.short = np.frombuffer(b"".join(nothing if x is None or len(x) > BITS // 8 else x for x in raw), np.uint64).reshape(len(raw), -1)
+        if self.long:
+            self.short = self.short.copy()
+            for i, x in self.long.items():
+                self.short[i] = fold(x, BITS // 8)
+
+
+def possible(n: np.ndarray, m: np.ndarray, x: Maps, at: np.ndarray, y: Maps, to: np.ndarray, percent: int) -> np.ndarray:
+    """Can sets ``at`` of x, of sizes n, and sets ``to`` of y, of sizes m, be similar enough?  Those without a map can."""
+    ok = 100 * np.minimum(n, m) >= percent * np.maximum(n, m)
+    most = largest_difference(n, m, percent)
+    free = x.free[at] | y.free[to]
+    ok[ok] = free[ok] | (np.bitwise_count(x.short[at[ok]] ^ y.short[to[ok]]).sum(axis=1).astype(np.int64) <= most[ok])
+    if x.long and y.long:
+        for k in np.flatnonzero(ok & ~free & (n > BITS) & (m > BITS)).tolist():
+            a, b = x.long[int(at[k])], y.long[int(to[k])]
+            size = min(len(a), len(b))
+            ok[k] = int(np.bitwise_count(fold(a, size) ^ fold(b, size)).sum()) <= most[k]
+    return ok
+
+
+def pair_batches(percent: int):
+    """Arrow function: (a, b, n, m, bitmap, other) -> the pairs (a, b) that can be similar enough."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b, n, m = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+            row = np.arange(batch.num_rows)
+            ok = possible(n, m, Maps([batch.column(4)]), row, Maps([batch.column(5)]), row, percent)
+            yield pa.RecordBatch.from_arrays([pa.array(a[ok]), pa.array(b[ok])], names=["a", "b"])
+
+    return run
 
 
 def candidate_batches(percent: int):
     """Arrow function: rows (list, g, n, bitmap) of whole lists -> a spanning forest of the pairs that pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cols: list[list[np.ndarray]] = [[], [], [], []]
-        maps: list[np.ndarray] = []
+        cols: list[list[np.ndarray]] = [[], [], []]
+        columns: list[pa.Array] = []
         for batch in batches:
             for i in range(3):
                 cols[i].append(batch.column(i).to_numpy(zero_copy_only=False))
-            cols[3].append(batch.column(3).is_null().to_numpy(zero_copy_only=False))
-            raw = batch.column(3).fill_null(b"\0" * (BITS // 8))
-            maps.append(np.frombuffer(b"".join(raw.to_pylist()), np.uint64).reshape(batch.num_rows, -1))
-        if not maps:
+            columns.append(batch.column(3))
+        if not columns:
             return
-        key, group, n, free = (np.concatenate(c) for c in cols)
-        bitmap = np.concatenate(maps)
+        key, group, n = (np.concatenate(c) for c in cols)
+        maps = Maps(columns)
         order = np.lexsort((group, n, key))
-        key, group, n, free, bitmap = key[order], group[order], n[order], free[order], bitmap[order]
-        head = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        head = np.flatnonzero(np.concatenate([[True], key[order[1:]] != key[order[:-1]]]))
         size = np.diff(np.append(head, len(key)))
 
         def passes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-            """Can the sets of rows a and b (n[a] <= n[b]) be similar enough?"""
-            ok = 100 * n[a] >= percent * n[b]
-            a, b = a[ok], b[ok]
-            far = np.bitwise_count(bitmap[a] ^ bitmap[b]).sum(axis=1).astype(np.int64)
-            ok[ok] = free[a] | free[b] | (far <= largest_difference(n[a], n[b], percent))
-            return ok
+            a, b = order[a], order[b]
+            return possible(n[a], n[b], maps, a, maps, b, percent)
 
         left, right = [], []
-        for k in np.unique(size[(size > 1) & (size <= 32)]):  # short lists together
-            h = head[size == k]
-            i, j = np.triu_indices(int(k), 1)
-            for s in range(0, len(h), max(1, 200_000 // len(i))):
-                part = h[s : s + max(1, 200_000 // len(i))]
-                a, b = (part[:, None] + i).ravel(), (part[:, None] + j).ravel()
-                ok = passes(a, b)
-                left.append(group[a[ok]])
-                right.append(group[b[ok]])
-        for h, k in zip(head[size > 32].tolist(), size[size > 32].tolist(), strict=True):
-            for a, b in forest_by_pivots(k, lambda x, others, h=h: others[passes(np.minimum(x, others) + h, np.maximum(x, others) + h)]):
-                left.append(group[h + a : h + a + 1])
-                right.append(group[h + b : h + b + 1])
+        for h, k in zip(head.tolist(), size.tolist(), strict=True):
+            for a, b in forest_by_pivots(k, lambda x, others, h=h: others[passes(np.full(len(others), x + h), others + h)]):
+                left.append(group[order[h + a : h + a + 1]])
+                right.append(group[order[h + b : h + b + 1]])
         a, b = K.rejoin(left), K.rejoin(right)
         pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
         yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["a", "b"])
@@ -275,16 +352,23 @@ def verify_block(width: int, percent: int):
     """Arrow function over one block of members: (block, node, text) -> a spanning forest of the exact links."""
 
     def run(table: pa.Table) -> pa.Table:
-        node = table.column("node").to_numpy()
-        node, at = np.unique(node, return_index=True)
-        data, off = K.text_arrays(table.column("text").combine_chunks().take(pa.array(at)))
-        tokens, sizes = [], []
-        for _, _, part, cut in K.slices(data, off):
+        named = table.column("node").to_numpy()
+        data, off = K.text_arrays(table.column("text"))
+        nodes, tokens, sizes = [], [], []
+        for i, j, part, cut in K.slices(data, off):
             token, border = shingle_sets(part, cut, width)
-            tokens.append(token)
-            sizes.append(np.diff(border))
-        token, n = K.rejoin(tokens, np.uint64), K.rejoin(sizes)
-        own = np.repeat(np.arange(len(n)), n)
+            node = set_names(token, border)
+            keep = node == named[i:j]  # an id may stand for several texts
+            nodes.append(node[keep])
+            tokens.append(token[np.repeat(keep, np.diff(border))])
+            sizes.append(np.diff(border)[keep])
+        node, token, n = K.rejoin(nodes), K.rejoin(tokens, np.uint64), K.rejoin(sizes)
+        _, first = np.unique(node, return_index=True)
+        if len(first) < len(node):  # repeated rows
+            once = np.zeros(len(node), dtype=bool)
+            once[first] = True
+            node, token, n = node[once], token[np.repeat(once, n)], n[once]
+        own = np.repeat(np.arange(len(n), dtype=np.int32), n)
         _, token = np.unique(token, return_inverse=True)
         order = np.argsort(token, kind="stable")
         holder, begin = own[order], np.concatenate([[0], np.cumsum(np.bincount(token))])
@@ -294,8 +378,15 @@ def verify_block(width: int, percent: int):
             mine = token[border[x] : border[x + 1]]
             size = begin[mine + 1] - begin[mine]
             total = np.cumsum(size)
-            spots = np.arange(total[-1]) + np.repeat(begin[mine] - (total - size), size)
-            common = np.bincount(holder[spots], minlength=len(n))[others]
+            common = np.zeros(len(n), dtype=np.int64)
+            at = 0
+            while at < len(mine):  # so many postings at a time
+                to = max(at + 1, int(np.searchsorted(total, total[at] - size[at] + POSTINGS, "right")))
+                s, base = size[at:to], total[at] - size[at]
+                spots = np.arange(total[to - 1] - base) + np.repeat(begin[mine[at:to]] - (total[at:to] - base - s), s)
+                common += np.bincount(holder[spots], minlength=len(n))
+                at = to
+            common = common[others]
             return others[100 * common >= percent * (n[x] + n[others] - common)]
 
         edges = forest_by_pivots(len(n), linked) if len(n) else []
@@ -319,26 +410,36 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     classes = spark.sparkContext.broadcast(token_classes(rows.select("text"), width))
     features = materialise(rows.mapInArrow(feature_batches(width, percent, classes), f"doc_id {kind}, n long, node long, prefix binary, bitmap binary"))
-    sets = features.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("bitmap").alias("bitmap"))
-    sets = materialise(sets.withColumn("like", F.xxhash64("prefix", "n")))
-    groups = sets.groupBy("like").agg(F.min("node").alias("g"), F.count(F.lit(1)).alias("members"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("bitmap").alias("bitmap"))
-    groups = groups.select("like", "g", "n", "prefix", F.when(F.col("members") == 1, F.col("bitmap")).alias("bitmap"))
+    full = features.filter("n > 0").withColumn("like", F.xxhash64("prefix", "n"))
+    sets = materialise(full.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("like").alias("like")))
+    groups = full.groupBy("like").agg(F.min("node").alias("g"), F.max("node").alias("_last"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("bitmap").alias("bitmap"))
+    groups = groups.select("like", "g", "n", "prefix", F.when(F.col("g") == F.col("_last"), F.col("bitmap")).alias("bitmap"))
     n = spread(spark) // 2
-    lists = groups.select("g", "prefix").mapInArrow(posting_batches, "token long, g long").repartition(n, "token").mapInArrow(shared_lists, "list long, g long")
-    lists = lists.join(groups.select("g", "n", "bitmap"), "g").select("list", "g", "n", "bitmap")
-    pairs = lists.repartition(n, "list").mapInArrow(candidate_batches(percent), "a long, b long")
+    lists = groups.select("g", "prefix").mapInArrow(posting_batches, "token long, g long").repartition(n, "token").mapInArrow(shared_lists, "list long, g long, h long")
+    lists = materialise(lists)
+    maps = groups.select(F.col("g").alias("_g"), "n", "bitmap")
+    two = lists.filter("list is null").select(F.col("g").alias("a"), F.col("h").alias("b")).distinct()
+    two = two.join(maps, F.col("a") == F.col("_g")).select("a", "b", "n", "bitmap")
+    two = two.join(maps.select("_g", F.col("n").alias("m"), F.col("bitmap").alias("other")), F.col("b") == F.col("_g")).select("a", "b", "n", "m", "bitmap", "other")
+    many = lists.filter("list is not null").select("list", "g").join(maps, F.col("g") == F.col("_g")).select("list", "g", "n", "bitmap")
+    pairs = two.mapInArrow(pair_batches(percent), "a long, b long").union(many.repartition(n, "list").mapInArrow(candidate_batches(percent), "a long, b long"))
     # members of a group are candidates of each other
-    members = sets.join(groups.select("like", "g"), "like").filter("node <> g").select(F.col("node").alias("a"), F.col("g").alias("b"))
+    members = sets.join(sets.groupBy("like").agg(F.min("node").alias("g")), "like").filter("node <> g").select(F.col("node").alias("a"), F.col("g").alias("b"))
     tied = components(pairs.union(members))
-    tied = materialise(tied.union(tied.select(F.col("root").alias("node"), "root").distinct()))
+    tied = tied.union(tied.select(F.col("root").alias("node"), "root").distinct())
     # chunks of a component, and every pair of chunks as a block
-    sizes = tied.groupBy("root").agg(F.count(F.lit(1)).alias("size")).withColumn("chunks", F.ceil(F.col("size") / CHUNK).cast("int"))
+    tied = materialise(tied.join(sets.select("node", "rep", "n"), "node"))
+    sizes = tied.groupBy("root").agg(F.sum("n").alias("size")).withColumn("chunks", F.ceil(F.col("size") / WEIGHT).cast("int"))
     members = tied.join(sizes.select(F.col("root").alias("_root"), "chunks"), F.col("root") == F.col("_root")).drop("_root")
-    members = members.join(sets.select("node", "rep"), "node").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
+    members = members.withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
     members = members.withColumn("other", F.explode(F.when(F.col("chunks") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("chunks") - 1), lambda c: c != F.col("chunk")))))
     members = members.select("rep", "node", F.xxhash64("root", F.least("chunk", "other"), F.greatest("chunk", "other")).alias("block"))
-    found = members.join(rows.withColumnRenamed("doc_id", "rep_id"), F.col("rep").eqNullSafe(F.col("rep_id"))).select("block", "node", "text")
-    found = found.mapInArrow(same_text(width), "block long, node long, text string")
+    # a table of bits, at most 2**(FETCH_BITS - 6) rows, keeps the other documents' texts from being moved
+    spot = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << FETCH_BITS))
+    wanted = tied.select(spot("rep").alias("bit")).groupBy(F.shiftright("bit", 6).alias("_w")).agg(F.expr("bit_or(shiftleft(1L, cast(bit % 64 as int)))").alias("_v"))
+    texts = rows.withColumn("_bit", spot("doc_id")).join(F.broadcast(wanted), F.shiftright("_bit", 6) == F.col("_w"))
+    texts = texts.filter(F.expr("(shiftrightunsigned(_v, cast(_bit % 64 as int)) & 1L) = 1")).select(F.col("doc_id").alias("rep_id"), "text")
+    found = members.join(texts, F.col("rep").eqNullSafe(F.col("rep_id"))).select("block", "node", "text")
     links = found.groupBy("block").applyInArrow(verify_block(width, percent), T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())]))
     roots = components(links)
     out = features.select("doc_id", "n", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -348,25 +449,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("low")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def same_text(width: int):
-    """Arrow function: keep the rows whose text has the node's set (an id may stand for several texts)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, off = K.text_arrays(batch.column(2))
-            node = batch.column(1).to_numpy(zero_copy_only=False)
-            keep = []
-            for i, j, part, cut in K.slices(data, off):
-                token, at = shingle_sets(part, cut, width)
-                with np.errstate(over="ignore"):
-                    sums = np.concatenate([[np.uint64(0)], np.cumsum(K.mix(token + K.BASE), dtype=np.uint64)])
-                    own = K.mix((sums[at[1:]] - sums[at[:-1]]) + np.diff(at).astype(np.uint64) * K.BASE)
-                keep.append(own.view(np.int64) == node[i:j])
-            yield batch.filter(pa.array(K.rejoin(keep, bool)))
-
-    return run
-
-
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` that stand for their component, with all their columns: one of each component stays.
 

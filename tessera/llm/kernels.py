@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 
 SLICE_BYTES = 1 << 20
+SLICE_DOCS = 4096
 
 BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -79,11 +80,11 @@ def text_arrays(column) -> tuple[np.ndarray, np.ndarray]:
 
 
 def slices(data: np.ndarray, off: np.ndarray, size: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first document, last document + 1, bytes, offsets) for runs of documents of about ``size`` bytes."""
+    """(first document, last document + 1, bytes, offsets) for runs of at most SLICE_DOCS documents of about ``size`` bytes."""
     n, i = len(off) - 1, 0
     while i < n:
         j = int(np.searchsorted(off, off[i] + size, "right")) - 1
-        j = min(n, max(j, i + 1))
+        j = min(n, max(j, i + 1), i + SLICE_DOCS)
         yield i, j, data[off[i] : off[j]], off[i : j + 1] - off[i]
         i = j
 

@@ -37,8 +37,8 @@ COUNTER_BITS = 20
 FETCH_BITS = 24
 #: Bits of the parity bitmap of sets of up to as many elements.
 BITS = 1024
-#: Groups of a list whose pairs are told one by one; larger lists are compared as a whole.
-FEW = 64
+#: Groups of a list whose pairs are told one by one, so that pairs stay in proportion to lists; larger lists are compared as a whole.
+FEW = 4
 #: Members of a list that one task compares; larger ones are cut into chunks.
 CHUNK = 2048
 #: Shingles of a component's members that make a chunk.

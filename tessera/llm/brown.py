@@ -1,15 +1,19 @@
 """Scoring by a Brown class-based bigram model with exchange clustering.
 
 1. Every training token is counted, in buckets of word hashes; the vocabulary stays distributed.
-2. Words that make up at least 1/SHARE of the tokens are units of their own, at most SHARE of
-   them however large the corpus; all other words are gathered by their endings in SHAPES units.
-   Bigrams of units are counted over all training tokens; their table is bounded by the number of
-   units, not by the corpus.
-3. Exchange clustering moves one unit after another to the class that raises the likelihood of
+2. A start: words that make up at least 1/SHARE of the tokens, at most SHARE of them, and the
+   endings of all other words, in SHAPES units, are clustered on the driver by their bigrams.
+   Exchange clustering moves one unit after another to the class that raises the likelihood of
    the class bigrams most, until no unit moves.
-4. A text's probability is the product of class transitions and of word emissions within their
-   class.  Emissions need the count of every word: groups of documents ask the buckets for the
-   counts of their distinct words (see packed.py).
+3. Every word of the vocabulary, however rare, is then exchanged on its own: buckets get the
+   counts of classes before and after each of their words, over all training tokens, and move
+   word after word to its best class against the table of class bigrams.  Nothing of this is
+   bounded by a number of words, and no word stays with others because of its ending.  Buckets
+   work side by side, so they see each other's moves only in the final table.
+4. The class bigrams of the final classes are counted over all training tokens.  A text's
+   probability is the product of class transitions and of word emissions within their class.
+   Classes and counts of words come from the buckets, which groups of documents ask for their
+   distinct words (see packed.py).  Only words that were never trained on get a class by ending.
 
 Smoothing: transitions and emissions add one to each count; each class keeps one more place for
 words that were not seen.
@@ -30,14 +34,16 @@ from . import kernels as K
 from .packed import DDL, Box, bucket, find, unpack
 from .tables import group_count, groups_of, materialise
 
-#: A word with at least this share of the tokens (one in SHARE) is a unit of its own.
+#: A word with at least this share of the tokens (one in SHARE) is a unit of its own at the start.
 SHARE = 2000
-#: Units of the other words, by their last bytes.
+#: Units of the other words at the start, by their last bytes.
 SHAPES = 512
 CLASSES = 64
 ROUNDS = 20
 #: Distinct words that a task counts before it passes them on.
 FLUSH = 2_000_000
+#: Words that are moved against the same table, at most; together they hold at most 1/STEPS of a bucket's tokens.
+BATCH, STEPS = 4096, 1000
 
 U, I = np.uint64, np.int64
 #: The hash of the token that ends every text.
@@ -130,8 +136,6 @@ class Units:
     """Words that are units of their own (ascending hashes); the other units follow, by shape."""
 
     often: np.ndarray
-    tokens: np.ndarray  # of each unit
-    words: np.ndarray  # distinct words of each unit
 
     def of(self, word: np.ndarray, shape: np.ndarray) -> np.ndarray:
         at = find(self.often, word)
@@ -231,41 +235,146 @@ def exchange(pairs: np.ndarray, classes: int = CLASSES, rounds: int = ROUNDS) ->
     return own
 
 
+def combined(word: np.ndarray, code: np.ndarray, count: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sums of counts by word and code (below ``width``); words ascending."""
+    words, at = np.unique(word, return_inverse=True)
+    key, total, _ = merged([at * width + code], [count], [at])
+    return words[key // width], (key % width).astype(np.int16), total
+
+
+def context_batches(units: Units, own: np.ndarray, classes: int, n: int):
+    """Arrow function: (doc_id, text) -> messages of kind 0 to buckets: word, code, count, of training documents.
+
+    A code below ``classes`` is the class of the word after; from there on, that of the word
+    before; the last one counts a word that follows itself.
+    """
+    width = 2 * classes + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+        def told() -> Iterator[pa.RecordBatch]:
+            box = Box()
+            if held:
+                word, code, count = combined(*(np.concatenate(x) for x in zip(*held, strict=True)), width)
+                box.deal(bucket(word, n), 0, word, code, count, grp=0)
+            held.clear()
+            yield from box.table().to_batches(max_chunksize=256)
+
+        for batch in batches:
+            data, off = K.text_arrays(batch.column(1))
+            use = training(batch.column(0).to_pylist())
+            for i, j, part, cut in K.slices(data, off):
+                word, shape, border = tokens(part, cut)
+                keep = np.repeat(use[i:j], np.diff(border))
+                own_class = own[units.of(word, shape)]
+                first, before = np.roll(word, 1)[keep], np.roll(own_class, 1)[keep]  # the last token is an end
+                second, after = word[keep], own_class[keep]
+                same = first == second
+                words, codes = np.concatenate([first, second, second[same]]), np.concatenate([after, classes + before, np.full(same.sum(), 2 * classes)])
+                held.append(combined(words, codes, np.ones(len(words), I), width))
+                if sum(len(x[0]) for x in held) > FLUSH:
+                    yield from told()
+        yield from told()
+
+    return run
+
+
+def sweep(at: np.ndarray, code: np.ndarray, count: np.ndarray, own: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Exchange of all words against the class table: the new class of each word.
+
+    Entry k says that word ``at[k]`` (ascending) has ``count[k]`` neighbours by ``code[k]``, see
+    context_batches.  Frequent words go first and alone; rare ones go together.
+    """
+    classes, size = len(table), len(own)
+    table, new = table.astype(np.float64), own.copy()
+    weight = np.bincount(at, weights=count, minlength=size)
+    order = np.argsort(-weight, kind="stable")
+    sums = np.concatenate([[0], np.cumsum(weight[order])])
+    starts = np.searchsorted(at, np.arange(size + 1))
+    i = 0
+    while i < size:
+        j = max(i + 1, min(int(np.searchsorted(sums, sums[i] + sums[-1] / STEPS, "right")) - 1, i + BATCH))
+        u, i = order[i:j], j
+        each = starts[u + 1] - starts[u]
+        entry = np.repeat(starts[u] - np.cumsum(each) + each, each) + np.arange(each.sum())
+        k, a = np.arange(len(u)), own[u]
+        dense = np.bincount(np.repeat(k, each) * (2 * classes + 1) + code[entry], weights=count[entry], minlength=len(u) * (2 * classes + 1)).reshape(len(u), -1)
+        right, left, loop = dense[:, :classes], dense[:, classes:-1], dense[:, -1]
+        right[k, a] -= loop
+        left[k, a] -= loop
+
+        def joined(cells: np.ndarray, mine: np.ndarray, other: np.ndarray, a=a, loop=loop) -> np.ndarray:
+            """What the word's bigrams on one side add in each class; the word itself is taken out of the table first."""
+            out = np.zeros(mine.shape)
+            row, c = np.nonzero(mine)
+            if len(row):
+                times, base = mine[row, c][:, None], cells[c]
+                base[np.arange(len(row)), a[row]] -= times[:, 0]
+                inner = np.flatnonzero(c == a[row])
+                base[inner] -= other[row[inner]]
+                base[inner, c[inner]] -= loop[row[inner]]
+                np.maximum(base, 0, out=base)
+                head = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
+                out[row[head]] = np.add.reduceat(xlogx(base + times) - xlogx(base), head)
+            return out
+
+        gain = joined(table.T, right, left) + joined(table, left, right)
+        corner, rows, cols = (np.repeat(x[None], len(u), axis=0) for x in (np.diagonal(table), table.sum(axis=1), table.sum(axis=0)))
+        r, l, s = right.sum(axis=1) + loop, left.sum(axis=1) + loop, loop[:, None]
+        corner[k, a] -= right[k, a] + left[k, a] + loop
+        rows[k, a] -= r
+        cols[k, a] -= l
+        for x in (corner, rows, cols):
+            np.maximum(x, 0, out=x)
+        gain += xlogx(corner + right + left + s) - xlogx(corner + right) - xlogx(corner + left) + xlogx(corner)
+        gain -= xlogx(rows + r[:, None]) - xlogx(rows) + xlogx(cols + l[:, None]) - xlogx(cols)
+        b = gain.argmax(axis=1)
+        b = np.where(gain[k, b] <= gain[k, a] + 1e-9, a, b)
+        new[u] = b
+        change = np.zeros((len(u), classes))
+        change[k, b] += 1
+        change[k, a] -= 1
+        table += change.T @ right + left.T @ change + np.diag(change.T @ loop)
+        np.maximum(table, 0, out=table)
+    return new
+
+
+def exchange_words(units: Units, own: np.ndarray, table: np.ndarray):
+    """A bucket's neighbour counts and vocabulary -> its vocabulary with classes in place of shapes."""
+
+    def run(key: tuple[pa.Scalar, ...], told: pa.Table, vocabulary: pa.Table) -> pa.Table:
+        _, known, times, shape = unpack(vocabulary, 0, U, I, np.int32)
+        _, word, code, count = unpack(told, 0, U, np.int16, I)
+        word, code, count = combined(word, code, count, 2 * len(table) + 1)
+        box = Box()
+        box.put(key[0].as_py(), 0, 0, known, times, sweep(find(known, word), code, count, own[units.of(known, shape)], table).astype(np.int32))
+        return box.table()
+
+    return run
+
+
 @dataclass
 class Model:
     units: Units
-    own: np.ndarray  # class of each unit
-    step: np.ndarray  # log10 transition from class to class
+    own: np.ndarray  # class of each unit at the start, for words that were not trained on
     space: np.ndarray  # log10 of a class's tokens, words and one more
     total: int  # training tokens
     kinds: int  # distinct training tokens
 
-    def score(self, word: np.ndarray, shape: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(base, class model) log10 probability of each token of a slice."""
-        seen = np.log10(count + 1.0)
-        own = self.own[self.units.of(word, shape)]
-        before = np.empty_like(own)
-        before[1:] = own[:-1]
-        if len(own):
-            before[0] = own[-1]
-        return seen - np.log10(self.total + self.kinds + 1.0), self.step[before, own] + seen - self.space[own]
+
+SUMS = "word long, count long, shape long, kinds long"
 
 
 def learn(rows: DataFrame, n: int, classes: int = CLASSES) -> tuple[Model, DataFrame]:
-    """The model of the training rows of (doc_id, text), and its vocabulary: a message row for each of n buckets."""
+    """The model of the training rows of (doc_id, text), and its vocabulary with classes: a message row for each of n buckets."""
     counted = rows.mapInArrow(count_batches(n), DDL)
     vocabulary = materialise(counted.groupBy("bucket").applyInArrow(sum_words, DDL))
-    sums = vocabulary.mapInArrow(frequent_batches(np.inf), "word long, count long, shape long, kinds long").agg(F.sum("count"), F.sum("kinds")).first()
+    sums = vocabulary.mapInArrow(frequent_batches(np.inf), SUMS).agg(F.sum("count"), F.sum("kinds")).first()
     total, kinds = int(sums[0] or 0), int(sums[1] or 0)
-    parts = vocabulary.mapInArrow(frequent_batches(max(1.0, total / SHARE)), "word long, count long, shape long, kinds long")
-    # at most SHARE words and SHAPES sums
-    table = parts.groupBy("word", F.when(F.col("word").isNull(), F.col("shape")).alias("shape")).agg(F.sum("count").alias("count"), F.sum("kinds").alias("kinds")).collect()
-    often = sorted((int(np.int64(r["word"]).view(U)), r["count"]) for r in table if r["word"] is not None)
-    units = Units(np.array([w for w, _ in often], dtype=U), np.zeros(len(often) + SHAPES, I), np.zeros(len(often) + SHAPES, I))
-    units.tokens[: len(often)], units.words[: len(often)] = [c for _, c in often], 1
-    for r in table:
-        if r["word"] is None:
-            units.tokens[len(often) + r["shape"]], units.words[len(often) + r["shape"]] = r["count"], r["kinds"]
+    # at most SHARE words
+    table = vocabulary.mapInArrow(frequent_batches(max(1.0, total / SHARE)), SUMS).filter("word is not null").collect()
+    units = Units(np.array(sorted(int(np.int64(r["word"]).view(U)) for r in table), dtype=U))
     size = len(units)
     pairs = np.zeros(size * size, dtype=np.float32)
     counted = rows.mapInArrow(bigram_batches(units, n), DDL).groupBy("bucket").applyInArrow(sum_pairs, DDL)
@@ -275,9 +384,13 @@ def learn(rows: DataFrame, n: int, classes: int = CLASSES) -> tuple[Model, DataF
     own = exchange(pairs, classes)
     member = np.zeros((size, classes), dtype=np.float64)
     member[np.arange(size), own] = 1.0
-    step = member.T @ (pairs @ member) + 1.0
-    space = np.log10(member.T @ units.tokens + member.T @ units.words + 1.0)
-    return Model(units, own, np.log10(step / step.sum(axis=1, keepdims=True)), space, total, kinds), vocabulary
+    told = rows.mapInArrow(context_batches(units, own, classes, n), DDL)
+    moved = told.groupBy("bucket").cogroup(vocabulary.groupBy("bucket")).applyInArrow(exchange_words(units, own, member.T @ (pairs @ member)), DDL)
+    vocabulary = materialise(moved)
+    space = np.ones(classes)
+    for r in vocabulary.mapInArrow(frequent_batches(np.inf), SUMS).groupBy("shape").agg(F.sum("count"), F.sum("kinds")).collect():
+        space[r[0]] += r[1] + r[2]
+    return Model(units, own, np.log10(space), total, kinds), vocabulary
 
 
 def ask_words(n: int):
@@ -296,35 +409,74 @@ def ask_words(n: int):
 
 
 def answer_words(asked: pa.Table, vocabulary: pa.Table) -> pa.Table:
-    """The counts of the words that groups ask a bucket for, to the groups; words not seen are left out."""
+    """The counts and classes of the words that groups ask a bucket for, to the groups; words not seen are left out."""
     grp, word = unpack(asked, 0, U)
-    _, known, count, _ = unpack(vocabulary, 0, U, I, np.int32)
+    _, known, count, own = unpack(vocabulary, 0, U, I, np.int32)
     at = find(known, word)
     hit = at >= 0
     box = Box()
-    box.deal(grp[hit], 0, word[hit], count[at[hit]])
+    box.deal(grp[hit], 0, word[hit], count[at[hit]], own[at[hit]].astype(np.uint8))
     return box.table()
 
 
-def score_group(model: Model):
+def class_group(model: Model):
+    """Everything about a group's documents but the transitions; the classes of their tokens, a byte each."""
+
     def run(table: pa.Table, answers: pa.Table) -> pa.Table:
-        _, known, count = unpack(answers, 0, U, I)
+        _, known, count, known_class = unpack(answers, 0, U, I, np.uint8)
         order = np.argsort(known)
-        known, count = known[order], count[order]
+        known, count, known_class = known[order], count[order], known_class[order]
         ids = table.column("doc_id").combine_chunks()
         held = ~training(ids.to_pylist())
         data, off = K.text_arrays(table.column("text"))
         out: list[list[np.ndarray]] = [[], [], [], []]
+        classes: list[bytes] = []
         for _, _, part, cut in K.slices(data, off):
             word, shape, border = tokens(part, cut)
             at = find(known, word)
             times = np.where(at >= 0, count[at] if len(count) else 0, 0)
-            base, score = model.score(word, shape, times)
+            own = np.where(at >= 0, known_class[at] if len(count) else 0, model.own[model.units.of(word, shape)]).astype(np.uint8)
+            seen = np.log10(times + 1.0)
             head = border[:-1]
-            for column, x in zip(out, (np.diff(border), np.add.reduceat((times > 0).astype(I), head), np.add.reduceat(base, head), np.add.reduceat(score, head)), strict=True):
+            for column, x in zip(out, (np.diff(border), *(np.add.reduceat(x, head) for x in ((times > 0).astype(I), seen - np.log10(model.total + model.kinds + 1.0), seen - model.space[own]))), strict=True):
                 column.append(x)
+            raw = own.tobytes()
+            classes.extend(raw[i:j] for i, j in zip(head.tolist(), border[1:].tolist(), strict=True))
         size, seen, base, score = (np.concatenate(c) for c in out)
-        return pa.table([ids, pa.array(held), pa.array(size), pa.array(seen), pa.array(np.full(len(size), model.total, I)), pa.array(base), pa.array(score)], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+        return pa.table([ids, pa.array(held), pa.array(size), pa.array(seen), pa.array(np.full(len(size), model.total, I)), pa.array(base), pa.array(score), pa.array(classes, pa.binary())], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "classes"])
+
+    return run
+
+
+def steps_of(batch: pa.RecordBatch, classes: int) -> tuple[np.ndarray, np.ndarray]:
+    """(class before times classes plus class, of each token of a batch; first token of each document)."""
+    own = np.frombuffer(b"".join(batch.column("classes").to_pylist()), np.uint8).astype(I)
+    return np.roll(own, 1) * classes + own, np.concatenate([[0], np.cumsum(batch.column("n_tokens").to_numpy())[:-1]]).astype(I)
+
+
+def step_batches(classes: int):
+    """Arrow function: rows with classes -> the counts of their class bigrams, of training documents; one row for a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(classes * classes, I)
+        for batch in batches:
+            batch = batch.filter(pa.array(~np.asarray(batch.column("held_out").to_pylist(), dtype=bool)))
+            if batch.num_rows:
+                total += np.bincount(steps_of(batch, classes)[0], minlength=classes * classes)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(classes * classes)), pa.array(total)], names=["step", "count"])
+
+    return run
+
+
+def add_steps(step: np.ndarray):
+    """Arrow function: rows with classes -> rows whose score has the transitions as well."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                pair, head = steps_of(batch, len(step))
+                score = batch.column("score").to_numpy() + np.add.reduceat(step.ravel()[pair], head)
+                yield pa.RecordBatch.from_arrays([*batch.columns[:6], pa.array(score)], names=batch.schema.names[:7])
 
     return run
 
@@ -332,9 +484,9 @@ def score_group(model: Model):
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", classes: int = CLASSES) -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
-    The model is trained on the rows that are not held out.  Null and empty texts are one token,
-    the end; repeated rows count each; a null id is trained on; an empty table gives an empty
-    result, and with nothing to train on every word is unseen.
+    The model is trained on the rows that are not held out; there are at most 256 classes.  Null
+    and empty texts are one token, the end; repeated rows count each; a null id is trained on; an
+    empty table gives an empty result, and with nothing to train on every word is unseen.
     """
     n = group_count(docs)
     base = groups_of(docs, n, id_col, text_col)
@@ -342,4 +494,10 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", class
     asked = base.groupBy("grp").applyInArrow(ask_words(n), DDL)
     told = asked.groupBy("bucket").cogroup(vocabulary.groupBy("bucket")).applyInArrow(answer_words, DDL)
     kind = docs.schema[id_col].dataType.simpleString()
-    return base.groupBy("grp").cogroup(told.groupBy("grp")).applyInArrow(score_group(model), f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    ddl = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    rows = materialise(base.groupBy("grp").cogroup(told.groupBy("grp")).applyInArrow(class_group(model), f"{ddl}, classes binary"))
+    step = np.ones(classes * classes)
+    for r in rows.mapInArrow(step_batches(classes), "step long, count long").groupBy("step").agg(F.sum("count")).collect():  # classes**2 rows
+        step[r[0]] += r[1]
+    step = step.reshape(classes, classes)
+    return rows.mapInArrow(add_steps(np.log10(step / step.sum(axis=1, keepdims=True))), ddl)

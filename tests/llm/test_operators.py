@@ -6,13 +6,14 @@ import re
 import sys
 from pathlib import Path
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).parent))
 import brute  # noqa: E402
 
-from tessera.llm import brown, bytesuffix, components, exact, html, jaccard, mixing, quality, repeats, tables, tokencount, wordrepeats  # noqa: E402
+from tessera.llm import brown, bytesuffix, components, exact, html, jaccard, kernels, mixing, quality, repeats, tables, tokencount, wordrepeats  # noqa: E402
 from tessera.llm import bpe as B  # noqa: E402
 
 DDL = "doc_id long, text string, lang string, source string, n_chars long"
@@ -300,6 +301,45 @@ def test_scores_beat_unigrams(spark):
     assert got[0] > got[1]
 
 
+def test_every_word_is_exchanged(spark):
+    """Rare words with one ending, so of one unit at the start, part by their neighbours."""
+    import numpy as np
+
+    near = {k: [f"{a}ing" for a in names.split()] for k, names in (("x", "ab cd ef gh ij kl mn op"), ("y", "qr st uv wx yz ba dc fe"))}
+    docs = [f"{k}{k} {w} {k}z" for k, names in near.items() for w in names for _ in range(3)] + [f"{k}{k} {k}m {k}z" for k in near for _ in range(4000)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(docs)], "doc_id long, text string")
+    model, vocabulary = brown.learn(df, 4, classes=8)
+    own = {}
+    for r in vocabulary.collect():
+        own.update(zip(np.frombuffer(r["a"], np.uint64).tolist(), np.frombuffer(r["c"], np.int32).tolist(), strict=True))
+    data, off = kernels.text_arrays(pa.array([" ".join(near["x"] + near["y"])]))
+    word, shape, _ = brown.tokens(data, off)
+    assert len(set(model.units.of(word, shape)[:-1].tolist())) == 1
+    x, y = ([own[w] for w in half if w in own] for half in (word[:8].tolist(), word[8:16].tolist()))
+    assert x and y and not set(x) & set(y)
+
+
+def test_sweep_raises_likelihood():
+    """The gain of one word's move is the change of the likelihood, counted anew."""
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    text, own = rng.integers(0, 40, 3000), rng.integers(0, 4, 40)
+    p, q = np.roll(text, 1), text
+
+    def likelihood(own):
+        t = np.zeros((4, 4))
+        np.add.at(t, (own[p], own[q]), 1)
+        return brown.xlogx(t).sum() - brown.xlogx(t.sum(axis=0)).sum() - brown.xlogx(t.sum(axis=1)).sum(), t
+
+    word = 7
+    at = np.concatenate([np.full((p == word).sum(), 0), np.full((q == word).sum(), 0), np.full(((p == word) & (q == word)).sum(), 0)])
+    code = np.concatenate([own[q[p == word]], 4 + own[p[q == word]], np.full(((p == word) & (q == word)).sum(), 8)])
+    got = brown.sweep(at, code, np.ones(len(at)), own[[word]], likelihood(own)[1])
+    tried = [likelihood(np.where(np.arange(40) == word, c, own))[0] for c in range(4)]
+    assert got[0] == int(np.argmax(tried))
+
+
 def test_exchange_finds_classes():
     import numpy as np
 

@@ -4,8 +4,11 @@ The page becomes a tree.  Each node has a number of characters, tags, link chara
 tags; its composite density is its characters per tag, adjusted for links: text inside links
 lowers it, the more the larger the body's own share of link text.  A node's density sum is the
 sum over its children.  The threshold is the smallest density on the path from the body to the
-node with the largest density sum; the subtree with the largest density sum that reaches the
-threshold is the main content.  Of it, blocks that are not part of the article are left out.
+node with the largest density sum.  From the body down, each branch whose density reaches the
+threshold has the subtree with its largest density sum marked; the marked subtrees, in page order,
+are the main content, so an article split over sibling containers is whole.  Of it, blocks that
+are not part of the article are left out; an article or main element around the largest density
+sum is the content by itself.
 """
 
 from __future__ import annotations
@@ -171,8 +174,8 @@ def density(node: Node, share: float) -> float:
     return c / t * math.log(value) / base
 
 
-def main_node(root: Node) -> Node:
-    """The subtree with the largest density sum among those that reach the threshold of the body's path."""
+def main_nodes(root: Node) -> list[Node]:
+    """The subtrees, in page order, that the threshold of the body's path marks; or the article around the largest density sum."""
     nodes = measure(root)
     for n in nodes:
         # a mark on the frame around the whole article ("with-sidebar") does not mean the article
@@ -180,22 +183,41 @@ def main_node(root: Node) -> Node:
             n.aside = False
     nodes = [n for n in nodes if not _inside_aside(n)]
     if not nodes:
-        return root
+        return [root]
     top = max(nodes, key=lambda n: n.sum)
     if top.sum <= 0:
-        return max(nodes, key=lambda n: n.density) if any(n.density > 0 for n in nodes) else root
+        return [max(nodes, key=lambda n: n.density) if any(n.density > 0 for n in nodes) else root]
     threshold, node = top.density, top
     while node is not None:
         if node.name not in ("html",):
             threshold = min(threshold, node.density)
         node = node.parent
-    best = max((n for n in nodes if n.density >= threshold), key=lambda n: n.sum)
-    node, found = best, None
+    node, found = top, None
     while node is not None:  # text belongs to the article around it, if there is one
         if node.name in ("article", "main"):
             found = found or node
         node = node.parent
-    return found or best
+    if found:
+        return [found]
+    best: dict[Node, Node] = {}  # the largest density sum of each subtree
+    for n in reversed(nodes):
+        best[n] = max([n, *(best[c] for c in n.children if isinstance(c, Node) and c in best)], key=lambda x: x.sum)
+    barred: set[Node] = set()  # what blocks() leaves out
+    marked = {top}
+    for n in nodes:  # parents before children
+        if n.parent in barred or n.name == "header" or (n.name in LISTS and 2 * n.link_characters > n.characters):
+            barred.add(n)
+        elif n.density >= threshold and n.name != "html":
+            marked.add(best[n])
+    marked = {n for n in marked if n is top or n not in barred}
+    out, stack = [], [root]
+    while stack:  # marked subtrees that are in no other
+        n = stack.pop()
+        if n in marked:
+            out.append(n)
+        else:
+            stack.extend(c for c in reversed(n.children) if isinstance(c, Node))
+    return out
 
 
 def _frames(node: Node, root: Node) -> bool:
@@ -258,7 +280,7 @@ def main_text(page: str | None) -> str:
     """The main text of a page; empty for null, for an empty page and for one without text."""
     if not page:
         return ""
-    return " ".join(blocks(main_node(parse(page))))
+    return " ".join(b for node in main_nodes(parse(page)) for b in blocks(node))
 
 
 def extract_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

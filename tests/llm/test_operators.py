@@ -370,6 +370,16 @@ def test_html(spark):
     assert html.extract(df.limit(0)).count() == 0
 
 
+def test_html_article_in_sibling_containers():
+    part = lambda w, n: "".join(f"<p>{w}{k} words of a sentence that goes on for as long as a paragraph does.</p>" for k in range(n))
+    said = lambda w, n: [f"{w}{k} words of a sentence that goes on for as long as a paragraph does." for k in range(n)]
+    nav = "<ul>" + "".join(f"<li><a href=x{k}>link {k}</a></li>" for k in range(5)) + "</ul>"
+    page = f"<html><body>{nav}<div class=lead>{part('a', 3)}</div><div class=rest>{part('b', 5)}</div></body></html>"
+    assert html.main_text(page) == " ".join(said("a", 3) + said("b", 5))
+    low = f"<html><body><div class=one>{part('a', 5)}</div><div class=two>{'<i>x</i> ' * 40}</div></body></html>"
+    assert html.main_text(low) == " ".join(said("a", 5))  # below the threshold
+
+
 def test_html_pages(spark, sf):
     import html as entities
 

@@ -128,6 +128,8 @@ def _registry() -> dict[str, tuple[Run, str | None]]:
         "equi_multi_key": (_plan(alias("lineitem", "a", line).cross(alias("lineitem", "b", line)).filter_multiple([("a.l_orderkey", "EQ", col("b.l_orderkey")), ("a.l_linenumber", "EQ", col("b.l_linenumber"))]).project_multiple([("a.l_orderkey", "a_key"), ("a.l_linenumber", "a_line"), ("b.l_suppkey", "b_supp")])), "SELECT a.l_orderkey AS a_key, a.l_linenumber AS a_line, b.l_suppkey AS b_supp FROM lineitem a, lineitem b WHERE a.l_orderkey=b.l_orderkey AND a.l_linenumber=b.l_linenumber"),
         "equi_residual": (_plan(scan("orders").cross(scan("lineitem")).filter_multiple([("o_orderkey", "EQ", col("l_orderkey")), ("l_shipdate", "LT", col("o_orderdate"))]).project_multiple([("o_orderkey", "o_orderkey"), ("l_linenumber", "l_linenumber")])), "SELECT o_orderkey, l_linenumber FROM orders, lineitem WHERE o_orderkey = l_orderkey AND l_shipdate < o_orderdate"),
         "self_join_alias": (_plan(alias("lineitem", "l1", line).cross(alias("lineitem", "l2", line)).filter_multiple([("l1.l_orderkey", "EQ", col("l2.l_orderkey")), ("l1.l_suppkey", "NE", col("l2.l_suppkey")), ("l1.l_partkey", "LT", i32(50))]).project_multiple([("l1.l_orderkey", "k"), ("l1.l_suppkey", "s1"), ("l2.l_suppkey", "s2")])), "SELECT l1.l_orderkey AS k, l1.l_suppkey AS s1, l2.l_suppkey AS s2 FROM lineitem l1, lineitem l2 WHERE l1.l_orderkey = l2.l_orderkey AND l1.l_suppkey <> l2.l_suppkey AND l1.l_partkey < 50"),
+        "cross_3_whole": (_plan(scan("region").cross(scan("nation")).cross(scan("supplier").project("s_name", "s_name"))), "SELECT region.*, nation.*, s_name FROM region, nation, supplier"),
+        "self_join_whole": (_plan(alias("lineitem", "l1", line).cross(alias("lineitem", "l2", line)).filter_multiple([("l1.l_orderkey", "EQ", col("l2.l_orderkey")), ("l1.l_suppkey", "NE", col("l2.l_suppkey"))]).project_multiple([("l1.l_orderkey", "k"), ("l1.l_suppkey", "s1"), ("l2.l_suppkey", "s2")])), "SELECT l1.l_orderkey AS k, l1.l_suppkey AS s1, l2.l_suppkey AS s2 FROM lineitem l1, lineitem l2 WHERE l1.l_orderkey = l2.l_orderkey AND l1.l_suppkey <> l2.l_suppkey"),
         "derived_table_join": (_plan(scan("customer").filter("c_acctbal", "LT", f64(0.0)).project_multiple([("c_custkey", "id"), ("c_name", "c_name")]).cross(scan("orders").filter("o_orderstatus", "EQ", "F")).filter("id", "EQ", col("o_custkey")).project_multiple([("c_name", "c_name"), ("o_orderkey", "o_orderkey")])), "SELECT c_name, o_orderkey FROM (SELECT c_custkey AS id, c_name FROM customer WHERE c_acctbal < 0) c, (SELECT * FROM orders WHERE o_orderstatus = 'F') o WHERE id = o_custkey"),
         "json_roundtrip": (_json(scan("orders").filter("o_totalprice", "GT", f64(100000.0)).project_multiple([("o_orderkey", "o_orderkey"), ("o_totalprice", "o_totalprice")])), "SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > 100000.0"),
         "rewrite_b3": (_rewritten("b3"), CORPUS["b3"]),

@@ -16,6 +16,11 @@ def test_matches_oracle(spark, sf, duck, name):
     same(Q.queries()[name](spark, sf), duck, Q.oracle_sql()[name])
 
 
+@pytest.mark.parametrize(("whole", "cut"), [("self_join_whole", "self_join_alias"), ("cross_3_whole", "cross_3_small")])
+def test_whole_joins_see_all_ids(spark, sf, duck, whole, cut):
+    assert Q.queries()[whole](spark, sf).count() == len(duck.execute(Q.oracle_sql()[whole]).fetchall()) > Q.queries()[cut](spark, sf).count()
+
+
 @pytest.mark.parametrize("name", ["q17", "q25", "q42", "b3"])
 def test_order(spark, sf, duck, name):
     """Sorted queries keep their order through the projection on top."""

@@ -24,12 +24,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import kernels as K
 from .components import components
-from .tables import bucket_of, materialise, spread
+from .tables import WORD, bucket_of, materialise, row_key, spread
 
 #: Counters of the table that orders tokens: 2**COUNTER_BITS, whatever the input.
 COUNTER_BITS = 20
@@ -452,7 +453,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` that stand for their component, with all their columns: one of each component stays.
 
-    That is the row with the component's smallest id; of rows that repeat it, one.  Rows without id stay.
+    That is the row with the component's smallest id, null ids last, and of its texts the one with
+    the smallest hash; of rows that repeat id and text, one.  Rows without words stay.
     """
-    gone = near_duplicates(docs, id_col, text_col, width, percent).filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_tessera_id")).distinct()
-    return docs.join(gone, docs[id_col] == F.col("_tessera_id"), "left_anti")
+    name = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), row_key(F.col(text_col), F.col(id_col)).alias("key"))
+    found = near_duplicates(docs.withColumn("_tessera_name", name), "_tessera_name", text_col, width, percent)
+    gone = found.filter(F.col("doc_id.key") != F.col("component_id.key")).select(F.col("doc_id.key").alias("_tessera_key")).distinct()
+    out = docs.withColumn("_tessera_key", row_key(F.col(text_col), F.col(id_col))).join(gone, "_tessera_key", "left_anti")
+    out = out.withColumn("_tessera_nth", F.row_number().over(W.partitionBy("_tessera_key").orderBy("_tessera_key")))
+    wordless = ~F.coalesce(F.col(text_col).cast("string"), F.lit("")).rlike(WORD)
+    return out.filter((F.col("_tessera_nth") == 1) | wordless).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .tables import WORD, materialise
+from .tables import WORD, materialise, row_key
 
 CELLS = 4096
 WEIGHTS = (3.0, 1.0, 2.0)
@@ -61,8 +61,14 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     size 0 are taken 0 words.  Sources with no words have target 0.  No row is taken more than
     ``most`` times.  The same rows give the same mix however they are partitioned.
     """
+    drawn = _drawn(docs, id_col, text_col, source_col, weights, share, most, importance, seed, F.lit(0))
+    return drawn.drop("mark")
+
+
+def _drawn(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights: tuple[float, ...], share: float, most: float, importance: Column | None, seed: int, mark: Column) -> DataFrame:
+    """The mix with a column ``mark`` of ``docs`` that names its rows."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), (F.lit(1.0) if importance is None else importance.cast("double")).alias("importance"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), (F.lit(1.0) if importance is None else importance.cast("double")).alias("importance"), mark.alias("mark"))
     rows = materialise(rows)
     sums = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum(F.col("size") * F.col("importance")).alias("weighted"))
     plan = targets(sums.drop("weighted"), weights, share, most).join(sums.select(F.col("source").alias("_s"), "weighted"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
@@ -86,21 +92,28 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     fine = fine.withColumn("before2", ahead(["source", "c1"], "c2"))
     fine = fine.join(coarse, F.col("source").eqNullSafe(F.col("_s")) & (F.col("c1") == F.col("_c")))
     fine = fine.select(F.col("source").alias("_s"), F.col("c1").alias("_c1"), F.col("c2").alias("_c2"), (F.col("before1") + F.col("before2")).alias("before"))
-    inner = W.partitionBy(*cell).orderBy("rank", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
+    inner = W.partitionBy(*cell).orderBy("rank", "doc_id", "size", "mark").rowsBetween(W.unboundedPreceding, -1)
     drawn = drawn.withColumn("inner", F.coalesce(F.sum("size").over(inner), F.lit(0)))
     drawn = drawn.join(fine, F.col("source").eqNullSafe(F.col("_s")) & (F.col("c1") == F.col("_c1")) & (F.col("c2") == F.col("_c2")))
     start = F.col("before") + F.col("inner")
     extra = F.when(2 * (F.col("missing") - start) >= F.col("size"), 1).otherwise(0)  # the last one counts if it brings the sum nearer
     copies = F.least(F.col("whole") + F.when(F.col("missing") > 0, extra).otherwise(0), F.lit(int(most))).cast("int")
-    return drawn.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))
+    return drawn.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).cast("long").alias("taken"), "mark")
 
 
-def take(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
+def take(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, importance: Column | None = None, seed: int = 20) -> DataFrame:
     """The rows of ``docs`` as often as the mix takes them, with all their columns.
 
-    Rows that repeat an id share the mean number of copies of that id, rounded to the nearest.
+    Rows that share an id, or have none, are taken each by their own text and source; the copies
+    of rows that repeat all three are dealt out among them.
     """
-    copies = mix(docs, id_col, **how).groupBy("doc_id").agg(F.round(F.avg("copies")).cast("int").alias("_tessera_copies")).filter("_tessera_copies > 0")
-    out = docs.join(copies.withColumnRenamed("doc_id", "_tessera_id"), docs[id_col].eqNullSafe(F.col("_tessera_id")))
-    out = out.withColumn("_tessera_nth", F.explode(F.sequence(F.lit(1), F.col("_tessera_copies"))))
-    return out.select(*[docs[f"`{c}`"] for c in docs.columns])
+    key = row_key(F.col(text_col), F.col(id_col), F.col(source_col))
+    copies = _drawn(docs, id_col, text_col, source_col, weights, share, most, importance, seed, key)
+    copies = copies.groupBy(F.col("mark").alias("_tessera_key")).agg(F.count(F.lit(1)).alias("_tessera_rows"), F.sum("copies").alias("_tessera_copies")).filter("_tessera_copies > 0")
+    out = docs.withColumn("_tessera_key", key).join(copies, "_tessera_key")
+    nth = F.row_number().over(W.partitionBy("_tessera_key").orderBy("_tessera_key"))
+    rows, total = F.col("_tessera_rows"), F.col("_tessera_copies")
+    own = F.floor(total / rows) + F.when(nth <= total % rows, 1).otherwise(0)
+    out = out.withColumn("_tessera_own", own.cast("int")).filter("_tessera_own > 0")
+    out = out.withColumn("_tessera_nth", F.explode(F.sequence(F.lit(1), F.col("_tessera_own"))))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .tables import materialise
+from .tables import materialise, row_key
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_letters", "n_lines")
 
@@ -215,9 +215,9 @@ def quality_filter(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that the model keeps, with all their columns.
 
-    The verdict depends on the text alone, so it is looked up by id: ids that occur with several
-    texts stay only if every one of these texts is kept; rows without id are judged together likewise.
+    The verdict depends on the text alone and is looked up by it, so rows that share an id, or
+    have none, are judged each by their own text.
     """
-    verdict = quality_filter(docs, id_col, text_col).groupBy("doc_id").agg(F.min("kept").alias("ok"))
-    bad = verdict.filter(~F.col("ok")).select(F.col("doc_id").alias("_rejected"))
-    return docs.join(bad, docs[id_col].eqNullSafe(bad["_rejected"]), "left_anti")
+    keyed = docs.withColumn("_tessera_key", row_key(F.col(text_col)))
+    bad = quality_filter(keyed, "_tessera_key", text_col).filter(~F.col("kept")).select(F.col("doc_id").alias("_tessera_key")).distinct()
+    return keyed.join(bad, "_tessera_key", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

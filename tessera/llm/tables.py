@@ -55,6 +55,12 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def row_key(text: Column, *cols: Column) -> Column:
+    """What decisions about a row are looked up by: its text, by 256 bits, and the values of ``cols``; never null."""
+    parts = [x for i, c in enumerate(cols) for x in (c.isNull().alias(f"n{i}"), F.coalesce(c.cast("string"), F.lit("")).alias(f"v{i}"))]
+    return F.struct(*parts, F.sha2(F.coalesce(text.cast("string"), F.lit("")), 256).alias("text"))
+
+
 def spread(spark: SparkSession) -> int:
     """Number of groups or buckets that rows are dealt into: twice the shuffle partitions, so that partitions even out."""
     return 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))

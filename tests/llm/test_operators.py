@@ -180,6 +180,29 @@ def test_quality_finds_labelled_junk(spark):
     assert n.get((0, False), 0) > 0.9 * (n.get((0, True), 0) + n.get((0, False), 0))
 
 
+def test_stages_decide_by_row(spark):
+    """Rows that share an id, or have none, stay or go each by their own text."""
+    r = random.Random(5)
+    words = ["".join(r.choice("abcdefghij") for _ in range(r.randint(3, 7))) for _ in range(300)]
+    prose = lambda: " ".join(r.choice(words) for _ in range(60))
+    clean, other, lone, junk = prose(), prose(), prose(), "one two"
+    base = [(i, prose(), "a") for i in range(20)]
+    texts = lambda df: sorted((x[0] is not None, x[0] or 0, x[1]) for x in df.select("doc_id", "text").collect() if x[0] is None or x[0] >= 100)
+    got = quality.keep_good(frame(spark, [*base, (None, clean, "a"), (None, junk, "a"), (100, other, "a"), (100, junk, "a")]))
+    assert texts(got) == [(False, 0, clean), (True, 100, other)]
+    got = jaccard.drop_near_copies(frame(spark, [*base, (100, clean, "a"), (101, clean + " x", "a"), (101, other, "a"), (None, clean + " y", "a"), (None, lone, "a"), (102, prose(), "a"), (100, clean, "a")]))
+    assert [t[:2] for t in texts(got)] == [(False, 0), (True, 100), (True, 101), (True, 102)] and {t[2] for t in texts(got)} >= {clean, other, lone}
+
+
+def test_take_by_row(spark):
+    """Rows without id of all sources are taken as often as their source needs."""
+    rows = [(None, f"w{i} a b c", "big" if i % 5 else "small") for i in range(400)]
+    docs = frame(spark, rows)
+    want = {r.source: r.n for r in mixing.mix(docs).groupBy("source").agg(F.sum("taken").alias("n")).collect()}
+    got = {r.source: 4 * r["count"] for r in mixing.take(docs).groupBy("source").count().collect()}
+    assert got == want and len(want) == 2
+
+
 def test_label_model_recovers_accuracies():
     import numpy as np
 

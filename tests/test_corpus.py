@@ -38,6 +38,12 @@ def test_json_round_trip(spark, sf, name):
     assert Query.from_json(query.to_json()) == query
 
 
+def test_reservoir_has_the_surveyed_size(spark, sf):
+    """10,000 rows, or the whole table where it has no more."""
+    orders = spark.read.parquet(f"{sf}/orders.parquet").count()
+    assert Q.queries()["stat_reservoir"](spark, sf).count() == min(10_000, orders) > 1000
+
+
 def test_plans_are_joins(spark, sf):
     """Filtered products become equi joins, and filters and columns reach the scans."""
     plan = Q.queries()["b3"](spark, sf)._jdf.queryExecution().executedPlan().toString()

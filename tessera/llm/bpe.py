@@ -195,7 +195,7 @@ class Encoder:
 
     def words(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where each pre-token's ids stand in ``self.ids``, and how many they are."""
-        key = K.span_hash(K.prefix_hash(data), starts, ends)
+        key = K.span_hash(data, starts, ends)
         own, example, back = np.unique(key, return_index=True, return_inverse=True)
         if len(self.hashes) > self.limit:
             self.clear()

@@ -59,7 +59,7 @@ def tokens(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     """(hash of each token, shape of each token, border of each document); an end follows each document's words."""
     lower = K.LOWER[data]
     starts, ends, first = K.word_spans(lower, off)
-    word = K.span_hash(K.prefix_hash(lower), starts, ends)
+    word = K.span_hash(lower, starts, ends)
     tail = np.zeros(len(starts), dtype=U)
     for back in (1, 2, 3):
         has = ends - starts >= back
@@ -488,7 +488,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", class
     and empty texts are one token, the end; repeated rows count each; a null id is trained on; an
     empty table gives an empty result, and with nothing to train on every word is unseen.
     """
-    n = group_count(docs)
+    n = group_count(docs, text_col)
     base = groups_of(docs, n, id_col, text_col)
     model, vocabulary = learn(base.select("doc_id", "text"), n, classes)
     asked = base.groupBy("grp").applyInArrow(ask_words(n), DDL)

@@ -125,6 +125,11 @@ def suffix_order(text: list[bytes], keys: np.ndarray, size: int) -> tuple[list[i
     common: list[int] = []
     trie = BlindTrie(text, number, size)
     for group in multikey_quicksort(keys, np.arange(len(text)), 0, min(SHALLOW, keys.shape[1])):
+        if len(group) == 1:
+            x = int(group[0])
+            common.append(trie.common(rows[-1], x) if rows else 0)
+            rows.append(x)
+            continue
         trie.root = None
         for x in group.tolist():
             trie.insert(x)
@@ -187,13 +192,17 @@ class ByteRepeats(Repeats):
     def elements(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, tuple]:
         return data, off, ()
 
+    def namer(self, seq: np.ndarray):  # noqa: ANN201
+        return lambda starts, ends, seed: K.span_hash(seq, starts, ends, seed)
+
     def selection(self, seq: np.ndarray) -> np.ndarray:
         padded = np.concatenate([seq, np.zeros(8, np.uint8)])
         eight = np.ndarray((len(seq),), "<u8", buffer=padded, strides=(1,))
         with np.errstate(over="ignore"):
             return eight * K.BASE
 
-    def compare(self, gram: np.ndarray, body: np.ndarray, low: np.ndarray, high: np.ndarray, value: np.ndarray) -> np.ndarray:
+    def compare(self, gram: np.ndarray, body: np.ndarray, low: np.ndarray, high: np.ndarray, value: np.ndarray, several: np.ndarray) -> np.ndarray:
+        """The widest extents, to the left plus one and to the right, of a repeat around the anchor."""
         code = np.zeros(len(gram), dtype=I)
         reach, length = self.reach, self.length
         wide = -(-length // 8) * 8
@@ -204,17 +213,20 @@ class ByteRepeats(Repeats):
         rows, common = suffix_order(text, keys, length)
         back = [body[i, reach - low[i] : reach][::-1].tobytes() for i in range(len(gram))]
         left = [int.from_bytes(t.ljust(reach, b"\0"), "big") for t in back]
-        room = low.tolist()
+        room, twice = low.tolist(), several.tolist()
         begin = 0
         for k in range(1, len(rows) + 1):
             if k == len(rows) or common[k] < self.gram:  # suffixes of one gram
-                if k - begin > 1:
-                    for x, (a, b) in widest(rows[begin:k], common[begin:k], left, room, length, reach).items():
-                        code[x] = (a + 1) << 16 | b
+                best = widest(rows[begin:k], common[begin:k], left, room, length, reach) if k - begin > 1 else {}
+                for x in rows[begin:k]:
+                    if twice[x] and room[x] + len(text[x]) >= length:  # a leaf of several equal suffixes
+                        best[x] = (room[x], len(text[x]))
+                for x, (a, b) in best.items():
+                    code[x] = (a + 1) << 16 | b
                 begin = k
         return code
 
-    def spans(self, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def spans(self, code: np.ndarray, later: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return -((code >> 16) - 1)[:, None], (code & 0xFFFF)[:, None]
 
     def result(self, part: Part, cover: np.ndarray, own: pa.Array) -> pa.Table:

@@ -58,7 +58,7 @@ def shingle_sets(data: np.ndarray, off: np.ndarray, width: int) -> tuple[np.ndar
     """
     lower = K.LOWER[data]
     starts, ends, first = K.word_spans(lower, off)
-    words = K.span_hash(K.prefix_hash(lower), starts, ends)
+    words = K.span_hash(lower, starts, ends)
     n = len(off) - 1
     count = np.diff(first)
     runs = K.run_hash(words, width)

@@ -5,8 +5,9 @@ UTF-8 bytes of several documents back to back, and ``offsets`` (one more than th
 documents).  ``slices`` cuts a column of any size into slices of about ``SLICE_BYTES``, never
 inside a document, so that the working arrays stay small however long the batch is.
 
-Hashes are 64-bit polynomial hashes modulo 2**64 with an odd base, finished by an avalanche
-step.  They select candidates and name words; operators that must be exact compare contents.
+Hashes of bytes fold eight bytes at a time through an avalanche step; only sequences of such
+hashes are hashed as polynomials.  Hashes select candidates and name words; what must be exact is
+compared byte for byte (``same_spans``, ``exact_ids``).
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from xxhash import xxh3_64_intdigest
 
 SLICE_BYTES = 1 << 20
 SLICE_DOCS = 4096
@@ -89,16 +91,93 @@ def slices(data: np.ndarray, off: np.ndarray, size: int = SLICE_BYTES) -> Iterat
         i = j
 
 
-def prefix_hash(data: np.ndarray) -> np.ndarray:
-    """P with P[j] - P[i] the polynomial hash of elements i..j-1 (bytes or word hashes), still scaled by BASE**i."""
-    out = np.zeros(len(data) + 1, dtype=np.uint64)
+def _lanes(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on, as one little-endian number; zeros follow the last byte."""
+    padded = np.zeros(len(data) + 8, dtype=np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray((len(data) + 1,), "<u8", buffer=padded, strides=(1,))
+
+
+#: The lowest 0 to 8 bytes of a lane.
+_LOWEST = np.array([(1 << 8 * i) - 1 for i in range(9)], dtype=np.uint64)
+
+#: Bytes of a span that are taken in lanes of eight; what is behind them goes through xxh3 as a whole.
+NEAR = 64
+
+
+def span_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit hashes of the byte spans [starts, ends).
+
+    Each eight bytes are folded in by an avalanche step, so there is no algebra by which the hash
+    of one text could be carried over to another; bytes beyond the first NEAR count by their xxh3.
+    """
+    lanes, size = _lanes(data), ends - starts
+    with np.errstate(over="ignore"):
+        out = mix(size.astype(np.uint64) * BASE + np.uint64(seed))
+    live = np.arange(len(starts))
+    for k in range(0, NEAR, 8):
+        left = size[live] - k
+        if len(left) and left.min() <= 0:
+            live, left = live[left > 0], left[left > 0]
+        if len(live) == 0:
+            break
+        out[live] = mix(out[live] ^ (lanes[starts[live] + k] & _LOWEST[np.minimum(left, 8)]))
+    far = np.flatnonzero(size > NEAR)
+    if len(far):
+        raw = memoryview(np.ascontiguousarray(data))
+        rest = [xxh3_64_intdigest(raw[a:b], seed) for a, b in zip((starts[far] + NEAR).tolist(), ends[far].tolist(), strict=True)]
+        out[far] = mix(out[far] ^ np.array(rest, dtype=np.uint64))
+    return out
+
+
+def same_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, other: np.ndarray, begins: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """Is the i-th span of ``data`` equal, byte for byte, to the i-th span of ``other``?"""
+    size = ends - starts
+    same = size == stops - begins
+    a, b = _lanes(data), _lanes(other)
+    live = np.flatnonzero(same)
+    for k in range(0, NEAR, 8):
+        live = live[size[live] > k]
+        if len(live) == 0:
+            break
+        differ = ((a[starts[live] + k] ^ b[begins[live] + k]) & _LOWEST[np.minimum(size[live] - k, 8)]) != 0
+        same[live[differ]] = False
+        live = live[~differ]
+    x, y = memoryview(np.ascontiguousarray(data)), memoryview(np.ascontiguousarray(other))
+    for i in live[size[live] > NEAR].tolist():
+        same[i] = x[starts[i] + NEAR : ends[i]] == y[begins[i] + NEAR : stops[i]]
+    return same
+
+
+def exact_ids(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A number for each span, the same for spans with the same bytes and no others; and a span of each number.
+
+    Hashes propose which spans are equal, bytes decide.
+    """
+    _, first, back = np.unique(span_hash(data, starts, ends), return_index=True, return_inverse=True)
+    odd = np.flatnonzero(~same_spans(data, starts, ends, data, starts[first][back], ends[first][back]))
+    if len(odd):  # spans that share a hash with others: numbered by their bytes
+        raw, own, more = data.tobytes(), {}, []
+        for i in odd.tolist():
+            text = raw[starts[i] : ends[i]]
+            if text not in own:
+                own[text] = len(first) + len(more)
+                more.append(i)
+            back[i] = own[text]
+        first = np.concatenate([first, np.array(more, dtype=first.dtype)])
+    return back, first
+
+
+def prefix_hash(hashes: np.ndarray) -> np.ndarray:
+    """P with P[j] - P[i] a polynomial hash of elements i..j-1, still scaled by BASE**i; for elements that are hashes, not for bytes."""
+    out = np.zeros(len(hashes) + 1, dtype=np.uint64)
     with np.errstate(over="ignore"):
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(BASE, len(data)), out=out[1:])
+        np.cumsum((hashes + np.uint64(1)) * powers(BASE, len(hashes)), out=out[1:])
     return out
 
 
-def span_hash(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Position-independent hashes of the byte spans [starts, ends)."""
+def prefix_span(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Position-independent hashes of the runs of elements [starts, ends)."""
     with np.errstate(over="ignore"):
         return mix((prefix[ends] - prefix[starts]) * powers(INVERSE, len(prefix))[starts] + (ends - starts).astype(np.uint64))
 

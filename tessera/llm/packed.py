@@ -48,6 +48,18 @@ class Box:
         return pa.table([pa.array(list(c), f[1]) for c, f in zip(columns, FIELDS, strict=True)], schema=SCHEMA)
 
 
+def low_bytes(x: np.ndarray) -> np.ndarray:
+    """The five lowest bytes of each 64-bit number, as rows."""
+    return np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8)[:, :5]
+
+
+def widened(rows: np.ndarray) -> np.ndarray:
+    """Rows of five bytes as 64-bit numbers."""
+    out = np.zeros((len(rows), 8), dtype=np.uint8)
+    out[:, :5] = rows
+    return out.view(np.uint64).ravel()
+
+
 def unpack(table: pa.Table, kind: int, *types) -> tuple[np.ndarray, ...]:
     """(group of each element, array a, array b, ..) of all messages of a kind.
 

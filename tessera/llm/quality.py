@@ -46,7 +46,6 @@ def count_slice(data: np.ndarray, off: np.ndarray) -> list[np.ndarray]:
 
     solid = ~K.SPACE[data]
     chars = per_doc(solid & ((data & 0xC0) != 0x80))
-    plain = K.prefix_hash(data)
 
     # lines, white space included; those without a word do not count
     edge = np.flatnonzero(data == 10)
@@ -58,11 +57,11 @@ def count_slice(data: np.ndarray, off: np.ndarray) -> list[np.ndarray]:
     lines = np.bincount(own, minlength=n)
     has_word = np.searchsorted(starts, stop) > np.searchsorted(starts, begin)
     begin, stop, own = begin[has_word], stop[has_word], own[has_word]
-    key = _keyed(K.span_hash(plain, begin, stop), own)
+    key = _keyed(K.span_hash(data, begin, stop), own)
     dup_lines = np.bincount(own, minlength=n) - _distinct(key, own, n)
 
     # words inside windows that are found again in the same text
-    words = K.span_hash(plain, starts, ends)
+    words = K.span_hash(data, starts, ends)
     runs = K.run_hash(words, WINDOW)
     runs_at = np.flatnonzero(K.inside(first, WINDOW, len(words))[: len(runs)])
     holder = K.owner(first)

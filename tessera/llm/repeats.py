@@ -5,23 +5,26 @@ successive elements.  Every window contains an anchor: the place of the smallest
 among its first ``length - gram + 1`` places.  Equal windows have the same anchor at the same
 distance, so all that has to be compared are anchors with the same ``gram`` elements at them,
 each within its context: up to ``reach = length - gram`` elements before it and ``length`` from
-it on.  Three rounds of messages (see packed.py) narrow this down:
+it on.  Rounds of messages (see packed.py) narrow this down; hashes only select what is compared:
 
 1. grams: which anchors' grams occur in more than one place at all;
-2. contexts: anchors with equal contexts settle each other; of grams with several different
-   contexts, one holder of each context is asked for its content;
-3. contents: the contexts of a gram are compared by a sorted structure of suffixes, and each
-   learns which of its windows occur in another one.
-
-A gram with more than ``MANY`` contexts is not gathered in one place: its windows travel as
-fingerprints that any number of buckets count.  Documents are shuffled once; the exchange is
-shared by all rounds.  Subclasses say what elements are, when an occurrence counts (``value``),
-how contexts are compared and what becomes of the covered elements.
+2. contexts: of each distinct context that has several holders, or shares its gram with another
+   context, one holder is asked for its content;
+3. contents: the contexts of a gram are compared by a sorted structure of suffixes, those with
+   several holders as so many equal suffixes; all holders learn which windows occur elsewhere;
+4. a gram with more than ``MANY`` contexts is not gathered in one place.  In round 3 its windows
+   are counted by hash, over any number of buckets; those that occur more than once then pass
+   through the same structure, each on its own, under its whole length as a prefix.
+
+A context or window is known by two independent hashes, 128 bits, when a holder takes over what the
+structure found for its content.  Documents are shuffled once; the exchange is shared by all rounds.
+Subclasses say what elements are, when an occurrence counts (``value``), how contexts are compared
+and what becomes of the covered elements.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,13 +32,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import kernels as K
-from .packed import DDL, Box, bucket, find, unpack
+from .packed import DDL, Box, bucket, find, low_bytes, unpack, widened
 from .tables import group_count, groups_of
 
 #: Contexts of one gram that are compared in one place.
 MANY = 20_000
 
 U, I = np.uint64, np.int64
+ONE = U(1)
 
 
 @dataclass
@@ -50,15 +54,14 @@ class Part:
     spans: tuple  # byte spans of elements, if they are not bytes
     at: np.ndarray  # anchors
     doc: np.ndarray  # document of each anchor
-    gram: np.ndarray  # hash of the gram at each anchor, even
-    context: np.ndarray  # hash of the context of each anchor
+    gram: np.ndarray  # hash of the gram at each anchor
     low: np.ndarray  # context of each anchor: elements [low, high)
     high: np.ndarray
-    prefix: np.ndarray
+    name: Callable  # (starts, ends, seed) -> hashes of runs of elements
 
 
 class Repeats:
-    """Parameters and hooks; see SubstringRepeats and WordRepeats."""
+    """Parameters and hooks; see ByteRepeats and WordRepeats."""
 
     length: int
     gram: int
@@ -71,12 +74,19 @@ class Repeats:
     def selection(self, seq: np.ndarray) -> np.ndarray:
         raise NotImplementedError
 
-    def compare(self, gram: np.ndarray, body: np.ndarray, low: np.ndarray, high: np.ndarray, value: np.ndarray) -> np.ndarray:
-        """For each context, sorted by gram: a code of its windows that occur in others of the gram; 0 for none."""
+    def namer(self, seq: np.ndarray) -> Callable:
+        """A function (starts, ends, seed) -> hashes of runs of elements; seeds give independent hashes."""
         raise NotImplementedError
 
-    def covered(self, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """A code as a range of windows: first and last distance from window start to anchor; several codes a row of (rows, reach + 1) flags."""
+    def compare(self, gram: np.ndarray, body: np.ndarray, low: np.ndarray, high: np.ndarray, value: np.ndarray, several: np.ndarray) -> np.ndarray:
+        """For each context, sorted by gram: a code of its windows that occur elsewhere; 0 for none."""
+        raise NotImplementedError
+
+    def spans(self, code: np.ndarray, later: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Covered ranges, from the anchor, of each code: two arrays (codes, ranges).
+
+        ``later`` marks holders with a larger document id than the context's ``value``.
+        """
         raise NotImplementedError
 
     def result(self, part: Part, cover: np.ndarray, own: pa.Array) -> pa.Table:
@@ -108,12 +118,46 @@ class Repeats:
         found = K.window_minima(values, border, self.reach + 1)
         doc = np.searchsorted(border, found, "right") - 1
         at = found + shift[doc]
-        prefix = K.prefix_hash(seq)
-        gram = K.span_hash(prefix, at, at + self.gram) & ~U(1)
+        name = self.namer(seq)
         low, high = np.maximum(at - self.reach, cut[doc]), np.minimum(at + self.length, cut[doc + 1])
-        with np.errstate(over="ignore"):
-            context = K.mix(K.span_hash(prefix, low, high) + (at - low).astype(U) * K.BASE + gram)
-        return Part(ids, data, off, seq, cut, spans, at, doc, gram, context, low, high, prefix)
+        return Part(ids, data, off, seq, cut, spans, at, doc, name(at, at + self.gram, 0), low, high, name)
+
+    def keys(self, part: Part, sel: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The two hashes of the contexts of anchors ``sel``; the second one's lowest bit is free."""
+        low, high = part.low[sel], part.high[sel]
+        place = (part.at[sel] - low).astype(U) * K.BASE
+        return K.mix(part.name(low, high, 1) + place), K.mix(part.name(low, high, 2) + place) & ~ONE
+
+    def held(self, part: Part, at: np.ndarray) -> np.ndarray:
+        """What an occurrence at element ``at`` counts: its document, or 1."""
+        return part.ids[np.searchsorted(part.cut, at, "right") - 1] if self.by_document else np.ones(len(at), I)
+
+    def told(self, gram: list, first: list, second: list, value: list) -> np.ndarray:
+        """Rows (gram, first, second with the bit "several", value) of distinct keys of a group."""
+        gram, first, second, value = K.rejoin(gram, U), K.rejoin(first, U), K.rejoin(second, U), K.rejoin(value)
+        order = np.lexsort((second, first, gram))
+        gram, first, second, value = gram[order], first[order], second[order], value[order]
+        head = _heads(gram, first, second)
+        if len(head) == 0:
+            return np.zeros((0, 4), U)
+        low = np.minimum.reduceat(value, head)
+        several = low != np.maximum.reduceat(value, head) if self.by_document else np.diff(np.append(head, len(value))) > 1
+        return np.stack([gram[head], first[head], second[head] | several.astype(U), low.view(U)], axis=1)
+
+    def merged(self, grp: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """``told`` rows of all groups: order, heads of equal keys in it, sizes, and value and "several" of each key."""
+        second = rows[:, 2] & ~ONE
+        order = np.lexsort((grp, second, rows[:, 1], rows[:, 0]))
+        rows, second = rows[order], second[order]
+        head = _heads(rows[:, 0], rows[:, 1], second)
+        size = np.diff(np.append(head, len(rows)))
+        value = rows[:, 3].view(I) if len(rows) else np.zeros(0, I)
+        if len(head) == 0:
+            return order, head, size, value, np.zeros(0, bool)
+        low = np.minimum.reduceat(value, head)
+        several = np.bitwise_or.reduceat(rows[:, 2] & ONE, head).astype(bool)
+        several |= low != np.maximum.reduceat(value, head) if self.by_document else size > 1
+        return order, head, size, low, several
 
     # round 1
 
@@ -127,29 +171,28 @@ class Repeats:
             gram, doc = K.rejoin(grams, U), K.rejoin(docs)
             order = np.argsort(gram, kind="stable")
             gram, doc = gram[order], doc[order]
-            new = np.ones(len(gram), dtype=bool)
-            new[1:] = gram[1:] != gram[:-1]
-            head = np.flatnonzero(new)
+            head = _heads(gram)
             if len(head):
                 if self.by_document:
                     several = np.minimum.reduceat(doc, head) != np.maximum.reduceat(doc, head)
                 else:
                     several = np.diff(np.append(head, len(gram))) > 1
                 own = gram[head]
-                box.deal(bucket(own, n), 0, own | several.astype(U), grp=grp)
+                # the bucket holds the upper bits; the lower ones tell its grams apart well enough to select by
+                box.deal(bucket(own, n), 0, low_bytes(own & ~ONE | several.astype(U)), grp=grp)
             return box.table()
 
         return run
 
     def answer_grams(self, table: pa.Table) -> pa.Table:
         box = Box()
-        grp, told = unpack(table, 0, U)
-        gram, several = told & ~U(1), (told & U(1)).astype(bool)
-        own, back, count = np.unique(gram, return_inverse=True, return_counts=True)
+        grp, told = unpack(table, 0, (np.uint8, 5))
+        told = widened(told)
+        own, back, count = np.unique(told & ~ONE, return_inverse=True, return_counts=True)
         hit = count > 1
-        hit[back[several]] = True
+        hit[back[(told & ONE).astype(bool)]] = True
         keep = hit[back]
-        box.deal(grp[keep], 0, gram[keep])
+        box.deal(grp[keep], 0, low_bytes(told[keep] & ~ONE))
         return box.table()
 
     # round 2
@@ -157,194 +200,215 @@ class Repeats:
     def ask_contexts(self, n: int):
         def run(key: tuple[pa.Scalar, ...], table: pa.Table, answers: pa.Table) -> pa.Table:
             grp, box = key[0].as_py(), Box()
-            wanted = np.sort(unpack(answers, 0, U)[1])
-            grams, contexts, values = [], [], []
+            wanted = np.sort(widened(unpack(answers, 0, (np.uint8, 5))[1]))
+            columns: list[list[np.ndarray]] = [[], [], [], []]
             if len(wanted):
                 for part, _ in self.parts(table):
-                    k = find(wanted, part.gram) >= 0
-                    grams.append(part.gram[k])
-                    contexts.append(part.context[k])
-                    values.append(part.ids[part.doc[k]] if self.by_document else np.ones(int(k.sum()), I))
-            gram, context, value = K.rejoin(grams, U), K.rejoin(contexts, U), K.rejoin(values)
-            order = np.lexsort((context, gram))
-            gram, context, value = gram[order], context[order], value[order]
-            head = _heads(gram, context)
-            if len(head):
-                value = np.minimum.reduceat(value, head) if self.by_document else np.minimum(np.add.reduceat(value, head), 2)
-                gram, context = gram[head], context[head]
-                box.deal(bucket(gram, n), 0, gram, context, value, grp=grp)
+                    sel = np.flatnonzero(find(wanted, widened(low_bytes(part.gram & ~ONE))) >= 0)
+                    for column, x in zip(columns, (part.gram[sel], *self.keys(part, sel), self.held(part, part.at[sel])), strict=True):
+                        column.append(x)
+            rows = self.told(*columns)
+            box.deal(bucket(rows[:, 0], n), 0, rows, grp=grp)
             return box.table()
 
         return run
 
     def answer_contexts(self, table: pa.Table) -> pa.Table:
-        """kind 0: gram, context, value of all; 1: gram, context wanted; 2: grams to be told by fingerprints."""
+        """kind 1: both hashes of a context that is wanted; 2: grams to be told window by window."""
         box = Box()
-        grp, gram, context, value = unpack(table, 0, U, U, I)
-        order = np.lexsort((value, context, gram))  # of equal contexts the smallest value comes first
-        grp, gram, context, value = grp[order], gram[order], context[order], value[order]
-        head = _heads(gram, context)
-        if len(head) == 0:
-            return box.table()
-        size = np.diff(np.append(head, len(gram)))
-        total = value[head] if self.by_document else np.add.reduceat(value, head)
-        all_of = np.repeat(total, size)
-        # how many contexts each gram has
-        _, back, kinds = np.unique(gram[head], return_inverse=True, return_counts=True)
-        kinds = kinds[back]
-        tell = np.ones(len(gram), dtype=bool) if self.by_document else all_of > 1
-        box.deal(grp[tell], 0, gram[tell], context[tell], all_of[tell])
-        ask = head[(kinds > 1) & (kinds <= MANY)]
-        box.deal(grp[ask], 1, gram[ask], context[ask])
-        many = np.repeat(kinds > MANY, size)
-        pair = np.unique(np.stack([grp[many].astype(U), gram[many]], axis=1), axis=0) if many.any() else np.zeros((0, 2), U)
+        grp, rows = unpack(table, 0, (U, 4))
+        order, head, size, _, several = self.merged(grp, rows)
+        grp, rows = grp[order], rows[order]
+        kinds, many = _kinds(rows[head, 0])
+        ask = head[(several | (kinds > 1)) & ~many]
+        box.deal(grp[ask], 1, rows[ask, 1], rows[ask, 2] & ~ONE)
+        many = np.repeat(many, size)
+        pair = np.unique(np.stack([grp[many].astype(U), rows[many, 0]], axis=1), axis=0)
         box.deal(pair[:, 0].astype(I), 2, pair[:, 1])
         return box.table()
 
     # round 3
 
     def ask_contents(self, n: int):
+        """kind 1: contents that were wanted; 2: windows of grams with many contexts, as ``told``."""
+
         def run(key: tuple[pa.Scalar, ...], table: pa.Table, answers: pa.Table) -> pa.Table:
             grp, box = key[0].as_py(), Box()
-            _, gram, context, value = unpack(answers, 0, U, U, I)
-            if len(gram):
-                box.put(grp % n, grp, 0, gram, context, value)  # a note to itself, for the last step
-            _, ask_gram, ask_context = unpack(answers, 1, U, U)
+            wanted = Answers(*unpack(answers, 1, U, U)[1:])
             many = np.sort(unpack(answers, 2, U)[1])
-            wanted = np.unique(_both(ask_gram, ask_context))
-            open_ = np.ones(len(wanted), dtype=bool)
             if len(wanted) + len(many) == 0:
                 return box.table()
-            known = dict(zip(_both(gram, context).tolist(), value.tolist(), strict=True)) if self.by_document else {}
-            prints, counts = [], []
+            columns: list[list[np.ndarray]] = [[], [], [], []]
+            sent = np.zeros(len(wanted), dtype=bool)
             for part, _ in self.parts(table):
-                both = _both(part.gram, part.context)
-                k = find(wanted, both)
-                sel = np.flatnonzero(k >= 0)
-                _, first = np.unique(k[sel], return_index=True)
-                sel = sel[first]
-                sel = sel[open_[k[sel]]]
-                open_[k[sel]] = False
+                first, second = self.keys(part, np.arange(len(part.at)))
+                sel, to = wanted.match(first, second)
+                sel, to = _firsts(sel, to, sent)
                 if len(sel):
-                    value = np.array([known[x] for x in both[sel].tolist()], I) if self.by_document else np.zeros(len(sel), I)
-                    head = np.stack([part.gram[sel], part.context[sel], (part.at - part.low)[sel].astype(U), (part.high - part.at)[sel].astype(U), value.view(U)], axis=1)
-                    box.deal(bucket(part.gram[sel], n), 1, head, self.contents(part, sel), grp=grp)
-                sel = np.flatnonzero(find(many, part.gram) >= 0)
-                start, fingerprint, _ = self.windows(part, sel)
-                prints.append(fingerprint)
-                counts.append(part.ids[np.searchsorted(part.cut, start, "right") - 1] if self.by_document else np.ones(len(start), I))
-            fingerprint, count = K.rejoin(prints, U), K.rejoin(counts)
-            if len(fingerprint):
-                order = np.argsort(fingerprint, kind="stable")
-                fingerprint, count = fingerprint[order], count[order]
-                head = _heads(fingerprint)
-                count = np.minimum.reduceat(count, head) if self.by_document else np.minimum(np.add.reduceat(count, head), 2)
-                box.deal(bucket(fingerprint[head], n), 2, fingerprint[head], count, grp=grp)
+                    place = part.at[sel]
+                    head = np.stack([part.gram[sel], first[sel], second[sel], (place - part.low[sel]).astype(U), (part.high[sel] - place).astype(U)], axis=1)
+                    box.deal(bucket(part.gram[sel], n), 1, head, self.contents(part, place, part.low[sel], part.high[sel]), grp=grp)
+                if len(many):
+                    start = self.windows(part, np.flatnonzero(find(many, part.gram) >= 0))
+                    first, second = part.name(start, start + self.length, 3), part.name(start, start + self.length, 4) & ~ONE
+                    for column, x in zip(columns, (first, first, second, self.held(part, start)), strict=True):
+                        column.append(x)
+            rows = self.told(*columns)
+            box.deal(bucket(rows[:, 0], n), 2, rows, grp=grp)
             return box.table()
 
         return run
 
-    def contents(self, part: Part, sel: np.ndarray) -> np.ndarray:
-        """The contexts of anchors ``sel`` as rows of fixed width; the anchor is at ``reach``."""
-        out = np.zeros((len(sel), self.width), dtype=self.dtype)
-        step = np.arange(self.width)
-        place = part.at[sel][:, None] - self.reach + step
-        inside = (place >= part.low[sel][:, None]) & (place < part.high[sel][:, None])
+    def contents(self, part: Part, at: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """Elements [low, high) around places ``at`` as rows of fixed width; the place is at ``reach``."""
+        out = np.zeros((len(at), self.width), dtype=self.dtype)
+        place = at[:, None] - self.reach + np.arange(self.width)
+        inside = (place >= low[:, None]) & (place < high[:, None])
         out[inside] = part.seq[place[inside]]
         return out
 
-    def windows(self, part: Part, sel: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(start, fingerprint, anchor) of all windows around the anchors ``sel``; each window once."""
-        back = np.arange(self.reach + 1)
-        start = part.at[sel][:, None] - back
+    def windows(self, part: Part, sel: np.ndarray) -> np.ndarray:
+        """Where the windows around the anchors ``sel`` start; each once."""
+        start = part.at[sel][:, None] - np.arange(self.reach + 1)
         ok = (start >= part.low[sel][:, None]) & (start + self.length <= part.high[sel][:, None])
-        start = np.unique(start[ok])
-        return start, K.span_hash(part.prefix, start, start + self.length), start
+        return np.unique(start[ok])
+
+    def settle(self, box: Box, kind: int, grp: np.ndarray, rows: np.ndarray, head: np.ndarray, body: np.ndarray) -> None:
+        """Compare contents and tell all holders (``told`` rows) what was found: both hashes, code, value."""
+        if len(head) == 0:
+            return
+        order, begin, size, value, several = self.merged(grp, rows)
+        grp, rows = grp[order], rows[order]
+        mine = Answers(rows[begin, 1], rows[begin, 2] & ~ONE)
+        order = np.lexsort((head[:, 2], head[:, 1], head[:, 0]))
+        head, body = head[order], body[order]
+        sel, to = mine.match(head[:, 1], head[:, 2])
+        head, body = head[sel], body[sel]
+        code = np.zeros(len(begin), dtype=I)
+        code[to] = self.compare(head[:, 0], body, head[:, 3].astype(I), head[:, 4].astype(I), value[to], several[to])
+        tell = np.repeat(code != 0, size)
+        both = np.stack([rows[tell, 1], rows[tell, 2] & ~ONE], axis=1)
+        box.deal(grp[tell], kind, both, np.repeat(code, size)[tell], np.repeat(value, size)[tell])
+
+    def answer_contents(self, asked: pa.Table, table: pa.Table) -> pa.Table:
+        """kind 3: what was found for contexts; 5: both hashes of a window that is wanted."""
+        box = Box()
+        _, head, body = unpack(table, 1, (U, 5), (self.dtype, self.width))
+        self.settle(box, 3, *unpack(asked, 0, (U, 4)), head, body)
+        grp, rows = unpack(table, 2, (U, 4))
+        order, begin, _, _, several = self.merged(grp, rows)
+        ask = order[begin[several]]
+        box.deal(grp[ask], 5, rows[ask, 1], rows[ask, 2] & ~ONE)
+        return box.table()
+
+    # round 4
+
+    def ask_windows(self, n: int):
+        """kind 6: the contents of windows that were wanted."""
 
-    def answer_contents(self, table: pa.Table) -> pa.Table:
-        """kind 0: notes; 3: gram, context, code; 4: fingerprint and value of windows."""
+        def run(key: tuple[pa.Scalar, ...], table: pa.Table, answers: pa.Table) -> pa.Table:
+            grp, box = key[0].as_py(), Box()
+            wanted = Answers(*unpack(answers, 5, U, U)[1:])
+            sent = np.zeros(len(wanted), dtype=bool)
+            for part, _ in self.parts(table) if len(wanted) else ():
+                start = self.windows(part, np.arange(len(part.at)))
+                first, second = part.name(start, start + self.length, 3), part.name(start, start + self.length, 4) & ~ONE
+                sel, to = wanted.match(first, second)
+                sel, to = _firsts(sel, to, sent)
+                if len(sel):
+                    place = start[sel]
+                    head = np.stack([first[sel], first[sel], second[sel], np.zeros(len(sel), U), np.full(len(sel), self.length, U)], axis=1)
+                    box.deal(bucket(first[sel], n), 6, head, self.contents(part, place, place, place + self.length), grp=grp)
+            return box.table()
+
+        return run
+
+    def answer_windows(self, asked: pa.Table, table: pa.Table) -> pa.Table:
+        """kind 4: what was found for windows."""
         box = Box()
-        notes = table.filter(pa.array(np.asarray(table.column("kind").to_numpy() == 0, dtype=bool)))
-        for grp, a, b, c in zip(*(notes.column(x).to_pylist() for x in ("grp", "a", "b", "c")), strict=True):
-            box.rows.append((0, grp, 0, a, b, c))
-        grp, head, body = unpack(table, 1, (U, 5), (self.dtype, self.width))
-        if len(grp):
-            order = np.lexsort((head[:, 1], head[:, 0]))
-            grp, head, body = grp[order], head[order], body[order]
-            code = self.compare(head[:, 0], body, head[:, 2].astype(I), head[:, 3].astype(I), head[:, 4].view(I))
-            hit = code != 0
-            box.deal(grp[hit], 3, head[hit, 0], head[hit, 1], code[hit])
-        grp, fingerprint, value = unpack(table, 2, U, I)
-        if len(grp):
-            own, back = np.unique(fingerprint, return_inverse=True)
-            if self.by_document:
-                best = np.full(len(own), np.iinfo(I).max)
-                np.minimum.at(best, back, value)
-                tell = np.ones(len(back), dtype=bool)
-            else:
-                best = np.bincount(back, weights=value, minlength=len(own)).astype(I)
-                tell = best[back] > 1
-            box.deal(grp[tell], 4, fingerprint[tell], best[back][tell])
+        _, head, body = unpack(table, 6, (U, 5), (self.dtype, self.width))
+        self.settle(box, 4, *unpack(asked, 2, (U, 4)), head, body)
         return box.table()
 
     # last step
 
     def finish(self, table: pa.Table, answers: pa.Table) -> pa.Table:
-        _, gram, context, value = unpack(answers, 0, U, U, I)
-        notes = _both(gram, context)
-        order = np.argsort(notes)
-        notes, value = notes[order], value[order]
-        _, gram, context, code = unpack(answers, 3, U, U, I)
-        codes = _both(gram, context)
-        order = np.argsort(codes)
-        codes, code = codes[order], code[order]
-        _, prints, lowest = unpack(answers, 4, U, I)
-        order = np.argsort(prints)
-        prints, lowest = prints[order], lowest[order]
+        _, both, code, value = unpack(answers, 3, (U, 2), I, I)
+        contexts = Answers(both[:, 0], both[:, 1])
+        _, both, window_code, window_value = unpack(answers, 4, (U, 2), I, I)
+        windows = Answers(both[:, 0], both[:, 1])
         out = []
         for part, own in self.parts(table):
-            both = _both(part.gram, part.context)
             flags = np.zeros(len(part.seq) + 1, dtype=I)  # +1 where a covered range starts, -1 behind its end
-            k = find(notes, both)
-            full = k >= 0
-            if self.by_document:
-                full[full] = value[k[full]] < part.ids[part.doc[full]]
-            # all windows of the context
-            first = part.low[full]
-            end = part.high[full]
-            wide = end - first >= self.length
-            _mark(flags, first[wide], end[wide])
-            k = find(codes, both)
-            some = np.flatnonzero((k >= 0) & ~full)
-            a, b = self.spans(code[k[some]])
-            for x, y in zip(a.T, b.T, strict=True):
-                hit = y > x
-                _mark(flags, part.at[some][hit] + x[hit], part.at[some][hit] + y[hit])
-            if len(prints):
-                sel = np.flatnonzero(~full)
-                start, fingerprint, _ = self.windows(part, sel)
-                k = find(prints, fingerprint)
-                hit = k >= 0
-                if self.by_document:
-                    hit[hit] = lowest[k[hit]] < part.ids[np.searchsorted(part.cut, start[hit], "right") - 1]
-                _mark(flags, start[hit], start[hit] + self.length)
+            if len(contexts):
+                sel, to = contexts.match(*self.keys(part, np.arange(len(part.at))))
+                self.mark(flags, part, part.at[sel], code[to], value[to])
+            if len(windows):
+                start = self.windows(part, np.arange(len(part.at)))
+                sel, to = windows.match(part.name(start, start + self.length, 3), part.name(start, start + self.length, 4) & ~ONE)
+                self.mark(flags, part, start[sel], window_code[to], window_value[to])
             out.append(self.result(part, np.cumsum(flags[:-1]) > 0, own))
         return pa.concat_tables(out)
 
-    def spans(self, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Covered ranges, from the anchor, of each code: two arrays (codes, ranges)."""
-        raise NotImplementedError
+    def mark(self, flags: np.ndarray, part: Part, at: np.ndarray, code: np.ndarray, value: np.ndarray) -> None:
+        a, b = self.spans(code, self.held(part, at) > value)
+        for x, y in zip(a.T, b.T, strict=True):
+            hit = y > x
+            np.add.at(flags, at[hit] + x[hit], 1)
+            np.add.at(flags, at[hit] + y[hit], -1)
 
     def run(self, docs: DataFrame, id_col: str, text_col: str, schema: str) -> DataFrame:
-        n = group_count(docs)
+        n = group_count(docs, text_col)
         base = groups_of(docs, n, id_col, text_col)
         kind = docs.schema[id_col].dataType.simpleString()
-        told = base.groupBy("grp").applyInArrow(self.ask_grams(n), DDL)
-        told = told.groupBy("bucket").applyInArrow(_of_table(self.answer_grams), DDL)
-        for ask, answer in ((self.ask_contexts(n), self.answer_contexts), (self.ask_contents(n), self.answer_contents)):
-            told = base.groupBy("grp").cogroup(told.groupBy("grp")).applyInArrow(ask, DDL)
-            told = told.groupBy("bucket").applyInArrow(_of_table(answer), DDL)
-        return base.groupBy("grp").cogroup(told.groupBy("grp")).applyInArrow(lambda table, answers: self.finish(table, answers), f"doc_id {kind}, {schema}")
+        ask = lambda f, told: base.groupBy("grp").cogroup(told.groupBy("grp")).applyInArrow(f, DDL)
+        grams = base.groupBy("grp").applyInArrow(self.ask_grams(n), DDL).groupBy("bucket").applyInArrow(_of_table(self.answer_grams), DDL)
+        contexts = ask(self.ask_contexts(n), grams)
+        contents = ask(self.ask_contents(n), contexts.groupBy("bucket").applyInArrow(_of_table(self.answer_contexts), DDL))
+        found = contexts.groupBy("bucket").cogroup(contents.groupBy("bucket")).applyInArrow(_of_tables(self.answer_contents), DDL)
+        windows = ask(self.ask_windows(n), found)
+        more = contents.groupBy("bucket").cogroup(windows.groupBy("bucket")).applyInArrow(_of_tables(self.answer_windows), DDL)
+        return base.groupBy("grp").cogroup(found.unionAll(more).groupBy("grp")).applyInArrow(_of_tables(self.finish), f"doc_id {kind}, {schema}")
+
+
+class Answers:
+    """What messages say about keys of two hashes."""
+
+    def __init__(self, first: np.ndarray, second: np.ndarray) -> None:
+        self.order = np.lexsort((second, first))
+        self.first, self.second = first[self.order], second[self.order]
+        self.nth = np.arange(len(first)) - np.searchsorted(self.first, self.first)  # among keys that share the first hash
+
+    def __len__(self) -> int:
+        return len(self.first)
+
+    def match(self, first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(places in ``first``, ascending; the answers to them)."""
+        sel, to = [], []
+        for k in range(int(self.nth.max()) + 1 if len(self) else 0):  # once, unless keys share the first hash
+            own = np.flatnonzero(self.nth == k)
+            at = find(self.first[own], first)
+            hit = np.flatnonzero(at >= 0)
+            hit = hit[self.second[own[at[hit]]] == second[hit]]
+            sel.append(hit)
+            to.append(self.order[own[at[hit]]])
+        sel, to = K.rejoin(sel), K.rejoin(to)
+        order = np.argsort(sel, kind="stable")
+        return sel[order], to[order]
+
+
+def _firsts(sel: np.ndarray, to: np.ndarray, sent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first of ``sel`` for each of ``to`` that was not sent yet; they are marked as sent."""
+    to, first = np.unique(to, return_index=True)
+    new = ~sent[to]
+    sent[to] = True
+    return sel[first[new]], to[new]
+
+
+def _kinds(gram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the sorted grams of distinct contexts: how many contexts each one's gram has, and whether they are too many."""
+    _, back, count = np.unique(gram, return_inverse=True, return_counts=True)
+    return count[back], count[back] > MANY
 
 
 def _of_table(method):
@@ -352,6 +416,10 @@ def _of_table(method):
     return lambda table: method(table)
 
 
+def _of_tables(method):
+    return lambda left, right: method(left, right)
+
+
 def _heads(*keys: np.ndarray) -> np.ndarray:
     """Where a new combination of sorted keys starts."""
     if len(keys[0]) == 0:
@@ -359,13 +427,3 @@ def _heads(*keys: np.ndarray) -> np.ndarray:
     new = np.ones(len(keys[0]), dtype=bool)
     new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
     return np.flatnonzero(new)
-
-
-def _both(gram: np.ndarray, context: np.ndarray) -> np.ndarray:
-    """One key of a gram and its context: the context's hash, which covers the gram."""
-    return context
-
-
-def _mark(flags: np.ndarray, first: np.ndarray, end: np.ndarray) -> None:
-    np.add.at(flags, first, 1)
-    np.add.at(flags, end, -1)

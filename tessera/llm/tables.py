@@ -71,29 +71,22 @@ def bucket_of(n: int, *cols: Column) -> Column:
     return F.pmod(F.xxhash64(*cols), F.lit(n)).cast("int")
 
 
-#: Bytes of input in a group of documents: no group is meant to hold less than the first, nor more than the second.
-GROUP_LEAST, GROUP_MOST = 4 << 20, 256 << 20
+#: Bytes of text in a group of documents: no group is meant to hold less than the first, nor more than the second.
+GROUP_LEAST, GROUP_MOST = 8 << 20, 128 << 20
 
 
-def input_bytes(df: DataFrame) -> int | None:
-    """Spark's estimate of a DataFrame's size; None where a session gives none."""
-    if not hasattr(df, "_jdf"):
-        return None
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
-def group_count(docs: DataFrame) -> int:
+def group_count(docs: DataFrame, text_col: str = "text") -> int:
     """Number of groups, and of buckets, for messages between them (see packed.py).
 
-    As many as ``spread`` says, but no more than groups of GROUP_LEAST bytes allow, since messages
-    grow with groups times buckets, and no fewer than groups of GROUP_MOST bytes need.
+    As many as ``spread`` says, but no more than groups of GROUP_LEAST bytes of text allow, since
+    messages grow with groups times buckets, and no fewer than groups of GROUP_MOST bytes need.
+    The bytes are counted, as estimates can be far off.
     """
-    n, size = spread(docs.sparkSession), input_bytes(docs)
-    if size is None:
-        return n
-    return max(4, min(n, size // GROUP_LEAST), min(size // GROUP_MOST, 1 << 20))
+    size = int(docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0)
+    return max(4, min(spread(docs.sparkSession), size // GROUP_LEAST), size // GROUP_MOST)
 
 
 def groups_of(docs: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
-    """(grp, doc_id, text): documents dealt by id into n groups that one task can hold."""
-    return docs.select(bucket_of(n, F.col(id_col)).alias("grp"), F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    """(grp, doc_id, text): documents dealt by id and text into n groups that one task can hold."""
+    text = F.col(text_col).cast("string")
+    return docs.select(bucket_of(n, F.col(id_col), text).alias("grp"), F.col(id_col).alias("doc_id"), text.alias("text"))

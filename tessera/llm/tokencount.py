@@ -180,7 +180,7 @@ class Counter:
         ends = np.append(starts[1:], len(data)) if len(starts) else starts
         # every unit starts with the mark: in the place of its blank, or added at a document's start
         bare_from = starts + np.where(mark[starts], 3, data[starts] == 0x20)
-        key = K.span_hash(K.prefix_hash(data), bare_from, ends)
+        key = K.span_hash(data, bare_from, ends)
         own, example, back = np.unique(key, return_index=True, return_inverse=True)
         if len(self.hashes) > self.limit:
             self.clear()

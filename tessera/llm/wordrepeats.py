@@ -35,7 +35,18 @@ class WordRepeats(Repeats):
 
     def elements(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, tuple]:
         starts, ends, first = K.word_spans(data, off)
-        return K.span_hash(K.prefix_hash(data), starts, ends), first, (starts, ends)
+        return K.span_hash(data, starts, ends), first, (starts, ends)
+
+    def namer(self, seq: np.ndarray):  # noqa: ANN201
+        sums: dict[int, np.ndarray] = {}
+
+        def name(starts: np.ndarray, ends: np.ndarray, seed: int) -> np.ndarray:
+            if seed not in sums:
+                with np.errstate(over="ignore"):
+                    sums[seed] = K.prefix_hash(K.mix(seq + U(seed) * K.BASE) if seed else seq)
+            return K.prefix_span(sums[seed], starts, ends)
+
+        return name
 
     def selection(self, seq: np.ndarray) -> np.ndarray:
         out = np.zeros(len(seq), dtype=U)
@@ -43,23 +54,23 @@ class WordRepeats(Repeats):
         out[: len(runs)] = runs
         return out
 
-    def compare(self, gram: np.ndarray, body: np.ndarray, low: np.ndarray, high: np.ndarray, value: np.ndarray) -> np.ndarray:
+    def compare(self, gram: np.ndarray, body: np.ndarray, low: np.ndarray, high: np.ndarray, value: np.ndarray, several: np.ndarray) -> np.ndarray:
+        """Bits of the windows under inner nodes: those found in a smaller document than ``value``, then all."""
         code = np.zeros(len(gram), dtype=I)
         for back in range(self.reach + 1):  # windows that start ``back`` words before the anchor
             rows = np.flatnonzero((low >= back) & (high >= self.length - back))
             words = body[:, self.reach - back : self.reach - back + self.length]
             for group in prefix_groups(words, rows, gram):
-                for node in deep_nodes(words, group, self.length):
-                    row, head = node
+                for row, head in deep_nodes(words, group, self.length, several):
                     least = np.minimum.reduceat(value[row], head)
                     size = np.diff(np.append(head, len(row)))
-                    hit = row[np.repeat(least, size) < value[row]]
-                    code[hit] |= 1 << back
+                    code[row] |= 1 << (back + self.reach + 1)
+                    code[row[np.repeat(least, size) < value[row]]] |= 1 << back
         return code
 
-    def spans(self, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def spans(self, code: np.ndarray, later: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         back = np.arange(self.reach + 1)
-        has = (code[:, None] >> back) & 1 == 1
+        has = np.where(later, code >> (self.reach + 1), code)[:, None] >> back & 1 == 1
         return np.where(has, -back, 0), np.where(has, self.length - back, 0)
 
     def result(self, part: Part, cover: np.ndarray, own: pa.Array) -> pa.Table:
@@ -114,11 +125,14 @@ def prefix_groups(words: np.ndarray, rows: np.ndarray, gram: np.ndarray):
             yield rows[begin:]
 
 
-def deep_nodes(words: np.ndarray, rows: np.ndarray, depth: int):
-    """Grow a tree over the first ``depth`` words of rows; (rows, heads) of its internal nodes at that depth."""
+def deep_nodes(words: np.ndarray, rows: np.ndarray, depth: int, several: np.ndarray):
+    """Grow a tree over the first ``depth`` words of rows; (rows, heads) of its internal nodes at that depth.
+
+    A row marked ``several`` stands for as many equal suffixes, so it is never alone under a node.
+    """
     node = np.zeros(len(rows), dtype=I)
     for level in range(depth):
-        if len(rows) < 2:
+        if len(rows) == 0:
             return
         word = words[rows, level]
         order = np.lexsort((word, node))
@@ -127,7 +141,7 @@ def deep_nodes(words: np.ndarray, rows: np.ndarray, depth: int):
         new[1:] = (node[1:] != node[:-1]) | (word[1:] != word[:-1])
         head = np.flatnonzero(new)
         size = np.diff(np.append(head, len(rows)))
-        inner = np.repeat(size > 1, size)  # leaves stay behind
+        inner = np.repeat((size > 1) | several[rows[head]], size)  # leaves stay behind
         node = (np.cumsum(new) - 1)[inner]
         rows = rows[inner]
     if len(rows):

@@ -6,15 +6,18 @@ similar enough if they share a token of their prefixes.
 1. A table of counters over all shingles, of fixed size, orders tokens: by the class of their
    counter, then by hash.  Any order that is the same for all documents gives right results; one
    that puts common passages last keeps the lists short.
-2. Documents with equal sets become one; sets with equal prefix and size become one group.
+2. Documents with equal sets become one: their 64-bit names are checked against a second hash, and
+   the sets are named anew should two ever share a name.  Sets with equal prefix and size become
+   one group.
 3. Groups that share a prefix token are compared by size and by a parity bitmap, which bounds the
    symmetric difference of two sets from below.  Of the pairs that pass, only a spanning forest
    leaves a list, so a list of k groups yields at most k - 1 pairs.
 4. The components of these pairs hold every link.  They are expanded, the texts of their members
-   are fetched once, and their sets are intersected exactly, until all links that could still join
-   two parts are known.
+   are fetched, and their sets are compared shingle by shingle, word by word, until all links that
+   could still join two parts are known.
 
-Lists and components beyond a size are cut into chunks, and every pair of chunks is a task.
+Lists and components beyond a size are cut into chunks and compared as linkage.py says, with
+pivots, so that work grows with their size and not with its square.
 """
 
 from __future__ import annotations
@@ -30,7 +33,8 @@ from pyspark.sql import types as T
 
 from . import kernels as K
 from .components import components
-from .tables import WORD, bucket_of, materialise, row_key, spread
+from .linkage import forest_by_pivots, linked, small
+from .tables import WORD, materialise, row_key, spread
 
 #: Counters of the table that orders tokens: 2**COUNTER_BITS, whatever the input.
 COUNTER_BITS = 20
@@ -38,16 +42,18 @@ COUNTER_BITS = 20
 FETCH_BITS = 24
 #: Bits of the parity bitmap of sets of up to as many elements.
 BITS = 1024
-#: Groups of a list whose pairs are told one by one, so that pairs stay in proportion to lists; larger lists are compared as a whole.
-FEW = 4
+#: Groups of a list whose pairs are tried one by one; and pairs that pass, for each group, up to which they are told as pairs.
+SOME, FEW = 64, 2
 #: Members of a list that one task compares; larger ones are cut into chunks.
 CHUNK = 2048
-#: Shingles of a component's members that make a chunk.
-WEIGHT = 1 << 20
+#: Bytes of text of a component's members that make a chunk.
+WEIGHT = 4 << 20
 #: Postings that are added up at a time.
 POSTINGS = 1 << 18
 #: Rows of the counter table.
 BLOCKS = 64
+#: The bit of a counter's class that says that it is above CHUNK.
+OFTEN = 128
 
 
 def shingle_sets(data: np.ndarray, off: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -118,7 +124,10 @@ def add_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def token_classes(texts: DataFrame, width: int) -> np.ndarray:
-    """Class of each counter: 0 for those near the mean, one more for each doubling (one byte each)."""
+    """Class of each counter: 0 for those near the mean, one more for each doubling (one byte each).
+
+    Counters that reach CHUNK carry OFTEN as well: only their tokens can be in more than CHUNK sets.
+    """
     parts = texts.mapInArrow(count_batches(width), "block int, counts binary")
     # BLOCKS rows of fixed size from each of four parts, so that no task reads all partitions' counters
     parts = parts.repartition(BLOCKS * 4, F.col("block"), F.spark_partition_id() % 4).mapInArrow(add_counts, "block int, counts binary")
@@ -127,7 +136,7 @@ def token_classes(texts: DataFrame, width: int) -> np.ndarray:
     for block, raw in parts.collect():  # 4 * BLOCKS rows, 16 MB whatever the input
         table[block * size : (block + 1) * size] += np.frombuffer(raw, np.uint32)
     mean = max(4.0, table.sum() / len(table))
-    return np.maximum(0, np.log2(np.maximum(table, 1) / mean)).astype(np.uint8)
+    return np.maximum(0, np.log2(np.maximum(table, 1) / mean)).astype(np.uint8) | np.where(table > CHUNK, OFTEN, 0).astype(np.uint8)
 
 
 def largest_difference(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
@@ -137,10 +146,10 @@ def largest_difference(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray
     return both - 2 * least
 
 
-def set_names(token: np.ndarray, border: np.ndarray) -> np.ndarray:
+def set_names(token: np.ndarray, border: np.ndarray, salt: int = 0) -> np.ndarray:
     """A 64-bit name of each document's set."""
     with np.errstate(over="ignore"):
-        sums = np.concatenate([[np.uint64(0)], np.cumsum(K.mix(token + K.BASE), dtype=np.uint64)])
+        sums = np.concatenate([[np.uint64(0)], np.cumsum(K.mix(token + K.BASE * np.uint64(1 + salt)), dtype=np.uint64)])
         return K.mix((sums[border[1:]] - sums[border[:-1]]) + np.diff(border).astype(np.uint64) * K.BASE).view(np.int64)
 
 
@@ -165,8 +174,8 @@ def fold(raw: bytes, size: int) -> np.ndarray:
     return np.bitwise_xor.reduce(np.frombuffer(raw, np.uint64).reshape(-1, size // 8), axis=0)
 
 
-def feature_batches(width: int, percent: int, classes):
-    """Arrow function: (doc_id, text) -> doc_id, n, node, prefix (bytes of uint64), bitmap; node names the set."""
+def feature_batches(width: int, percent: int, classes, salt: int = 0):
+    """Arrow function: (doc_id, text, mark) -> doc_id, mark, bytes, n, node, check, prefix (bytes of uint64), bitmap; node names the set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = classes.value
@@ -177,8 +186,7 @@ def feature_batches(width: int, percent: int, classes):
                 n = np.diff(at)
                 doc = np.repeat(np.arange(j - i), n)
                 mixed = K.mix(token + K.BASE)
-                node = set_names(token, at)
-                kind = table[_counter(token)]
+                kind = table[_counter(token)] & np.uint8(OFTEN - 1)
                 order = np.lexsort((token, kind, doc))
                 rank = np.arange(len(token)) - np.repeat(at[:-1], n)
                 size = n - -(-percent * n // 100) + 1
@@ -186,67 +194,91 @@ def feature_batches(width: int, percent: int, classes):
                 size = np.where(n > 0, size, 0)
                 maps = parity_maps(mixed, doc, at)
                 raw, border = head.tobytes(), np.concatenate([[0], np.cumsum(size)]) * 8
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, j - i), pa.array(n), pa.array(node), pa.array([raw[a:b] for a, b in zip(border[:-1], border[1:], strict=True)], pa.binary()), pa.array(maps, pa.binary())],
-                    names=["doc_id", "n", "node", "prefix", "bitmap"],
-                )
+                prefix = pa.array([raw[a:b] for a, b in zip(border[:-1], border[1:], strict=True)], pa.binary())
+                columns = [batch.column(0).slice(i, j - i), batch.column(2).slice(i, j - i), pa.array(np.diff(cut)), pa.array(n), pa.array(set_names(token, at, 2 * salt)), pa.array(set_names(token, at, 2 * salt + 1)), prefix, pa.array(maps, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "mark", "bytes", "n", "node", "check", "prefix", "bitmap"])
 
     return run
 
 
-def posting_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(g, prefix) -> (token, g), a row for each token."""
-    for batch in batches:
-        for k in range(0, batch.num_rows, 2000):
-            part = batch.slice(k, 2000)
-            raw = part.column(1).to_pylist()
-            token = np.frombuffer(b"".join(raw), np.int64)
-            size = np.array([len(r) // 8 for r in raw], dtype=np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(np.repeat(part.column(0).to_numpy(zero_copy_only=False), size))], names=["token", "g"])
+def posting_batches(classes):
+    """Arrow function: (g, prefix, n) -> (token, g, at, often), a row for each token; only tokens marked ``often`` can have long lists.
+
+    ``at`` is the set's size in its upper, the token's place in the set in its lower 32 bits.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = classes.value
+        for batch in batches:
+            for k in range(0, batch.num_rows, 2000):
+                part = batch.slice(k, 2000)
+                raw = part.column(1).to_pylist()
+                token = np.frombuffer(b"".join(raw), np.int64)
+                size = np.array([len(r) // 8 for r in raw], dtype=np.int64)
+                g, n = (np.repeat(part.column(c).to_numpy(zero_copy_only=False), size) for c in (0, 2))
+                place = np.arange(len(token)) - np.repeat(np.cumsum(size) - size, size)
+                often = table[_counter(token.view(np.uint64))] >= OFTEN
+                yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(g), pa.array(n << 32 | place), pa.array(often)], names=["token", "g", "at", "often"])
+
+    return run
 
 
-def shared_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(token, g) of a partition -> (list, g, h) for tokens of two groups or more.
+def reachable(at: np.ndarray, to: np.ndarray, percent: int) -> np.ndarray:
+    """Can sets that share a token, at places ``at`` and ``to``, be similar enough if it is the first they share?
 
-    Lists of up to FEW groups give their pairs (null, g, h); longer ones their members (list, g,
-    null), and those beyond CHUNK members each pair of their chunks as a list of its own.
+    What they share is at most what each has from its place on.  Similar sets pass at the first
+    token they share, so pairs that do not pass may be left to their other lists.
     """
-    tokens, groups = [], []
-    for batch in batches:
-        tokens.append(batch.column(0).to_numpy(zero_copy_only=False))
-        groups.append(batch.column(1).to_numpy(zero_copy_only=False))
-    token, group = K.rejoin(tokens), K.rejoin(groups)
-    order = np.lexsort((group, token))
-    token, group = token[order], group[order]
-    head = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])) if len(token) else token
-    size = np.diff(np.append(head, len(token)))
-
-    def rows(key: np.ndarray | None, g: np.ndarray, h: np.ndarray | None) -> Iterator[pa.RecordBatch]:
-        for k in range(0, len(g), 50_000):
-            part = [pa.nulls(len(g[k : k + 50_000]), pa.int64()) if x is None else pa.array(x[k : k + 50_000]) for x in (key, g, h)]
-            yield pa.RecordBatch.from_arrays(part, names=["list", "g", "h"])
-
-    found = [np.zeros((0, 2), dtype=np.int64)]
-    for k in np.unique(size[(size > 1) & (size <= FEW)]).tolist():
-        i, j = np.triu_indices(k, 1)
-        at = head[size == k]
-        step = max(1, 200_000 // len(i))
-        for s in range(0, len(at), step):
-            pair = np.stack([group[at[s : s + step, None] + i].ravel(), group[at[s : s + step, None] + j].ravel()], axis=1)
-            found.append(np.unique(pair, axis=0))
-    pair = np.unique(np.concatenate(found), axis=0)
-    yield from rows(None, pair[:, 0].copy(), pair[:, 1].copy())
-    full = np.repeat(size, size)
-    some = (full > FEW) & (full <= CHUNK)
-    yield from rows(token[some], group[some], None)
-    for h, k in zip(head[size > CHUNK], size[size > CHUNK], strict=True):
-        chunk = np.arange(k) * -(-k // CHUNK) // k
-        last = int(chunk[-1]) + 1
-        for a in range(last):
-            for b in range(a + 1, last):
-                own = (chunk == a) | (chunk == b)
-                key = K.mix(np.array([token[h]], np.int64).view(np.uint64) + np.uint64(1 + a * last + b)).view(np.int64)
-                yield from rows(np.repeat(key, own.sum()), group[h : h + k][own], None)
+    n, m = at >> 32, to >> 32
+    least = -(-percent * (n + m) // (100 + percent))
+    return np.minimum(n - (at & 0xFFFFFFFF), m - (to & 0xFFFFFFFF)) >= least
+
+
+def list_batches(percent: int):
+    """Arrow function: (token, g, at) of a partition -> (list, g, h) for tokens of two groups or more, CHUNK at most.
+
+    Lists of up to SOME groups whose places leave few pairs give these pairs (null, g, h); others
+    the members (list, g, null) that some other member's size allows.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = [[], [], []]
+        for batch in batches:
+            for column, x in zip(held, batch.columns, strict=True):
+                column.append(x.to_numpy(zero_copy_only=False))
+        token, group, at = (K.rejoin(c) for c in held)
+        order = np.lexsort((at >> 32, token))
+        token, group, at = token[order], group[order], at[order]
+        head = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])) if len(token) else token
+        size = np.diff(np.append(head, len(token)))
+        pairs, whole = [np.zeros((0, 2), dtype=np.int64)], [head[size > SOME]]
+        for k in np.unique(size[(size > 1) & (size <= SOME)]).tolist():
+            i, j = np.triu_indices(k, 1)
+            rows = head[size == k]
+            step = max(1, 200_000 // len(i))
+            for s in range(0, len(rows), step):
+                own = rows[s : s + step, None]
+                ok = reachable(at[own + i], at[own + j], percent)
+                many = ok.sum(axis=1) > FEW * k
+                whole.append(rows[s : s + step][many])
+                ok[many] = False
+                pairs.append(np.unique(np.stack([np.minimum(group[own + i], group[own + j])[ok], np.maximum(group[own + i], group[own + j])[ok]], axis=1), axis=0))
+        pair = np.unique(np.concatenate(pairs), axis=0)
+        yield from _rows(None, pair[:, 0].copy(), pair[:, 1].copy())
+        some = np.repeat(np.isin(head, np.concatenate(whole)), size)
+        token, group, n = token[some], group[some], at[some] >> 32
+        near = np.zeros(len(token), dtype=bool)  # sizes ascend within a list: the next one is the nearest
+        near[:-1] = (token[1:] == token[:-1]) & (100 * n[:-1] >= percent * n[1:])
+        near[1:] |= near[:-1].copy()
+        yield from _rows(token[near], group[near], None)
+
+    return run
+
+
+def _rows(key: np.ndarray | None, g: np.ndarray, h: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+    for k in range(0, len(g), 50_000):
+        part = [pa.nulls(len(g[k : k + 50_000]), pa.int64()) if x is None else pa.array(x[k : k + 50_000]) for x in (key, g, h)]
+        yield pa.RecordBatch.from_arrays(part, names=["list", "g", "h"])
 
 
 class Maps:
@@ -292,18 +324,18 @@ def pair_batches(percent: int):
 
 
 def candidate_batches(percent: int):
-    """Arrow function: rows (list, g, n, bitmap) of whole lists -> a spanning forest of the pairs that pass."""
+    """Arrow function: rows (list, g, part, ask, n, bitmap) of whole lists -> of the pairs that pass, those that join parts (see linkage.py)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cols: list[list[np.ndarray]] = [[], [], []]
+        cols: list[list[np.ndarray]] = [[], [], [], [], []]
         columns: list[pa.Array] = []
         for batch in batches:
-            for i in range(3):
+            for i in range(5):
                 cols[i].append(batch.column(i).to_numpy(zero_copy_only=False))
-            columns.append(batch.column(3))
+            columns.append(batch.column(5))
         if not columns:
             return
-        key, group, n = (np.concatenate(c) for c in cols)
+        key, group, part, ask, n = (np.concatenate(c) for c in cols)
         maps = Maps(columns)
         order = np.lexsort((group, n, key))
         head = np.flatnonzero(np.concatenate([[True], key[order[1:]] != key[order[:-1]]]))
@@ -315,9 +347,10 @@ def candidate_batches(percent: int):
 
         left, right = [], []
         for h, k in zip(head.tolist(), size.tolist(), strict=True):
-            for a, b in forest_by_pivots(k, lambda x, others, h=h: others[passes(np.full(len(others), x + h), others + h)]):
-                left.append(group[order[h + a : h + a + 1]])
-                right.append(group[order[h + b : h + b + 1]])
+            own = order[h : h + k]
+            for a, b in forest_by_pivots(k, lambda x, others, h=h: others[passes(np.full(len(others), x + h), others + h)], part[own], ask[own]):
+                left.append(group[own[a : a + 1]])
+                right.append(group[own[b : b + 1]])
         a, b = K.rejoin(left), K.rejoin(right)
         pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
         yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["a", "b"])
@@ -325,78 +358,79 @@ def candidate_batches(percent: int):
     return run
 
 
-def forest_by_pivots(k: int, neighbours) -> list[tuple[int, int]]:
-    """A spanning forest of a graph on 0..k-1 given by ``neighbours(x, others)``.
-
-    One node after another is compared with all nodes of other parts; those of the largest part
-    come last and are left out once no other part has a node that was not compared.
-    """
-    part = np.arange(k)
-    done = np.zeros(k, dtype=bool)
-    edges = []
-    while True:
-        size = np.bincount(part, minlength=k)
-        big = int(size.argmax())
-        rest = np.flatnonzero(~done & (part != big))
-        if len(rest) == 0:
-            return edges
-        x = int(rest[0])
-        done[x] = True
-        others = np.flatnonzero(part != part[x])
-        for y in neighbours(x, others).tolist():
-            if part[y] != part[x]:
-                edges.append((x, y))
-                part[part == part[y]] = part[x]
+def exact_sets(data: np.ndarray, off: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Like shingle_sets, but a shingle's number stands for its words themselves: equal numbers, equal words."""
+    lower = K.LOWER[data]
+    starts, ends, first = K.word_spans(lower, off)
+    word = K.exact_ids(lower, starts, ends)[0].astype(np.int32)
+    count = np.diff(first)
+    at = np.flatnonzero(K.inside(first, width, len(word))[: max(0, len(word) - width + 1)])
+    few = np.flatnonzero((count > 0) & (count < width))
+    runs = word[at[:, None] + np.arange(width)].ravel() if len(at) else np.zeros(0, np.int32)
+    rest = [word[first[d] : first[d + 1]] for d in few.tolist()]
+    flat = np.concatenate([runs, *rest])
+    size = np.concatenate([np.full(len(at), width), count[few]]).astype(np.int64) * 4
+    stop = np.cumsum(size)
+    token = K.exact_ids(np.ascontiguousarray(flat).view(np.uint8), stop - size, stop)[0]
+    doc = np.concatenate([K.owner(first)[at], few])
+    order = np.lexsort((token, doc))
+    token, doc = token[order], doc[order]
+    new = np.ones(len(token), dtype=bool)
+    new[1:] = (token[1:] != token[:-1]) | (doc[1:] != doc[:-1])
+    token, doc = token[new], doc[new]
+    return token, np.searchsorted(doc, np.arange(len(off)))
 
 
 def verify_block(width: int, percent: int):
-    """Arrow function over one block of members: (block, node, text) -> a spanning forest of the exact links."""
+    """Arrow function over one block of members: (block, grp, node, part, ask, text) -> the exact links that join parts."""
 
     def run(table: pa.Table) -> pa.Table:
-        named = table.column("node").to_numpy()
+        table = table.sort_by([("grp", "ascending"), ("node", "ascending"), ("ask", "descending")])
+        grp, node = table.column("grp").to_numpy(), table.column("node").to_numpy()
+        once = np.ones(len(node), dtype=bool)  # rows that repeat an id and its text
+        once[1:] = (grp[1:] != grp[:-1]) | (node[1:] != node[:-1])
+        table, grp, node = table.filter(pa.array(once)), grp[once], node[once]
+        part, ask = table.column("part").to_numpy(), np.asarray(table.column("ask").to_pylist(), dtype=bool)
         data, off = K.text_arrays(table.column("text"))
-        nodes, tokens, sizes = [], [], []
-        for i, j, part, cut in K.slices(data, off):
-            token, border = shingle_sets(part, cut, width)
-            node = set_names(token, border)
-            keep = node == named[i:j]  # an id may stand for several texts
-            nodes.append(node[keep])
-            tokens.append(token[np.repeat(keep, np.diff(border))])
-            sizes.append(np.diff(border)[keep])
-        node, token, n = K.rejoin(nodes), K.rejoin(tokens, np.uint64), K.rejoin(sizes)
-        _, first = np.unique(node, return_index=True)
-        if len(first) < len(node):  # repeated rows
-            once = np.zeros(len(node), dtype=bool)
-            once[first] = True
-            node, token, n = node[once], token[np.repeat(once, n)], n[once]
-        own = np.repeat(np.arange(len(n), dtype=np.int32), n)
-        _, token = np.unique(token, return_inverse=True)
-        order = np.argsort(token, kind="stable")
-        holder, begin = own[order], np.concatenate([[0], np.cumsum(np.bincount(token))])
-        border = np.concatenate([[0], np.cumsum(n)])
-
-        def linked(x: int, others: np.ndarray) -> np.ndarray:
-            mine = token[border[x] : border[x + 1]]
-            size = begin[mine + 1] - begin[mine]
-            total = np.cumsum(size)
-            common = np.zeros(len(n), dtype=np.int64)
-            at = 0
-            while at < len(mine):  # so many postings at a time
-                to = max(at + 1, int(np.searchsorted(total, total[at] - size[at] + POSTINGS, "right")))
-                s, base = size[at:to], total[at] - size[at]
-                spots = np.arange(total[to - 1] - base) + np.repeat(begin[mine[at:to]] - (total[at:to] - base - s), s)
-                common += np.bincount(holder[spots], minlength=len(n))
-                at = to
-            common = common[others]
-            return others[100 * common >= percent * (n[x] + n[others] - common)]
-
-        edges = forest_by_pivots(len(n), linked) if len(n) else []
-        pairs = np.array(edges, dtype=np.int64).reshape(-1, 2)
+        token, border = exact_sets(data, off, width)
+        n = np.diff(border)
+        out: list[tuple[int, int]] = []
+        head = np.flatnonzero(np.concatenate([[True], grp[1:] != grp[:-1]])) if len(grp) else np.zeros(0, np.int64)
+        for h, e in zip(head.tolist(), [*head[1:].tolist(), len(grp)], strict=True):
+            links = _Overlaps(token[border[h] : border[e]], border[h : e + 1] - border[h], percent)
+            out += [(h + a, h + b) for a, b in forest_by_pivots(e - h, links, part[h:e], ask[h:e])]
+        pairs = np.array(out, dtype=np.int64).reshape(-1, 2)
         return pa.table({"a": node[pairs[:, 0]], "b": node[pairs[:, 1]]}, schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
 
     return run
 
 
+class _Overlaps:
+    """Which of a few sets are similar enough to one of them, by lists of the sets that hold each shingle."""
+
+    def __init__(self, token: np.ndarray, border: np.ndarray, percent: int) -> None:
+        self.border, self.n, self.percent = border, np.diff(border), percent
+        _, self.token = np.unique(token, return_inverse=True)
+        own = np.repeat(np.arange(len(self.n), dtype=np.int32), self.n)
+        self.holder = own[np.argsort(self.token, kind="stable")]
+        self.begin = np.concatenate([[0], np.cumsum(np.bincount(self.token))]).astype(np.int64)
+
+    def __call__(self, x: int, others: np.ndarray) -> np.ndarray:
+        mine = self.token[self.border[x] : self.border[x + 1]]
+        size = self.begin[mine + 1] - self.begin[mine]
+        total = np.cumsum(size)
+        common = np.zeros(len(self.n), dtype=np.int64)
+        at = 0
+        while at < len(mine):  # so many postings at a time
+            to = max(at + 1, int(np.searchsorted(total, total[at] - size[at] + POSTINGS, "right")))
+            s, base = size[at:to], total[at] - size[at]
+            spots = np.arange(total[to - 1] - base) + np.repeat(self.begin[mine[at:to]] - (total[at:to] - base - s), s)
+            common += np.bincount(self.holder[spots], minlength=len(self.n))
+            at = to
+        common = common[others]
+        return others[100 * common >= self.percent * (self.n[x] + self.n[others] - common)]
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id.
 
@@ -404,50 +438,86 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ``percent`` hundredths.  ``component_id`` is the smallest id that links reach, the row's own
     included.  Null text counts as empty; documents without words are linked with nothing;
     repeated rows are linked with each other; null ids stay null and are never the smallest id of
-    others.  An empty table gives an empty result.
+    others.  Texts of any length are read whole; other columns are not read, whatever their names.
+    An empty table gives an empty result.
     """
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    text = F.col(text_col).cast("string")
+    rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("mark"))
     classes = spark.sparkContext.broadcast(token_classes(rows.select("text"), width))
-    features = materialise(rows.mapInArrow(feature_batches(width, percent, classes), f"doc_id {kind}, n long, node long, prefix binary, bitmap binary"))
-    full = features.filter("n > 0").withColumn("like", F.xxhash64("prefix", "n"))
-    sets = materialise(full.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("like").alias("like")))
-    groups = full.groupBy("like").agg(F.min("node").alias("g"), F.max("node").alias("_last"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("bitmap").alias("bitmap"))
-    groups = groups.select("like", "g", "n", "prefix", F.when(F.col("g") == F.col("_last"), F.col("bitmap")).alias("bitmap"))
-    n = spread(spark) // 2
-    lists = groups.select("g", "prefix").mapInArrow(posting_batches, "token long, g long").repartition(n, "token").mapInArrow(shared_lists, "list long, g long, h long")
-    lists = materialise(lists)
-    maps = groups.select(F.col("g").alias("_g"), "n", "bitmap")
+    features, sets = _named_sets(rows, kind, width, percent, classes)
+    maps = features.filter("n > 0").groupBy("prefix", "n").agg(F.min("node").alias("g"), F.max("node").alias("_last"), F.first("bitmap").alias("bitmap"))
+    maps = maps.select("g", "n", "prefix", F.when(F.col("g") == F.col("_last"), F.col("bitmap")).alias("bitmap"))
+    tied = _candidates(maps, sets, classes, percent)
+    tied = tied.unionAll(tied.select(F.col("root").alias("node"), "root").distinct())
+    tied = materialise(tied.join(sets.select("node", "rep", "bytes"), "node"))
+    # a set's text is that of the row with its smallest id, found by the id and a hash of the text
+    compare = lambda blocks: _verified(blocks, rows, sets, width, percent)
+    roots = linked(tied.select(F.col("root").alias("grp"), F.col("node").alias("item"), (F.col("bytes") + 64).alias("weight")), WEIGHT, compare)
+    whole = sets.join(roots, "node", "left").select("node", "rep", F.coalesce("root", "node").alias("root"))
+    names = whole.groupBy("root").agg(F.min("rep").alias("low"))
+    # derived keys: both sides are dealt out anew, so that a hot component can be split
+    whole = whole.select("node", F.struct("root").alias("_key")).join(names.select(F.struct("root").alias("_key"), "low"), "_key")
+    whole = whole.select(F.col("node").alias("_node"), F.col("low.id").alias("low"))
+    out = features.select("doc_id", "n", "node").join(whole, (F.col("node") == F.col("_node")) & (F.col("n") > 0), "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("low")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def _named_sets(rows: DataFrame, kind: str, width: int, percent: int, classes) -> tuple[DataFrame, DataFrame]:
+    """The features of all rows, and a row for each distinct set; no two sets have the same name."""
+    salt = 0
+    while True:
+        features = materialise(rows.mapInArrow(feature_batches(width, percent, classes, salt), f"doc_id {kind}, mark long, bytes long, n long, node long, check long, prefix binary, bitmap binary"))
+        rep = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), "mark", "bytes"))
+        sets = features.filter("n > 0").groupBy("node").agg(rep.alias("rep"), F.first("n").alias("n"), F.min(F.xxhash64("prefix", "n")).alias("like"), F.min("check").alias("_a"), F.max("check").alias("_b"))
+        sets = materialise(sets.withColumn("bytes", F.col("rep.bytes")))
+        if sets.filter("_a <> _b").isEmpty():
+            return features, sets.select("node", "rep", "n", "like", "bytes")
+        salt += 1
+
+
+def _candidates(maps: DataFrame, sets: DataFrame, classes, percent: int) -> DataFrame:
+    """(node, root) of every set that may be similar enough to another: the connected parts of the pairs that pass."""
+    n = spread(maps.sparkSession) // 2
+    posted = maps.select("g", "prefix", "n").mapInArrow(posting_batches(classes), "token long, g long, at long, often boolean")
+    long_ = materialise(posted.filter("often").groupBy("token").agg(F.count(F.lit(1)).alias("_size")).filter(F.col("_size") > CHUNK).select(F.col("token").alias("_token")))
+    some = not long_.isEmpty()
+    short = posted.join(small(long_), F.col("token") == F.col("_token"), "left_anti") if some else posted
+    lists = materialise(short.select("token", "g", "at").repartition(n, "token").mapInArrow(list_batches(percent), "list long, g long, h long"))
+    maps = maps.select(F.col("g").alias("_g"), "n", "bitmap")
     two = lists.filter("list is null").select(F.col("g").alias("a"), F.col("h").alias("b")).distinct()
     two = two.join(maps, F.col("a") == F.col("_g")).select("a", "b", "n", "bitmap")
     two = two.join(maps.select("_g", F.col("n").alias("m"), F.col("bitmap").alias("other")), F.col("b") == F.col("_g")).select("a", "b", "n", "m", "bitmap", "other")
-    many = lists.filter("list is not null").select("list", "g").join(maps, F.col("g") == F.col("_g")).select("list", "g", "n", "bitmap")
-    pairs = two.mapInArrow(pair_batches(percent), "a long, b long").union(many.repartition(n, "list").mapInArrow(candidate_batches(percent), "a long, b long"))
+
+    def compare(blocks: DataFrame) -> DataFrame:
+        # a list is a block and a token; both are hashes, so that one number stands for the two
+        full = blocks.join(maps, F.col("item") == F.col("_g")).select(F.xxhash64("block", "grp").alias("list"), F.col("item").alias("g"), "part", "ask", "n", "bitmap")
+        return full.repartition(n, "list").mapInArrow(candidate_batches(percent), "a long, b long")
+
+    many = lists.filter("list is not null").select(F.col("list").alias("block"), F.col("list").alias("grp"), F.col("g").alias("item"), F.col("g").alias("part"), F.lit(True).alias("ask"))
+    pairs = two.mapInArrow(pair_batches(percent), "a long, b long").unionAll(compare(many))
     # members of a group are candidates of each other
-    members = sets.join(sets.groupBy("like").agg(F.min("node").alias("g")), "like").filter("node <> g").select(F.col("node").alias("a"), F.col("g").alias("b"))
-    tied = components(pairs.union(members))
-    tied = tied.union(tied.select(F.col("root").alias("node"), "root").distinct())
-    # chunks of a component, and every pair of chunks as a block
-    tied = materialise(tied.join(sets.select("node", "rep", "n"), "node"))
-    sizes = tied.groupBy("root").agg(F.sum("n").alias("size")).withColumn("chunks", F.ceil(F.col("size") / WEIGHT).cast("int"))
-    members = tied.join(sizes.select(F.col("root").alias("_root"), "chunks"), F.col("root") == F.col("_root")).drop("_root")
-    members = members.withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
-    members = members.withColumn("other", F.explode(F.when(F.col("chunks") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("chunks") - 1), lambda c: c != F.col("chunk")))))
-    members = members.select("rep", "node", F.xxhash64("root", F.least("chunk", "other"), F.greatest("chunk", "other")).alias("block"))
+    lowest = sets.groupBy("like").agg(F.min("node").alias("g")).select(F.struct("like").alias("_like"), "g")  # a derived key, so that a hot group can be split
+    members = sets.join(lowest, F.struct("like") == F.col("_like")).filter("node <> g").select(F.col("node").alias("a"), F.col("g").alias("b"))
+    pairs = pairs.unionAll(members)
+    if not some:
+        return components(pairs)
+    hot = posted.join(small(long_), F.col("token") == F.col("_token")).select(F.col("token").alias("grp"), F.col("g").alias("item"), F.lit(1).cast("long").alias("weight"))
+    return linked(materialise(hot), CHUNK, compare, materialise(pairs))
+
+
+def _verified(blocks: DataFrame, rows: DataFrame, sets: DataFrame, width: int, percent: int) -> DataFrame:
+    """The exact links that join parts in each block."""
+    members = blocks.join(sets.select(F.col("node").alias("_n"), "rep.id", "rep.mark"), F.col("item") == F.col("_n"))
+    members = members.select("block", "grp", F.col("item").alias("node"), "part", "ask", "id", F.col("mark").alias("_mark"))
     # a table of bits, at most 2**(FETCH_BITS - 6) rows, keeps the other documents' texts from being moved
     spot = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << FETCH_BITS))
-    wanted = tied.select(spot("rep").alias("bit")).groupBy(F.shiftright("bit", 6).alias("_w")).agg(F.expr("bit_or(shiftleft(1L, cast(bit % 64 as int)))").alias("_v"))
-    texts = rows.withColumn("_bit", spot("doc_id")).join(F.broadcast(wanted), F.shiftright("_bit", 6) == F.col("_w"))
-    texts = texts.filter(F.expr("(shiftrightunsigned(_v, cast(_bit % 64 as int)) & 1L) = 1")).select(F.col("doc_id").alias("rep_id"), "text")
-    found = members.join(texts, F.col("rep").eqNullSafe(F.col("rep_id"))).select("block", "node", "text")
-    links = found.groupBy("block").applyInArrow(verify_block(width, percent), T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())]))
-    roots = components(links)
-    out = features.select("doc_id", "n", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    out = out.withColumn("root", F.when(F.col("n") > 0, F.col("root")))
-    names = out.filter("n > 0").groupBy("root").agg(F.min("doc_id").alias("low")).select(F.col("root").alias("_root"), "low")
-    out = out.join(names, F.col("root") == F.col("_root"), "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("low")).otherwise(F.col("doc_id")).alias("component_id"))
+    wanted = members.select(spot("_mark").alias("bit")).groupBy(F.shiftright("bit", 6).alias("_w")).agg(F.expr("bit_or(shiftleft(1L, cast(bit % 64 as int)))").alias("_v"))
+    texts = rows.withColumn("bit", spot("mark")).join(F.broadcast(wanted), F.shiftright("bit", 6) == F.col("_w"))
+    texts = texts.filter(F.expr("(shiftrightunsigned(_v, cast(bit % 64 as int)) & 1L) = 1")).select("doc_id", "mark", "text")
+    found = members.join(texts, (F.col("_mark") == F.col("mark")) & F.col("id").eqNullSafe(F.col("doc_id"))).select("block", "grp", "node", "part", "ask", "text")
+    return found.groupBy("block").applyInArrow(verify_block(width, percent), T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())]))
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:

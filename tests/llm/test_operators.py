@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 sys.path.insert(0, str(Path(__file__).parent))
 import brute  # noqa: E402
 
-from tessera.llm import brown, bytesuffix, components, exact, html, jaccard, kernels, mixing, quality, repeats, tables, tokencount, wordrepeats  # noqa: E402
+from tessera.llm import brown, bytesuffix, components, exact, html, jaccard, kernels, linkage, mixing, quality, repeats, tables, tokencount, wordrepeats  # noqa: E402
 from tessera.llm import bpe as B  # noqa: E402
 
 DDL = "doc_id long, text string, lang string, source string, n_chars long"
@@ -102,16 +102,63 @@ def test_jaccard(docs, rows, width, percent):
 
 
 def test_jaccard_in_chunks(docs, rows, none, monkeypatch):
-    monkeypatch.setattr(jaccard, "FEW", 2)
+    monkeypatch.setattr(jaccard, "SOME", 2)
     monkeypatch.setattr(jaccard, "CHUNK", 3)
-    monkeypatch.setattr(jaccard, "WEIGHT", 700)
+    monkeypatch.setattr(jaccard, "WEIGHT", 4000)
     monkeypatch.setattr(jaccard, "POSTINGS", 100)
     assert collected(jaccard.near_duplicates(docs, width=3, percent=80), "doc_id", "n_shingles", "component_id") == sorted(brute.jaccard(pairs(rows), 3, 80), key=key)
     assert jaccard.near_duplicates(none).count() == 0
     kept = jaccard.drop_near_copies(docs, width=5, percent=80)
     assert kept.columns == docs.columns
     ids = sorted(r[0] for r in kept.select("doc_id").collect() if r[0] is not None)
-    assert ids == sorted(i for i, _, c in brute.jaccard(pairs(rows), 5, 80) if i is not None and i == c)
+    assert ids == sorted({i for i, _, c in brute.jaccard(pairs(rows), 5, 80) if i is not None and i == c})  # one row of those that repeat
+
+
+def test_forest_by_pivots():
+    """All parts of a graph are joined, however its nodes are cut into parts and chunks."""
+    import numpy as np
+
+    r = random.Random(4)
+    for _ in range(200):
+        k = r.randint(1, 12)
+        near = [[r.random() < 0.15 for _ in range(k)] for _ in range(k)]
+        near = [[near[min(a, b)][max(a, b)] for b in range(k)] for a in range(k)]
+        part = np.array([r.randrange(3) if r.random() < 0.3 else 10 + x for x in range(k)])
+        ask = part != np.unique(part)[np.unique(part, return_inverse=True)[1].max()]
+        for given, asked in ((None, None), (part, np.ones(k, bool)), (part, ask)):
+            edges = linkage.forest_by_pivots(k, lambda x, others, near=near: np.array([y for y in others if near[x][y]], dtype=np.int64), given, asked)
+            forest, want = components.Forest(), components.Forest()
+            for f, pairs_ in ((forest, edges), (want, [(a, b) for a in range(k) for b in range(k) if near[a][b] and (asked is None or asked[a] or asked[b])])):
+                for x in range(k):
+                    if given is not None:
+                        f.union(x, 100 + int(given[x]))
+                for a, b in pairs_:
+                    f.union(a, b)
+            assert [forest.find(x) == forest.find(y) for x in range(k) for y in range(k)] == [want.find(x) == want.find(y) for x in range(k) for y in range(k)]
+
+
+def linking(both):
+    def verify(table):
+        node, grp, part, ask = (table.column(c).to_pylist() for c in ("item", "grp", "part", "ask"))
+        found = [(a, b) for a, p, k, g in zip(node, part, ask, grp, strict=True) for b, q, h in zip(node, part, grp, strict=True) if k and p != q and g == h and (a, b) in both]
+        return pa.table({"a": [a for a, _ in found], "b": [b for _, b in found]}, schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+
+    return verify
+
+
+def test_linked_group_in_chunks(spark):
+    """A large group of chains and stars, cut into many chunks: every link that joins two parts is found."""
+    r = random.Random(8)
+    for kind in ("star", "chain", "none"):
+        links = {"star": [(50, x) for x in range(200) if x != 50 and x % 7], "chain": [(x, x + 1) for x in range(199) if x % 50], "none": []}[kind]
+        both = {(a, b) for a, b in links} | {(b, a) for a, b in links}
+
+        items = spark.createDataFrame([(1, x, 1) for x in r.sample(range(200), 200)] + [(2, 1000, 1), (2, 1001, 1)], "grp long, item long, weight long")
+        got = dict(tuple(x) for x in linkage.linked(items, 12, lambda blocks, both=both: blocks.groupBy("block").applyInArrow(linking(both), "a long, b long")).collect())
+        forest = components.Forest()
+        for a, b in links:
+            forest.union(a, b)
+        assert got == {x: forest.find(x) for x in forest.up if forest.find(x) != x}
 
 
 @pytest.mark.parametrize("few", [200_000, 0])

@@ -57,43 +57,24 @@ def count_slice(data: np.ndarray, off: np.ndarray) -> list[np.ndarray]:
     lines = np.bincount(own, minlength=n)
     has_word = np.searchsorted(starts, stop) > np.searchsorted(starts, begin)
     begin, stop, own = begin[has_word], stop[has_word], own[has_word]
-    key = _keyed(K.span_hash(data, begin, stop), own)
-    dup_lines = np.bincount(own, minlength=n) - _distinct(key, own, n)
+    line, kinds = K.exact_ids(data, begin, stop)
+    dup_lines = np.bincount(own, minlength=n) - np.bincount(np.unique(own * max(1, len(kinds)) + line) // max(1, len(kinds)), minlength=n)
 
     # words inside windows that are found again in the same text
-    words = K.span_hash(data, starts, ends)
-    runs = K.run_hash(words, WINDOW)
-    runs_at = np.flatnonzero(K.inside(first, WINDOW, len(words))[: len(runs)])
-    holder = K.owner(first)
-    key = _keyed(runs[runs_at], holder[runs_at])
-    at = runs_at[_repeated(key)]
-    cover = np.zeros(len(words) + 1, dtype=np.int64)
+    word = K.exact_ids(data, starts, ends)[0].astype(np.int32)
+    at = np.flatnonzero(K.inside(first, WINDOW, len(word))[: max(0, len(word) - WINDOW + 1)])
+    rows = np.ascontiguousarray(word[at[:, None] + np.arange(WINDOW)]).view(np.uint8).ravel()
+    border = np.arange(len(at) + 1) * 4 * WINDOW
+    window, kinds = K.exact_ids(rows, border[:-1], border[1:])
+    _, back, count = np.unique(K.owner(first)[at] * max(1, len(kinds)) + window, return_inverse=True, return_counts=True)
+    at = at[count[back] > 1]
+    cover = np.zeros(len(word) + 1, dtype=np.int64)
     np.add.at(cover, at, 1)
     np.add.at(cover, at + WINDOW, -1)
     again = np.concatenate([[0], np.cumsum(np.cumsum(cover[:-1]) > 0)])
     return [np.diff(first), chars, per_doc(SYMBOLS[data]), dup_lines, np.diff(again[first]), per_doc(LETTERS[data]), lines]
 
 
-def _keyed(hashes: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        return K.mix(hashes + (doc.astype(np.uint64) + np.uint64(1)) * K.BASE)
-
-
-def _distinct(key: np.ndarray, own: np.ndarray, n: int) -> np.ndarray:
-    _, at = np.unique(key, return_index=True)
-    return np.bincount(own[at], minlength=n)
-
-
-def _repeated(key: np.ndarray) -> np.ndarray:
-    """Positions whose key occurs more than once."""
-    order = np.argsort(key, kind="stable")
-    same = key[order[1:]] == key[order[:-1]]
-    hit = np.zeros(len(key), dtype=bool)
-    hit[order[1:][same]] = True
-    hit[order[:-1][same]] = True
-    return np.flatnonzero(hit)
-
-
 def count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, off = K.text_arrays(batch.column(1))
@@ -122,16 +103,20 @@ class Rule:
 
 
 def standard_rules() -> list[Rule]:
-    """Length, symbols per word and per character, repeated lines, repeated windows, word length, share of letters."""
+    """Seven rules, each of which also votes against some good texts: none is to decide alone.
+
+    Symbols for each word and for each character, share of letters, word length, repeated lines,
+    words in repeated windows, length.  All bounds differ from those of ``base_failed``.
+    """
     words, chars = F.col("n_words"), F.col("word_chars")
     return [
-        Rule("length", words >= 50, words < 20),
-        Rule("symbols", 100 * F.col("n_symbols") <= 5 * words, 100 * F.col("n_symbols") > 10 * words),
-        Rule("symbol_chars", 100 * F.col("n_symbols") <= 2 * chars, 100 * F.col("n_symbols") > 6 * chars),
-        Rule("lines", 10 * F.col("n_dup_lines") <= F.col("n_lines"), (F.col("n_dup_lines") >= 2) & (10 * F.col("n_dup_lines") > 3 * F.col("n_lines"))),
-        Rule("windows", 100 * F.col("n_repeat_words") <= 10 * words, 100 * F.col("n_repeat_words") > 30 * words),
-        Rule("word_length", (10 * chars >= 30 * words) & (chars <= 9 * words), (10 * chars < 20 * words) | (chars > 14 * words)),
-        Rule("letters", 100 * F.col("n_letters") >= 80 * chars, 100 * F.col("n_letters") < 70 * chars),
+        Rule("symbols", 100 * F.col("n_symbols") <= 2 * words, 100 * F.col("n_symbols") > 8 * words),
+        Rule("symbol_chars", 200 * F.col("n_symbols") <= chars, 50 * F.col("n_symbols") > chars),
+        Rule("letters", 100 * F.col("n_letters") >= 93 * chars, 100 * F.col("n_letters") < 90 * chars),
+        Rule("word_length", (10 * chars >= 45 * words) & (chars <= 6 * words), (10 * chars < 42 * words) | (10 * chars > 65 * words)),
+        Rule("lines", F.col("n_dup_lines") == 0, 100 * F.col("n_dup_lines") > 15 * F.col("n_lines")),
+        Rule("windows", F.col("n_repeat_words") == 0, 100 * F.col("n_repeat_words") > 8 * words),
+        Rule("length", words >= 80, words < 50),
     ]
 
 
@@ -158,18 +143,16 @@ class Votes:
         return (1 - self.good) * self.table[0, :, 0] + self.good * self.table[1, :, 1]
 
 
-def fit(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200, prior: float = 0.85, belief: float = 0.02, alarm: float = 0.02) -> Votes:
+def fit(patterns: np.ndarray, counts: np.ndarray, rounds: int = 500, prior: float = 0.85, belief: float = 0.02) -> Votes:
     """Expectation-maximisation over pattern counts.
 
-    The start: a bad text breaks about a third of the rules, since each rule watches for another
-    kind of junk, and a good text breaks one in five hundred.  The same belief stays as
-    pseudo-counts worth ``belief`` of the corpus, so that classes keep their names and a rule that
-    hardly speaks is not believed blindly.  ``alarm`` bounds the share of good texts that a rule may
-    vote against: without the bound, a kind of junk that only one rule sees would pass for good.
+    The start takes a bad text to break half of the rules and a good one to break one in fifty.  It
+    stays as a prior, pseudo-counts worth ``belief`` of the corpus, so that classes keep their names
+    and a rule that hardly speaks is not believed blindly; nothing else holds the estimates.
     """
     rules = patterns.shape[1]
     start = np.empty((2, rules, 2))
-    start[0], start[1] = (0.35, 0.65), (0.002, 0.998)
+    start[0], start[1] = (0.5, 0.5), (0.02, 0.98)
     total = max(1.0, float(counts.sum()))
     model, weight = Votes(prior, start.copy()), belief * total
     for _ in range(rounds):
@@ -179,8 +162,6 @@ def fit(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200, prior: floa
             for r in range(rules):
                 table[c, r] += np.bincount(patterns[:, r], weights=share, minlength=3)[:2]
         table /= table.sum(axis=2, keepdims=True)
-        table[1, :, 0] = np.minimum(table[1, :, 0], alarm)
-        table[1, :, 1] = 1 - table[1, :, 0]
         good = float(np.clip((counts @ p + prior * weight) / (total + weight), 1e-3, 1 - 1e-3))
         done = abs(good - model.good) < 1e-9 and np.abs(table - model.table).max() < 1e-9
         model = Votes(good, table)
@@ -194,8 +175,10 @@ def quality_filter(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     ``base_failed`` marks texts of under 20 words and those of which more than 30 % of the words
     stand in repeated windows; they are never kept.  The others stay when ``p_good``, the
-    posterior of the votes, is at least ``threshold``.  Null ids stay null; empty and null texts
-    fail the base; repeated rows get equal results each; an empty table gives an empty result.
+    posterior of the votes, is at least ``threshold``.  Lines and windows are compared by content.
+    Null ids stay null; empty and null texts fail the base; texts of any length are read whole;
+    repeated rows get equal results each; other columns are not read, whatever their names; an
+    empty table gives an empty result.
     """
     rules = rules or standard_rules()
     counts = materialise(text_counts(docs, id_col, text_col))

@@ -5,13 +5,16 @@ pre-tokens of a batch that are not known yet are laid out as one flat array of s
 round looks up the rank of every adjacent pair by binary search over the sorted pair keys, and
 merges in each word all occurrences of its lowest-ranked pair.  Words without a mergeable pair
 leave the array.  Known pre-tokens stay in a bounded cache of sorted hashes for the rest of the
-task.  Every document is decoded again; one that does not come back byte for byte (a hash
-collision) is encoded word by word instead.
+task.  Every document is decoded again, which compares it with the contents behind its hashes; one
+that does not come back byte for byte is encoded without them.  Documents longer than ``PIECE``
+bytes are cut where a pre-token starts whatever stands around it, so memory does not follow their
+length.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
@@ -29,6 +32,9 @@ OTHER, LETTER, NUMBER, SPACE = range(4)
 #: Pre-tokens kept per task; the cache starts afresh beyond.
 CACHE = 400_000
 
+#: Bytes of a document that are encoded at a time, about.
+PIECE = 8 << 20
+
 
 @lru_cache(maxsize=1)
 def char_classes() -> np.ndarray:
@@ -213,7 +219,7 @@ class Encoder:
             at = np.searchsorted(self.hashes, own)
         return self.at[at][back], self.size[at][back]
 
-    def documents(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def documents(self, data: np.ndarray, off: np.ndarray, hashed: bool = True) -> tuple[np.ndarray, np.ndarray]:
         """Token ids of all documents of a slice, flat, and the borders between documents."""
         pieces, special = self.pieces(data, off)
         points = np.frombuffer(data.tobytes().decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -222,8 +228,11 @@ class Encoder:
         first = pretokens(points, np.searchsorted(byte_at, pieces[:-1]) if len(points) else pieces[:0])
         starts = byte_at[first]
         ends = np.append(starts[1:], len(data))
-        at, size = self.words(data, starts, ends)
-        ids = self.ids[ranges(at, size)]
+        if hashed:
+            at, size = self.words(data, starts, ends)
+            ids = self.ids[ranges(at, size)]
+        else:
+            ids, size = self.v.encode(data, np.append(starts, len(data)))
         if special:
             # the words of a special piece give way to its one id
             begin = np.cumsum(size) - size
@@ -254,17 +263,43 @@ class Encoder:
         return np.unique(np.concatenate([off, [x for f in found for x in f[:2]]]).astype(np.int64)), found
 
     def checked(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """``documents`` and the decoded bytes; a document that does not come back is encoded afresh."""
+        """``documents`` and the decoded bytes; documents that do not come back are encoded without hashes."""
         ids, cut = self.documents(data, off)
         back = self.v.decode(ids)
         if len(back) == len(data) and np.array_equal(back, data):
             return ids, cut, back
-        if len(off) == 2:
-            self.clear()
-            ids, cut = self.documents(data, off)
-            return ids, cut, self.v.decode(ids)
-        parts = [Encoder(self.v).checked(data[a:b], np.array([0, b - a])) for a, b in zip(off[:-1], off[1:], strict=True)]
-        return np.concatenate([p[0] for p in parts]), np.concatenate([[0], np.cumsum([len(p[0]) for p in parts])]), np.concatenate([p[2] for p in parts])
+        parts, backs = [], []
+        for a, b, i, j in zip(off[:-1], off[1:], cut[:-1], cut[1:], strict=True):
+            own = ids[i:j]
+            if not np.array_equal(self.v.decode(own), data[a:b]):
+                own = self.documents(data[a:b], np.array([0, b - a]), hashed=False)[0]
+            parts.append(own)
+            backs.append(self.v.decode(own))
+        return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])]), np.concatenate(backs)
+
+
+#: A letter, one blank, a letter, none of which can be part of a special token: a pre-token starts at the blank.
+SEAM = re.compile(rb"[A-Za-z] (?=[A-Za-z])")
+
+
+def long_pieces(raw: bytes, special: list[bytes], size: int) -> Iterator[bytes]:
+    """A text cut at seams, into pieces of ``size`` bytes or a little more."""
+    at = 0
+    while len(raw) - at > size:
+        m = SEAM.search(raw, at + size)
+        while m is not None and any(t in raw[m.start() + 2 - len(t) : m.start() + len(t)] for t in special):
+            m = SEAM.search(raw, m.start() + 1)
+        if m is None:
+            break
+        yield raw[at : m.start() + 1]
+        at = m.start() + 1
+    yield raw[at:]
+
+
+@lru_cache(maxsize=2)
+def load(path: str) -> Vocabulary:
+    """A vocabulary, once for each Python worker."""
+    return Vocabulary(path)
 
 
 def byte_level_path(name: str = "byte_bpe_50k.json") -> str:
@@ -277,22 +312,36 @@ def encode_batches(path: str, with_ids: bool):
     """Arrow function: (doc_id, text) -> doc_id, n_tokens, ids_sha256, decoded_sha256 and, if wanted, ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = Vocabulary(path)
+        vocabulary = load(path)
         encoder, decimal = Encoder(vocabulary), vocabulary.decimal
+
+        def row(column: pa.Array, count: list, told: list, text: list, ids: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
+            columns, names = [column, pa.array(count, pa.int64()), pa.array(told), pa.array(text)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+            if with_ids:
+                columns.append(pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids.astype(np.int32))))
+                names.append("ids")
+            return pa.RecordBatch.from_arrays(columns, names=names)
+
         for batch in batches:
             data, off = K.text_arrays(batch.column(1))
             for i, j, part, cut in K.slices(data, off):
+                column = batch.column(0).slice(i, j - i)
+                if len(part) > 2 * PIECE:  # one document; a slice of several is not as long
+                    told, text, found = sha256(), sha256(), []
+                    for piece in long_pieces(part.tobytes(), list(vocabulary.special), PIECE):
+                        ids, _, back = encoder.checked(np.frombuffer(piece, np.uint8), np.array([0, len(piece)]))
+                        told.update((b"," if found else b"") + ",".join([decimal[x] for x in ids.tolist()]).encode())
+                        text.update(back.tobytes())
+                        found.append(ids.astype(np.int32))
+                    ids = np.concatenate(found)
+                    yield row(column, [len(ids)], [told.hexdigest()], [text.hexdigest()], ids, np.array([0, len(ids)]))
+                    continue
                 ids, at, back = encoder.checked(part, cut)
                 size = np.concatenate([[0], np.cumsum(vocabulary.length[ids])])[at]
                 flat, raw = ids.tolist(), back.tobytes()
                 told = [sha256(",".join([decimal[x] for x in flat[a:b]]).encode()).hexdigest() for a, b in zip(at[:-1], at[1:], strict=True)]
                 text = [sha256(raw[a:b]).hexdigest() for a, b in zip(size[:-1], size[1:], strict=True)]
-                columns = [batch.column(0).slice(i, j - i), pa.array(np.diff(at)), pa.array(told), pa.array(text)]
-                names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
-                if with_ids:
-                    columns.append(pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids.astype(np.int32))))
-                    names.append("ids")
-                yield pa.RecordBatch.from_arrays(columns, names=names)
+                yield row(column, np.diff(at).tolist(), told, text, ids, at)
 
     return run
 
@@ -301,8 +350,8 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
     """One row per row of ``docs``: doc_id, n_tokens, ids_sha256, decoded_sha256 and, unless unwanted, the ids.
 
     Null and empty texts have no tokens; repeated rows are encoded each; texts of any length are
-    encoded whole; an empty table gives an empty result.  The vocabulary file must be readable at
-    the same path on every executor.
+    encoded whole; other columns are not read, whatever their names; an empty table gives an empty
+    result.  The vocabulary file must be readable at the same path on every executor.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids

@@ -165,6 +165,35 @@ class Counter:
 
     def clear(self) -> None:
         self.hashes, self.count = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
+        self.raw = np.zeros(0, dtype=np.uint8)  # the units' bytes, and where each one's are
+        self.begin, self.end = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+
+    def units(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Number of tokens of each unit; units are told apart by their bytes, which the cache keeps."""
+        back, example = K.exact_ids(data, starts, ends)
+        starts, ends = starts[example], ends[example]
+        key = K.span_hash(data, starts, ends)
+        if len(self.hashes) > self.limit:
+            self.clear()
+        at = np.minimum(np.searchsorted(self.hashes, key), max(0, len(self.hashes) - 1))
+        taken = self.hashes[at] == key if len(self.hashes) else np.zeros(len(key), dtype=bool)
+        known = taken.copy()
+        if len(self.hashes):
+            known[known] = K.same_spans(data, starts[known], ends[known], self.raw, self.begin[at[known]], self.end[at[known]])
+        out = np.zeros(len(key), dtype=np.int64)
+        out[known] = self.count[at[known]]
+        new = np.flatnonzero(~known)
+        if len(new):
+            raw = data.tobytes()
+            out[new] = self.model.counts([MARK + raw[a:b].decode("utf-8", "surrogatepass") for a, b in zip(starts[new].tolist(), ends[new].tolist(), strict=True)])
+            fresh = new[np.unique(key[new], return_index=True)[1]]
+            fresh = fresh[~taken[fresh]]  # of units that share a hash, one is kept
+            size = ends[fresh] - starts[fresh]
+            stop = len(self.raw) + np.cumsum(size)
+            self.raw = np.concatenate([self.raw, *[data[a:b] for a, b in zip(starts[fresh].tolist(), ends[fresh].tolist(), strict=True)]])
+            place = np.searchsorted(self.hashes, key[fresh])
+            self.hashes, self.count, self.begin, self.end = (np.insert(x, place, y) for x, y in ((self.hashes, key[fresh]), (self.count, out[fresh]), (self.begin, stop - size), (self.end, stop)))
+        return out[back]
 
     def documents(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
         """Number of tokens of each document: units start at the document's start and at every blank."""
@@ -180,27 +209,19 @@ class Counter:
         ends = np.append(starts[1:], len(data)) if len(starts) else starts
         # every unit starts with the mark: in the place of its blank, or added at a document's start
         bare_from = starts + np.where(mark[starts], 3, data[starts] == 0x20)
-        key = K.span_hash(data, bare_from, ends)
-        own, example, back = np.unique(key, return_index=True, return_inverse=True)
-        if len(self.hashes) > self.limit:
-            self.clear()
-        at = np.searchsorted(self.hashes, own)
-        known = at < len(self.hashes)
-        known[known] = self.hashes[at[known]] == own[known]
-        new = np.flatnonzero(~known)
-        if len(new):
-            raw = data.tobytes()
-            units = [MARK + raw[a:b].decode("utf-8", "surrogatepass") for a, b in zip(bare_from[example[new]].tolist(), ends[example[new]].tolist(), strict=True)]
-            place = at[new]
-            self.hashes, self.count = np.insert(self.hashes, place, own[new]), np.insert(self.count, place, self.model.counts(units))
-            at = np.searchsorted(self.hashes, own)
-        total = np.concatenate([[0], np.cumsum(self.count[at][back])])
+        total = np.concatenate([[0], np.cumsum(self.units(data, bare_from, ends))])
         return np.diff(total[np.searchsorted(starts, off)])
 
 
+@lru_cache(maxsize=2)
+def load_model(path: str) -> Unigram:
+    """The model of a piece table, once for each Python worker."""
+    return Unigram(load_pieces(path))
+
+
 def count_batches(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = Counter(Unigram(load_pieces(path)))
+        counter = Counter(load_model(path))
         for batch in batches:
             data, off = K.text_arrays(batch.column(1))
             for i, j, part, cut in K.slices(data, off):
@@ -213,8 +234,8 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """One row per row of ``docs``: doc_id, n_bytes, n_tokens.
 
     Null and empty texts have no tokens; repeated rows are counted each; texts of any length are
-    counted whole; an empty table gives an empty result.  The vocabulary is the piece table of a
-    sentencepiece file, read as a unigram model.
+    counted whole; other columns are not read, whatever their names; an empty table gives an empty
+    result.  The vocabulary is the piece table of a sentencepiece file, read as a unigram model.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))

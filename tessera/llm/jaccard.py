@@ -33,8 +33,8 @@ from pyspark.sql import types as T
 
 from . import kernels as K
 from .components import components
-from .linkage import forest_by_pivots, linked, small
-from .tables import WORD, materialise, row_key, spread
+from .linkage import forest_by_pivots, linked
+from .tables import WORD, materialise, row_key, small, spread
 
 #: Counters of the table that orders tokens: 2**COUNTER_BITS, whatever the input.
 COUNTER_BITS = 20

@@ -22,22 +22,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .tables import materialise, spread
+from .tables import materialise, small, spread
 
 #: Pivots of a group, about.
 PIVOTS = 16
-#: Rows of a table that may be broadcast.
-BROADCAST = 1 << 16
-
 #: (block, grp, item, part, ask): items to be compared with the others of their block and group; edges (a, b) come back.
 Compare = Callable[[DataFrame], DataFrame]
 
 
-def small(df: DataFrame) -> DataFrame:
-    """``df``, marked for broadcast if it is as small as that."""
-    return F.broadcast(df) if df.count() <= BROADCAST else df
-
-
 def linked(items: DataFrame, room: int, compare: Compare, known: DataFrame | None = None) -> DataFrame:
     """Items (grp, item, weight) -> (node, root), see components(); ``known`` are edges that are known already.
 

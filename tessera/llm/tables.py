@@ -55,6 +55,15 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows of a table that may be broadcast.
+BROADCAST = 1 << 16
+
+
+def small(df: DataFrame) -> DataFrame:
+    """``df``, marked for broadcast if it has no more than BROADCAST rows."""
+    return F.broadcast(df) if df.count() <= BROADCAST else df
+
+
 def row_key(text: Column, *cols: Column) -> Column:
     """What decisions about a row are looked up by: its text, by 256 bits, and the values of ``cols``; never null."""
     parts = [x for i, c in enumerate(cols) for x in (c.isNull().alias(f"n{i}"), F.coalesce(c.cast("string"), F.lit("")).alias(f"v{i}"))]

@@ -6,9 +6,15 @@ lowers it, the more the larger the body's own share of link text.  A node's dens
 sum over its children.  The threshold is the smallest density on the path from the body to the
 node with the largest density sum.  From the body down, each branch whose density reaches the
 threshold has the subtree with its largest density sum marked; the marked subtrees, in page order,
-are the main content, so an article split over sibling containers is whole.  Of it, blocks that
-are not part of the article are left out; an article or main element around the largest density
-sum is the content by itself.
+are the main content, so an article split over sibling containers is whole.  An article or main
+element on the path reaches the threshold as well; it is the content by itself.
+
+Of the content, blocks that are not part of it are left out: elements made for something else, and
+blocks whose class or role says so.  Such words count only where the text agrees: not for a block
+around most of the page's unlinked text or around its only article, and words with other meanings
+(tags, search, notice) only for blocks of links, below the threshold, or small beside the content.
+
+Parsing and measuring take time in proportion to the page, however broken its tags are.
 """
 
 from __future__ import annotations
@@ -49,87 +55,149 @@ INLINE = frozenset("b i em strong a span u s small big code font tt abbr cite ma
 #: Elements that are menus where links make up most of them, outside of articles.
 LISTS = frozenset("ul ol dl div section table center".split())
 
-#: Words in class, id, role or aria-label that mark what is not the article.
-NOISE = re.compile(r"(?:^|[\s_\-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|comments?|replies|respond|disqus|sidebar|side|widget|related|recommend\w*|share|sharing|social|cookies?|consent|gdpr|notice|popup|modal|newsletter|subscribe|signup|login|breadcrumbs?|pagination|pager|menu|nav\w*|footer|masthead|toolbar|copyright|skip|tags?|contentinfo|complementary|navigation|search|alert)(?=$|[\s_\-])", re.I)
+#: Words in class, id, role or aria-label that mark what is not the article; the last ones mean other things too.
+TALK = "comments? replies respond disqus"
+PLAIN = r"ads? advert\w* sponsor\w* promo\w* sidebar share sharing social cookies? consent gdpr popup modal newsletter subscribe signup login breadcrumbs? pagination pager menu nav\w* footer masthead toolbar copyright contentinfo complementary navigation"
+VAGUE = r"banner side widget related recommend\w* notice skip tags? search alert"
+#: What an element is marked by; FIXED by its name or because it is hidden.
+FREE, VAGUELY, PLAINLY, AS_TALK, FIXED = range(5)
+WORDS = [(mark, re.compile(rf"(?:^|[\s_\-])(?:{words.replace(' ', '|')})(?=$|[\s_\-])", re.I)) for mark, words in ((AS_TALK, TALK), (PLAINLY, PLAIN), (VAGUELY, VAGUE))]
 WHOLE = frozenset("html body main article".split())
-
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(?:!|\?)[^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+HOLDS = frozenset(["article", "main", "h1"])
+#: Elements that frame other blocks; marks on others are weighed against their links.
+FRAMES = frozenset("div section ul ol dl header center details fieldset".split())
+#: Elements that hold quoted or arranged text of an article: any mark on them needs links.
+QUOTED = frozenset("table thead tbody tr td th blockquote pre figure h1 h2 h3 h4 h5 h6".split())
+
+START = re.compile(r"<(?:!--|[!?]|/?([a-zA-Z][a-zA-Z0-9:-]*))")
+QUOTES = re.compile(r"[\"'>]")
 ATTRIBUTE = re.compile(r"([a-zA-Z:-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|\b(hidden)\b")
 
 
 class Node:
-    __slots__ = ("aside", "characters", "children", "density", "link_characters", "link_tags", "name", "parent", "sum", "tags")
+    __slots__ = ("aside", "characters", "children", "density", "link_characters", "link_tags", "mark", "name", "parent", "sum", "tags")
 
-    def __init__(self, name: str, parent: Node | None, aside: bool = False) -> None:
-        self.name, self.parent, self.aside = name, parent, aside
+    def __init__(self, name: str, parent: Node | None, mark: int = FREE) -> None:
+        self.name, self.parent, self.mark, self.aside = name, parent, mark, False
         self.children: list[Node | str] = []
         self.characters = self.tags = self.link_characters = self.link_tags = 0
         self.density = self.sum = 0.0
 
 
-def is_noise(attributes: str) -> bool:
-    """Do the attributes of a start tag say that the element is not part of an article?"""
+def mark_of(attributes: str) -> int:
+    """What the attributes of a start tag say that the element is marked as."""
+    out = FREE
     for name, a, b, c, hidden in ATTRIBUTE.findall(attributes):
         value = a or b or c
         name = name.lower()
         if hidden or (name == "aria-hidden" and value.lower() == "true"):
-            return True
-        if name in ("class", "id", "role", "aria-label") and NOISE.search(value):
-            return True
+            return FIXED
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
-    return False
+            return FIXED
+        if name in ("class", "id", "role", "aria-label"):
+            out = max([out, *(mark for mark, words in WORDS if words.search(value))])
+    return out
+
+
+class Tags:
+    """The tags of a page, one after another, in time proportional to its length."""
+
+    def __init__(self, page: str) -> None:
+        self.page, self.quoted = page, True
+
+    def next(self, at: int) -> tuple[int, int, str | None, bool, str] | None:
+        """(start, end, name or None, is it an end tag?, attributes) of the first tag from ``at`` on."""
+        page = self.page
+        while (m := START.search(page, at)) is not None:
+            start = m.start()
+            if m[0] == "<!--":
+                end = page.find("-->", m.end())
+                return start, len(page) if end < 0 else end + 3, None, False, ""
+            end = self.close(m.end(), m[1] is not None)
+            if end < 0:
+                return None  # nothing behind is a tag either
+            return start, end, m[1], m[0].startswith("</"), page[m.end() : end - 1]
+        return None
+
+    def close(self, at: int, quoted: bool) -> int:
+        """Behind the > that ends a tag, not inside quotes; once quotes do not close, they count for nothing."""
+        page, begin = self.page, at
+        while self.quoted and quoted:
+            m = QUOTES.search(page, at)
+            if m is None:
+                break
+            if m[0] == ">":
+                return m.end()
+            at = page.find(m[0], m.end()) + 1
+            if at == 0:
+                break
+        else:
+            return page.find(">", begin) + 1 or -1
+        self.quoted = False
+        return page.find(">", begin) + 1 or -1
 
 
 def parse(page: str) -> Node:
     """The element tree; end tags that are missing or too many are put up with."""
     root = Node("html", None)
-    here, at, size = root, 0, len(page)
+    here, at, size, tags = root, 0, len(page), Tags(page)
+    opened: dict[str, int] = {}  # open elements by name
+
+    def close(to: Node) -> Node:
+        nonlocal here
+        while here is not to:
+            opened[here.name] -= 1
+            here = here.parent
+        return here
+
     while at < size:
-        m = TAG.search(page, at)
-        if m is None:
+        tag = tags.next(at)
+        if tag is None:
             here.children.append(page[at:])
             break
-        if m.start() > at:
-            here.children.append(page[at : m.start()])
-        at = m.end()
-        name = m[2]
+        start, end, name, closing, attributes = tag
+        if start > at:
+            here.children.append(page[at:start])
+        at = end
         if name is None:
             continue
         name = name.lower()
-        if m[1]:
-            node = here
+        if closing:
+            node = here if opened.get(name) else None
             while node is not None and node.name != name:
                 if name in INLINE and node.name in SCOPE:
                     node = None  # a stray inline end tag ends no block
                     break
                 node = node.parent
             if node is not None and node.parent is not None:
-                here = node.parent
+                close(node.parent)
             continue
         if name in ("html", "body"):
             if name == "body" and here.name != "body":
-                here = Node("body", root, False)
+                close(root)
+                here = Node("body", root)
+                opened["body"] = opened.get("body", 0) + 1
                 root.children.append(here)
             continue
-        if name in ENDS_P:
+        if name in ENDS_P and opened.get("p"):
             node = here
             while node is not None and node.name != "p" and node.name not in SCOPE:
                 node = node.parent
             if node is not None and node.name == "p":
-                here = node.parent
+                close(node.parent)
         ends = CLOSES.get(name)
         while ends and here.parent is not None and here.name in ends:
-            here = here.parent
-        node = Node(name, here, name in ASIDE or (name not in WHOLE and is_noise(m[3])))
+            close(here.parent)
+        node = Node(name, here, FIXED if name in ASIDE else FREE if name in WHOLE else mark_of(attributes))
         here.children.append(node)
         if name in RAW:
             end = re.compile(rf"</{name}\s*[^>]*>", re.I).search(page, at)
             if name == "textarea" or name not in SILENT:
                 node.children.append(page[at : end.start() if end else size])
             at = end.end() if end else size
-        elif name not in EMPTY and not m[3].rstrip().endswith("/"):
+        elif name not in EMPTY and not attributes.rstrip().endswith("/"):
             here = node
+            opened[name] = opened.get(name, 0) + 1
     return root
 
 
@@ -177,34 +245,33 @@ def density(node: Node, share: float) -> float:
 def main_nodes(root: Node) -> list[Node]:
     """The subtrees, in page order, that the threshold of the body's path marks; or the article around the largest density sum."""
     nodes = measure(root)
-    for n in nodes:
-        # a mark on the frame around the whole article ("with-sidebar") does not mean the article
-        if n.aside and n.name not in ("nav", "footer", "aside", "menu") and _frames(n, root) and not any(x.name in ("article", "main") and not _inside_aside(x) for x in nodes):
-            n.aside = False
-    nodes = [n for n in nodes if not _inside_aside(n)]
-    if not nodes:
+    _set_aside(nodes, root)
+    live = _live(nodes)
+    if not live:
         return [root]
-    top = max(nodes, key=lambda n: n.sum)
+    top = max(live, key=lambda n: n.sum)
     if top.sum <= 0:
-        return [max(nodes, key=lambda n: n.density) if any(n.density > 0 for n in nodes) else root]
-    threshold, node = top.density, top
+        return [max(live, key=lambda n: n.density) if any(n.density > 0 for n in live) else root]
+    path, node = [], top
     while node is not None:
-        if node.name not in ("html",):
-            threshold = min(threshold, node.density)
-        node = node.parent
-    node, found = top, None
-    while node is not None:  # text belongs to the article around it, if there is one
-        if node.name in ("article", "main"):
-            found = found or node
+        path.append(node)
         node = node.parent
+    threshold = min(n.density for n in path if n.name != "html" or n is top)
+    on_path = set(path)
+    for n in live:  # words that mean other things too
+        if n.mark == VAGUELY and n not in on_path:
+            framed = n.name in FRAMES and (n.density < threshold or 4 * n.characters < top.characters)
+            n.aside = framed or 3 * n.link_characters >= n.characters
+    live = _live(live)
+    found = next((n for n in path if n.name in ("article", "main")), None)  # text belongs to the article around it, if there is one
     if found:
         return [found]
     best: dict[Node, Node] = {}  # the largest density sum of each subtree
-    for n in reversed(nodes):
+    for n in reversed(live):
         best[n] = max([n, *(best[c] for c in n.children if isinstance(c, Node) and c in best)], key=lambda x: x.sum)
     barred: set[Node] = set()  # what blocks() leaves out
     marked = {top}
-    for n in nodes:  # parents before children
+    for n in live:  # parents before children
         if n.parent in barred or n.name == "header" or (n.name in LISTS and 2 * n.link_characters > n.characters):
             barred.add(n)
         elif n.density >= threshold and n.name != "html":
@@ -220,18 +287,35 @@ def main_nodes(root: Node) -> list[Node]:
     return out
 
 
-def _frames(node: Node, root: Node) -> bool:
-    """Does an element hold the article, or the first heading and most of the page's text?"""
-    inner = {n.name for n in walk(node)}
-    return "article" in inner or "main" in inner or ("h1" in inner and 2 * node.characters > root.characters)
+def _set_aside(nodes: list[Node], root: Node) -> None:
+    """Which elements are plainly not the article, by their names and marks, where their text agrees."""
+    plain = root.characters - root.link_characters
+    holds: dict[Node, set[str]] = {}  # of article, main and h1, the elements inside
+    for n in reversed(nodes):
+        holds[n] = set().union(*({c.name} & HOLDS | holds[c] for c in n.children if isinstance(c, Node) and c in holds))
+        links = 2 * n.link_characters >= n.characters
+        n.aside = n.mark in (FIXED, AS_TALK) or (n.mark == PLAINLY and (links or n.name not in QUOTED))
+        if n.aside and n.mark == PLAINLY and 2 * (n.characters - n.link_characters) > plain:
+            n.aside = False  # a mark on the frame around the article ("with-sidebar") does not mean the article
+    inside = _inside(nodes)
+    if not any(n.name in ("article", "main") and not inside[n] for n in nodes):
+        for n in nodes:
+            if n.aside and n.name not in ("nav", "footer", "aside", "menu"):
+                most = n.mark == FIXED and "h1" in holds[n] and 2 * (n.characters - n.link_characters) > plain
+                n.aside = not (holds[n] - {"h1"} or most)
+
+
+def _inside(nodes: list[Node]) -> dict[Node, bool]:
+    """Is each node (parents before children) inside an element that was set aside, or one itself?"""
+    out: dict[Node, bool] = {}
+    for n in nodes:
+        out[n] = n.aside or out.get(n.parent, False)
+    return out
 
 
-def _inside_aside(node: Node | None) -> bool:
-    while node is not None:
-        if node.aside:
-            return True
-        node = node.parent
-    return False
+def _live(nodes: list[Node]) -> list[Node]:
+    inside = _inside(nodes)
+    return [n for n in nodes if not inside[n]]
 
 
 def blocks(node: Node) -> list[str]:
@@ -245,30 +329,31 @@ def blocks(node: Node) -> list[str]:
         if text:
             out.append(text)
 
-    loose = not _in_article(node)
-    stack: list[Node | str | None] = [node]
+    article = _in_article(node)
+    stack: list[tuple[Node | str | None, bool]] = [(node, article)]
     while stack:
-        x = stack.pop()
+        x, article = stack.pop()
         if x is None:
             flush()
         elif isinstance(x, str):
             part.append(x)
         elif x.name in SILENT or (x.aside and x is not node):
             continue
-        elif x.name == "header" and not _in_article(x):
+        elif x.name == "header" and not article:
             continue
-        elif loose and x is not node and x.name in LISTS and 2 * x.link_characters > x.characters:
+        elif not article and x is not node and x.name in LISTS and 2 * x.link_characters > x.characters:
             continue  # a menu
         else:
+            article = article or x.name == "article"
             if x.name in BLOCK:
                 flush()
-                stack.append(None)
-            stack.extend(reversed(x.children))
+                stack.append((None, article))
+            stack.extend((c, article) for c in reversed(x.children))
     flush()
     return out
 
 
-def _in_article(node: Node) -> bool:
+def _in_article(node: Node | None) -> bool:
     while node is not None:
         if node.name == "article":
             return True
@@ -295,7 +380,8 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """One row per row of ``pages``: page_id, url, text, n_chars.
 
     Null and empty pages give an empty text; repeated rows are extracted each; pages of any length
-    are read whole; an empty table gives an empty result.
+    are read whole; of subtrees with equal density sums the first one counts; other columns are not
+    read, whatever their names; an empty table gives an empty result.
     """
     kind = pages.schema[id_col].dataType.simpleString()
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))

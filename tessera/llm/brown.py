@@ -4,7 +4,7 @@
 2. A start: words that make up at least 1/SHARE of the tokens, at most SHARE of them, and the
    endings of all other words, in SHAPES units, are clustered on the driver by their bigrams.
    Exchange clustering moves one unit after another to the class that raises the likelihood of
-   the class bigrams most, until no unit moves.
+   the class bigrams most, until no unit moves, or ROUNDS times over all of them.
 3. Every word of the vocabulary, however rare, is then exchanged on its own: buckets get the
    counts of classes before and after each of their words, over all training tokens, and move
    word after word to its best class against the table of class bigrams.  Nothing of this is
@@ -230,7 +230,7 @@ def exchange(pairs: np.ndarray, classes: int = CLASSES, rounds: int = ROUNDS) ->
                 to[:, b] += pairs[:, u]
                 by[:, a] -= pairs[u, :]
                 by[:, b] += pairs[u, :]
-        if moved <= size // 1000:
+        if moved == 0:
             break
     return own
 
@@ -376,9 +376,9 @@ def learn(rows: DataFrame, n: int, classes: int = CLASSES) -> tuple[Model, DataF
     table = vocabulary.mapInArrow(frequent_batches(max(1.0, total / SHARE)), SUMS).filter("word is not null").collect()
     units = Units(np.array(sorted(int(np.int64(r["word"]).view(U)) for r in table), dtype=U))
     size = len(units)
-    pairs = np.zeros(size * size, dtype=np.float32)
+    pairs = np.zeros(size * size)
     counted = rows.mapInArrow(bigram_batches(units, n), DDL).groupBy("bucket").applyInArrow(sum_pairs, DDL)
-    for a, b in counted.select("a", "b").collect():  # at most (SHARE + SHAPES)**2 counts in all, 100 MB
+    for a, b in counted.select("a", "b").collect():  # at most (SHARE + SHAPES)**2 counts in all, 100 MB packed
         pairs[np.frombuffer(a, I)] = np.frombuffer(b, I)
     pairs = pairs.reshape(size, size)
     own = exchange(pairs, classes)
@@ -485,8 +485,10 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", class
     """One row per row of ``docs``: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     The model is trained on the rows that are not held out; there are at most 256 classes.  Null
-    and empty texts are one token, the end; repeated rows count each; a null id is trained on; an
-    empty table gives an empty result, and with nothing to train on every word is unseen.
+    and empty texts are one token, the end; repeated rows count each; a null id is trained on; of
+    classes that raise the likelihood alike the first one is taken; texts of any length are read
+    whole; other columns are not read, whatever their names; an empty table gives an empty result,
+    and with nothing to train on every word is unseen.
     """
     n = group_count(docs, text_col)
     base = groups_of(docs, n, id_col, text_col)

@@ -248,7 +248,8 @@ def drop_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     A byte goes when it lies in a string of ``length`` bytes of its document that also starts
     anywhere else, in the same document too; strings are those of the input.  Null and empty texts
-    have no bytes; rows that are repeated lose what they share like any other two; an empty table
-    gives an empty result.
+    have no bytes; rows that are repeated lose what they share like any other two; texts of any
+    length are read whole; other columns are not read, whatever their names; an empty table gives
+    an empty result.
     """
     return ByteRepeats(length).run(docs, id_col, text_col, "n_bytes long, n_removed long, n_spans long, kept_sha256 string")

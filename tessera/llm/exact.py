@@ -63,8 +63,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Texts are equal when they are identical without white space; null counts as empty, and empty
     texts are equal to each other.  The longest original stays, of these the smallest id; a null
-    id counts as larger than any other.  Of rows that repeat an id and its text, one stays.  An
-    empty table gives an empty result.
+    id counts as larger than any other.  Of rows that repeat an id and its text, one stays.  Texts
+    of any length are read whole; other columns are not read, whatever their names.  An empty table
+    gives an empty result.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     cut = docs.select(F.col(id_col).alias("doc_id"), F.length(text).alias("n_chars"), squeeze(F.col(text_col)).alias("bare"))

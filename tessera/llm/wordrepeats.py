@@ -153,7 +153,8 @@ def drop_repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     A word goes when it lies in a window of ``length`` words that also starts in a document with a
     smaller id; windows are those of the input.  Null and empty texts have no words; rows without
-    id count as having the largest id; rows that repeat an id do not remove each other's words; an
-    empty table gives an empty result.
+    id count as having the largest id; rows that repeat an id do not remove each other's words;
+    texts of any length are read whole; other columns are not read, whatever their names; an empty
+    table gives an empty result.
     """
     return WordRepeats(length).run(docs, id_col, text_col, "n_words long, n_removed long, kept_sha256 string")

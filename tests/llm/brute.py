@@ -123,6 +123,92 @@ def targets(sizes, weights=(3, 1, 2), share=1.5, most=2.0):
         fixed |= {s: most * sizes[s] for s in over}
 
 
+def mix(rows, draw, weights=(3, 1, 2), share=1.5, most=2):
+    """(doc_id, text, source) and doc_id -> random number: sorted (doc_id, size, copies), source by source in plain order."""
+    by = collections.defaultdict(list)
+    for i, text, s in rows:
+        by[s].append((i, len(words(text))))
+    want, out = targets({s: sum(n for _, n in d) for s, d in by.items()}, weights, share, most), []
+    for s, docs in by.items():
+        total = sum(n for _, n in docs)
+        whole = int(want[s] / total) if total else 0
+        missing = max(0.0, want[s] - whole * total)
+        kind = lambda n: math.floor(math.log2(math.sqrt(n)) * 8) if n else None
+        kinds, cut, rate, above = sorted({kind(n) for _, n in docs if n}, reverse=True), None, 0.0, 0
+        for k in kinds:
+            rest = [n for _, n in docs if n and kind(n) <= k]
+            rate = (missing - above) / sum(n * math.sqrt(n) for n in rest)
+            own = [n for n in rest if kind(n) == k]
+            if rate * math.sqrt(max(own)) <= 1 or above + sum(own) >= missing:
+                cut = k
+                break
+            above += sum(own)
+        taken, order = {}, []
+        for at, (i, n) in enumerate(docs):
+            taken[at] = 0
+            if missing > 0 and n and cut is not None:
+                if kind(n) > cut:
+                    taken[at] = 1
+                else:
+                    p, u = min(math.sqrt(n) * rate, 1 - 1e-6), draw[i]
+                    order.append(((u / (1 - u)) / (p / (1 - p)) if p > 0 else math.inf, i is not None, i or 0, n, at))
+        open_ = missing - sum(docs[at][1] for at in taken if taken[at])
+        start = 0
+        for _, _, _, n, at in sorted(order):
+            taken[at] = int(2 * (open_ - start) >= n)
+            start += n
+        gap = open_ - sum(o[3] for o in order if taken[o[4]])
+        start = 0
+        for _, _, _, n, at in sorted(order):
+            if gap > 0 and not taken[at] and n <= gap:
+                taken[at] = int(start + n <= gap)
+                start += n
+        out += [(i, n, min(most, whole + taken[at])) for at, (i, n) in enumerate(docs)]
+    return out
+
+
+def posteriors(votes, rounds=500, prior=0.85, belief=0.02):
+    """EM over documents, one by one: rows of votes (0 bad, 1 good, 2 none) -> P(good) of each."""
+    rules = len(votes[0])
+    start = [[(0.5, 0.5)] * rules, [(0.02, 0.98)] * rules]
+    good, table, weight = prior, start, belief * len(votes)
+
+    def one(v):
+        a, b = math.log(1 - good), math.log(good)
+        for r, x in enumerate(v):
+            if x < 2:
+                a, b = a + math.log(table[0][r][x]), b + math.log(table[1][r][x])
+        return 1 / (1 + math.exp(min(700, max(-700, a - b))))
+
+    for _ in range(rounds):
+        p = [one(v) for v in votes]
+        new = []
+        for c in (0, 1):
+            share, own = [x if c else 1 - x for x in p], []
+            for r in range(rules):
+                n = [start[c][r][k] * weight + sum(s for s, v in zip(share, votes) if v[r] == k) for k in (0, 1)]
+                own.append((n[0] / sum(n), n[1] / sum(n)))
+            new.append(own)
+        now = min(1 - 1e-3, max(1e-3, (sum(p) + prior * weight) / (len(votes) + weight)))
+        done = abs(now - good) < 1e-9 and all(abs(x[0] - y[0]) < 1e-9 for a, b in zip(new, table) for x, y in zip(a, b))
+        good, table = now, new
+        if done:
+            break
+    return [one(v) for v in votes]
+
+
+def votes(text):
+    """Votes of the standard rules on a text."""
+    n, chars, symbols, dup, repeat = quality_counts(text)
+    raw = (text or "").encode()
+    letters, lines = sum(65 <= b < 91 or 97 <= b < 123 or 0xC2 <= b < 0xF5 for b in raw), (text or "").count("\n") + 1
+    rules = [
+        (100 * symbols <= 2 * n, 100 * symbols > 8 * n), (200 * symbols <= chars, 50 * symbols > chars), (100 * letters >= 93 * chars, 100 * letters < 90 * chars),
+        (45 * n <= 10 * chars <= 60 * n, 10 * chars < 42 * n or 10 * chars > 65 * n), (dup == 0, 100 * dup > 15 * lines), (repeat == 0, 100 * repeat > 8 * n), (n >= 80, n < 50),
+    ]
+    return tuple(0 if bad else 1 if good else 2 for good, bad in rules)
+
+
 def unigram(rows):
     """(doc_id, text) -> (doc_id, held_out, tokens, known, N, base score)."""
     docs = [(i, zlib.crc32(b"" if i is None else str(i).encode()) % 7 == 2, [*words((t or "").translate(LOWER)), None]) for i, t in rows]

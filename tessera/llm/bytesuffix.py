@@ -187,13 +187,15 @@ class ByteRepeats(Repeats):
     dtype = np.uint8
 
     def __init__(self, length: int = 400) -> None:
+        if length > 0x7FFF:
+            raise ValueError("a string of more than 32,767 bytes does not fit the messages")
         self.length, self.gram = length, max(8, length // 2)
 
     def elements(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, tuple]:
         return data, off, ()
 
     def namer(self, seq: np.ndarray):  # noqa: ANN201
-        return lambda starts, ends, seed: K.span_hash(seq, starts, ends, seed)
+        return lambda starts, ends, second: K.span_hash(seq, starts, ends, int(second))
 
     def selection(self, seq: np.ndarray) -> np.ndarray:
         padded = np.concatenate([seq, np.zeros(8, np.uint8)])

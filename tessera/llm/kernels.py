@@ -23,6 +23,9 @@ SLICE_DOCS = 4096
 
 BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+#: A second base, for hashes that are independent of the first.
+OTHER = np.uint64(0xD6E8FEB86659FD93)
+OTHER_INVERSE = np.uint64(pow(0xD6E8FEB86659FD93, -1, 1 << 64))
 
 #: Whitespace bytes of the contract's class [\x20\x09-\x0D].
 SPACE = np.zeros(256, dtype=bool)
@@ -168,18 +171,18 @@ def exact_ids(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[n
     return back, first
 
 
-def prefix_hash(hashes: np.ndarray) -> np.ndarray:
-    """P with P[j] - P[i] a polynomial hash of elements i..j-1, still scaled by BASE**i; for elements that are hashes, not for bytes."""
+def prefix_hash(hashes: np.ndarray, base: np.uint64 = BASE) -> np.ndarray:
+    """P with P[j] - P[i] a polynomial hash of elements i..j-1, still scaled by base**i; for elements that are hashes, not for bytes."""
     out = np.zeros(len(hashes) + 1, dtype=np.uint64)
     with np.errstate(over="ignore"):
-        np.cumsum((hashes + np.uint64(1)) * powers(BASE, len(hashes)), out=out[1:])
+        np.cumsum((hashes + np.uint64(1)) * powers(base, len(hashes)), out=out[1:])
     return out
 
 
-def prefix_span(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def prefix_span(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray, inverse: np.uint64 = INVERSE) -> np.ndarray:
     """Position-independent hashes of the runs of elements [starts, ends)."""
     with np.errstate(over="ignore"):
-        return mix((prefix[ends] - prefix[starts]) * powers(INVERSE, len(prefix))[starts] + (ends - starts).astype(np.uint64))
+        return mix((prefix[ends] - prefix[starts]) * powers(inverse, len(prefix))[starts] + (ends - starts).astype(np.uint64))
 
 
 def word_spans(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -251,6 +254,10 @@ def window_argmin(values: np.ndarray, width: int) -> np.ndarray:
     return np.where(flat[right] <= flat[left], right, left)
 
 
+#: Windows of up to so many values are searched by comparing neighbours.
+NARROW = 12
+
+
 def window_minima(values: np.ndarray, off: np.ndarray, width: int) -> np.ndarray:
     """Positions that are the rightmost smallest value of some window of ``width`` values inside a document.
 
@@ -262,6 +269,8 @@ def window_minima(values: np.ndarray, off: np.ndarray, width: int) -> np.ndarray
     n = len(values)
     if n < width:
         return np.zeros(0, dtype=np.int64)
+    if width <= NARROW:
+        return _narrow_minima(values, off, width)
     few = np.flatnonzero(values < np.uint64(min(8 * (1 << 64) // width, (1 << 64) - 1)))
     doc = np.searchsorted(off, few, "right")
     low, high, v = off[doc - 1] - 1, off[doc], values[few]
@@ -279,14 +288,33 @@ def window_minima(values: np.ndarray, off: np.ndarray, width: int) -> np.ndarray
             side[live[hit]] = few[at[hit]]
             live, r = live[~hit], r + 1
     found = [few[right - left > width]]
-    marks = np.union1d(few, np.concatenate([off[:-1] - 1, off[1:]]))  # document borders stop a stretch like a small value
+    marks = np.sort(np.concatenate([few, off[:-1] - 1, off[1:]]))  # document borders stop a stretch like a small value
     gap = np.flatnonzero(np.diff(marks) > width)
     for i in gap:
         a, b = int(marks[i]) + 1, int(marks[i + 1])
         for x, y in zip(*_within(off, a, b), strict=True):
             if y - x >= width:
                 found.append(np.unique(window_argmin(values[x:y], width)) + x)
-    return np.unique(np.concatenate(found))
+    return found[0] if len(found) == 1 else np.sort(np.concatenate(found))
+
+
+def _narrow_minima(values: np.ndarray, off: np.ndarray, width: int) -> np.ndarray:
+    """``window_minima`` for narrow windows: each value against its neighbours, one distance after another."""
+    n, size = len(values), np.diff(off)
+    place = np.arange(n) - np.repeat(off[:-1], size)
+    before = np.minimum(place, width).astype(np.int8)  # values on either side in the same document
+    after = np.minimum(np.repeat(size, size) - 1 - place, width).astype(np.int8)
+    reach = np.ones(n, dtype=np.int8)
+    for room, forward in ((before, False), (after, True)):
+        ok = np.ones(n, dtype=bool)
+        for k in range(1, width):
+            ok &= room >= k
+            if forward:
+                ok[: n - k] &= values[k:] > values[: n - k]
+            else:
+                ok[k:] &= values[: n - k] >= values[k:]
+            reach += ok
+    return np.flatnonzero(reach >= width)
 
 
 def _within(off: np.ndarray, a: int, b: int) -> tuple[np.ndarray, np.ndarray]:

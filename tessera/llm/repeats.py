@@ -12,12 +12,12 @@ it on.  Rounds of messages (see packed.py) narrow this down; hashes only select
    context, one holder is asked for its content;
 3. contents: the contexts of a gram are compared by a sorted structure of suffixes, those with
    several holders as so many equal suffixes; all holders learn which windows occur elsewhere;
-4. a gram with more than ``MANY`` contexts is not gathered in one place.  In round 3 its windows
-   are counted by hash, over any number of buckets; those that occur more than once then pass
-   through the same structure, each on its own, under its whole length as a prefix.
+4. a gram whose contexts take more than ``MANY`` bytes is not gathered in one place.  In round 3 its
+   windows are counted by hash, over any number of buckets; those that occur more than once then
+   pass through the same structure, each on its own, under its whole length as a prefix.
 
-A context or window is known by two independent hashes, 128 bits, when a holder takes over what the
-structure found for its content.  Documents are shuffled once; the exchange is shared by all rounds.
+A context or window is known by two independent hashes when a holder takes over what the structure
+found for its content.  Documents are shuffled once; the exchange is shared by all rounds.
 Subclasses say what elements are, when an occurrence counts (``value``), how contexts are compared
 and what becomes of the covered elements.
 """
@@ -35,11 +35,13 @@ from . import kernels as K
 from .packed import DDL, Box, bucket, find, low_bytes, unpack, widened
 from .tables import group_count, groups_of
 
-#: Contexts of one gram that are compared in one place.
-MANY = 20_000
+#: Bytes of contexts of one gram that are compared in one place.
+MANY = 48 << 20
 
 U, I = np.uint64, np.int64
 ONE = U(1)
+#: The half of a second hash that answers carry, beside a code.
+HALF = U(0xFFFFFFFF00000000)
 
 
 @dataclass
@@ -57,7 +59,7 @@ class Part:
     gram: np.ndarray  # hash of the gram at each anchor
     low: np.ndarray  # context of each anchor: elements [low, high)
     high: np.ndarray
-    name: Callable  # (starts, ends, seed) -> hashes of runs of elements
+    name: Callable  # (starts, ends, is it the second hash?) -> hashes of runs of elements
 
 
 class Repeats:
@@ -75,7 +77,7 @@ class Repeats:
         raise NotImplementedError
 
     def namer(self, seq: np.ndarray) -> Callable:
-        """A function (starts, ends, seed) -> hashes of runs of elements; seeds give independent hashes."""
+        """A function (starts, ends, is it the second hash?) -> hashes of runs of elements; the two are independent."""
         raise NotImplementedError
 
     def compare(self, gram: np.ndarray, body: np.ndarray, low: np.ndarray, high: np.ndarray, value: np.ndarray, several: np.ndarray) -> np.ndarray:
@@ -120,29 +122,53 @@ class Repeats:
         at = found + shift[doc]
         name = self.namer(seq)
         low, high = np.maximum(at - self.reach, cut[doc]), np.minimum(at + self.length, cut[doc + 1])
-        return Part(ids, data, off, seq, cut, spans, at, doc, name(at, at + self.gram, 0), low, high, name)
+        return Part(ids, data, off, seq, cut, spans, at, doc, name(at, at + self.gram, False), low, high, name)
 
-    def keys(self, part: Part, sel: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The two hashes of the contexts of anchors ``sel``; the second one's lowest bit is free."""
-        low, high = part.low[sel], part.high[sel]
-        place = (part.at[sel] - low).astype(U) * K.BASE
-        return K.mix(part.name(low, high, 1) + place), K.mix(part.name(low, high, 2) + place) & ~ONE
+    @property
+    def bulk(self) -> int:
+        """Bytes of a context."""
+        return self.width * np.dtype(self.dtype).itemsize
+
+    def contexts(self, part: Part, sel: np.ndarray) -> Callable:
+        """A function (places in ``sel`` or None for all, second?) -> hashes of the contexts of anchors ``sel``; the second one's lowest bit is free."""
+
+        def key(some: np.ndarray | None, second: bool) -> np.ndarray:
+            own = sel if some is None else sel[some]
+            low = part.low[own]
+            out = K.mix(part.name(low, part.high[own], second) + (part.at[own] - low).astype(U) * K.BASE)
+            return out & ~ONE if second else out
+
+        return key
+
+    def windows(self, part: Part, sel: np.ndarray) -> tuple[np.ndarray, np.ndarray, Callable]:
+        """Where the windows around the anchors ``sel`` start, each once; an anchor of each; and a function like that of ``contexts``."""
+        start = part.at[sel][:, None] - np.arange(self.reach + 1)
+        ok = (start >= part.low[sel][:, None]) & (start + self.length <= part.high[sel][:, None])
+        start, first = np.unique(start[ok], return_index=True)
+        anchor = np.repeat(sel, ok.sum(axis=1))[first]
+
+        def key(some: np.ndarray | None, second: bool) -> np.ndarray:
+            own = start if some is None else start[some]
+            out = K.mix(part.name(own, own + self.length, second))
+            return out & ~ONE if second else out
+
+        return start, anchor, key
 
     def held(self, part: Part, at: np.ndarray) -> np.ndarray:
         """What an occurrence at element ``at`` counts: its document, or 1."""
         return part.ids[np.searchsorted(part.cut, at, "right") - 1] if self.by_document else np.ones(len(at), I)
 
-    def told(self, gram: list, first: list, second: list, value: list) -> np.ndarray:
-        """Rows (gram, first, second with the bit "several", value) of distinct keys of a group."""
-        gram, first, second, value = K.rejoin(gram, U), K.rejoin(first, U), K.rejoin(second, U), K.rejoin(value)
+    def told(self, columns: list[list[np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        """Columns (gram, first, second, value, origin) -> rows (gram, first, second with the bit "several", value) of a group's distinct keys; an origin of each."""
+        gram, first, second, value, origin = (K.rejoin(c, t) for c, t in zip(columns, (U, U, U, I, U), strict=True))
         order = np.lexsort((second, first, gram))
-        gram, first, second, value = gram[order], first[order], second[order], value[order]
+        gram, first, second, value, origin = gram[order], first[order], second[order], value[order], origin[order]
         head = _heads(gram, first, second)
         if len(head) == 0:
-            return np.zeros((0, 4), U)
+            return np.zeros((0, 4), U), origin
         low = np.minimum.reduceat(value, head)
         several = low != np.maximum.reduceat(value, head) if self.by_document else np.diff(np.append(head, len(value))) > 1
-        return np.stack([gram[head], first[head], second[head] | several.astype(U), low.view(U)], axis=1)
+        return np.stack([gram[head], first[head], second[head] | several.astype(U), low.view(U)], axis=1), origin[head]
 
     def merged(self, grp: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """``told`` rows of all groups: order, heads of equal keys in it, sizes, and value and "several" of each key."""
@@ -201,13 +227,14 @@ class Repeats:
         def run(key: tuple[pa.Scalar, ...], table: pa.Table, answers: pa.Table) -> pa.Table:
             grp, box = key[0].as_py(), Box()
             wanted = np.sort(widened(unpack(answers, 0, (np.uint8, 5))[1]))
-            columns: list[list[np.ndarray]] = [[], [], [], []]
+            columns: list[list[np.ndarray]] = [[], [], [], [], []]
             if len(wanted):
                 for part, _ in self.parts(table):
                     sel = np.flatnonzero(find(wanted, widened(low_bytes(part.gram & ~ONE))) >= 0)
-                    for column, x in zip(columns, (part.gram[sel], *self.keys(part, sel), self.held(part, part.at[sel])), strict=True):
+                    key = self.contexts(part, sel)
+                    for column, x in zip(columns, (part.gram[sel], key(None, False), key(None, True), self.held(part, part.at[sel]), part.gram[sel]), strict=True):
                         column.append(x)
-            rows = self.told(*columns)
+            rows, _ = self.told(columns)
             box.deal(bucket(rows[:, 0], n), 0, rows, grp=grp)
             return box.table()
 
@@ -219,7 +246,8 @@ class Repeats:
         grp, rows = unpack(table, 0, (U, 4))
         order, head, size, _, several = self.merged(grp, rows)
         grp, rows = grp[order], rows[order]
-        kinds, many = _kinds(rows[head, 0])
+        kinds = _kinds(rows[head, 0])
+        many = kinds * self.bulk > MANY
         ask = head[(several | (kinds > 1)) & ~many]
         box.deal(grp[ask], 1, rows[ask, 1], rows[ask, 2] & ~ONE)
         many = np.repeat(many, size)
@@ -238,23 +266,22 @@ class Repeats:
             many = np.sort(unpack(answers, 2, U)[1])
             if len(wanted) + len(many) == 0:
                 return box.table()
-            columns: list[list[np.ndarray]] = [[], [], [], []]
+            columns: list[list[np.ndarray]] = [[], [], [], [], []]
             sent = np.zeros(len(wanted), dtype=bool)
             for part, _ in self.parts(table):
-                first, second = self.keys(part, np.arange(len(part.at)))
-                sel, to = wanted.match(first, second)
-                sel, to = _firsts(sel, to, sent)
+                every = np.arange(len(part.at))
+                key = self.contexts(part, every)
+                sel, to = _firsts(*wanted.match(key), sent)
                 if len(sel):
-                    place = part.at[sel]
-                    head = np.stack([part.gram[sel], first[sel], second[sel], (place - part.low[sel]).astype(U), (part.high[sel] - place).astype(U)], axis=1)
-                    box.deal(bucket(part.gram[sel], n), 1, head, self.contents(part, place, part.low[sel], part.high[sel]), grp=grp)
+                    place, low, high = part.at[sel], part.low[sel], part.high[sel]
+                    box.deal(bucket(part.gram[sel], n), 1, _head(key(sel, False), key(sel, True), place - low, high - place), self.contents(part, place, low, high), grp=grp)
                 if len(many):
-                    start = self.windows(part, np.flatnonzero(find(many, part.gram) >= 0))
-                    first, second = part.name(start, start + self.length, 3), part.name(start, start + self.length, 4) & ~ONE
-                    for column, x in zip(columns, (first, first, second, self.held(part, start)), strict=True):
+                    start, anchor, key = self.windows(part, every[find(many, part.gram) >= 0])
+                    first = key(None, False)
+                    for column, x in zip(columns, (first, first, key(None, True), self.held(part, start), part.gram[anchor]), strict=True):
                         column.append(x)
-            rows = self.told(*columns)
-            box.deal(bucket(rows[:, 0], n), 2, rows, grp=grp)
+            rows, origin = self.told(columns)
+            box.deal(bucket(rows[:, 0], n), 2, rows, origin, grp=grp)
             return box.table()
 
         return run
@@ -267,38 +294,33 @@ class Repeats:
         out[inside] = part.seq[place[inside]]
         return out
 
-    def windows(self, part: Part, sel: np.ndarray) -> np.ndarray:
-        """Where the windows around the anchors ``sel`` start; each once."""
-        start = part.at[sel][:, None] - np.arange(self.reach + 1)
-        ok = (start >= part.low[sel][:, None]) & (start + self.length <= part.high[sel][:, None])
-        return np.unique(start[ok])
-
-    def settle(self, box: Box, kind: int, grp: np.ndarray, rows: np.ndarray, head: np.ndarray, body: np.ndarray) -> None:
-        """Compare contents and tell all holders (``told`` rows) what was found: both hashes, code, value."""
+    def settle(self, box: Box, kind: int, grp: np.ndarray, rows: np.ndarray, origin: np.ndarray, head: np.ndarray, body: np.ndarray) -> None:
+        """Compare contents and tell all holders (``told`` rows) what was found: first hash; half of the second and code; value; origin."""
         if len(head) == 0:
             return
         order, begin, size, value, several = self.merged(grp, rows)
-        grp, rows = grp[order], rows[order]
+        grp, rows, origin = grp[order], rows[order], origin[order]
         mine = Answers(rows[begin, 1], rows[begin, 2] & ~ONE)
-        order = np.lexsort((head[:, 2], head[:, 1], head[:, 0]))
-        head, body = head[order], body[order]
-        sel, to = mine.match(head[:, 1], head[:, 2])
-        head, body = head[sel], body[sel]
+        sel, to = mine.match(lambda some, second: head[:, int(second)] if some is None else head[some, int(second)])
+        order = np.argsort(to, kind="stable")  # by gram
+        sel, to = sel[order], to[order]
         code = np.zeros(len(begin), dtype=I)
-        code[to] = self.compare(head[:, 0], body, head[:, 3].astype(I), head[:, 4].astype(I), value[to], several[to])
+        code[to] = self.compare(rows[begin[to], 0], body[sel], (head[sel, 2] >> U(32)).astype(I), (head[sel, 2] & U(0xFFFFFFFF)).astype(I), value[to], several[to])
         tell = np.repeat(code != 0, size)
-        both = np.stack([rows[tell, 1], rows[tell, 2] & ~ONE], axis=1)
-        box.deal(grp[tell], kind, both, np.repeat(code, size)[tell], np.repeat(value, size)[tell])
+        said = (rows[tell, 2] & HALF) | np.repeat(code, size)[tell].astype(U)
+        more = [np.repeat(value, size)[tell]] if self.by_document else []
+        box.deal(grp[tell], kind, np.stack([rows[tell, 1], said], axis=1), *([origin[tell]] if kind == 4 else more), *(more if kind == 4 else []))
 
     def answer_contents(self, asked: pa.Table, table: pa.Table) -> pa.Table:
-        """kind 3: what was found for contexts; 5: both hashes of a window that is wanted."""
+        """kind 3: what was found for contexts; 5: both hashes of a window that is wanted, and its origin."""
         box = Box()
-        _, head, body = unpack(table, 1, (U, 5), (self.dtype, self.width))
-        self.settle(box, 3, *unpack(asked, 0, (U, 4)), head, body)
-        grp, rows = unpack(table, 2, (U, 4))
+        _, head, body = unpack(table, 1, (U, 3), (self.dtype, self.width))
+        grp, rows = unpack(asked, 0, (U, 4))
+        self.settle(box, 3, grp, rows, rows[:, 0], head, body)
+        grp, rows, origin = unpack(table, 2, (U, 4), U)
         order, begin, _, _, several = self.merged(grp, rows)
         ask = order[begin[several]]
-        box.deal(grp[ask], 5, rows[ask, 1], rows[ask, 2] & ~ONE)
+        box.deal(grp[ask], 5, rows[ask, 1], rows[ask, 2] & ~ONE, origin[ask])
         return box.table()
 
     # round 4
@@ -308,17 +330,15 @@ class Repeats:
 
         def run(key: tuple[pa.Scalar, ...], table: pa.Table, answers: pa.Table) -> pa.Table:
             grp, box = key[0].as_py(), Box()
-            wanted = Answers(*unpack(answers, 5, U, U)[1:])
+            _, first, second, origin = unpack(answers, 5, U, U, U)
+            wanted, grams = Answers(first, second), np.unique(origin)
             sent = np.zeros(len(wanted), dtype=bool)
             for part, _ in self.parts(table) if len(wanted) else ():
-                start = self.windows(part, np.arange(len(part.at)))
-                first, second = part.name(start, start + self.length, 3), part.name(start, start + self.length, 4) & ~ONE
-                sel, to = wanted.match(first, second)
-                sel, to = _firsts(sel, to, sent)
+                start, _, key = self.windows(part, np.flatnonzero(find(grams, part.gram) >= 0))
+                sel, to = _firsts(*wanted.match(key), sent)
                 if len(sel):
-                    place = start[sel]
-                    head = np.stack([first[sel], first[sel], second[sel], np.zeros(len(sel), U), np.full(len(sel), self.length, U)], axis=1)
-                    box.deal(bucket(first[sel], n), 6, head, self.contents(part, place, place, place + self.length), grp=grp)
+                    place, first = start[sel], key(sel, False)
+                    box.deal(bucket(first, n), 6, _head(first, key(sel, True), np.zeros(len(sel), I), np.full(len(sel), self.length)), self.contents(part, place, place, place + self.length), grp=grp)
             return box.table()
 
         return run
@@ -326,32 +346,34 @@ class Repeats:
     def answer_windows(self, asked: pa.Table, table: pa.Table) -> pa.Table:
         """kind 4: what was found for windows."""
         box = Box()
-        _, head, body = unpack(table, 6, (U, 5), (self.dtype, self.width))
-        self.settle(box, 4, *unpack(asked, 2, (U, 4)), head, body)
+        _, head, body = unpack(table, 6, (U, 3), (self.dtype, self.width))
+        self.settle(box, 4, *unpack(asked, 2, (U, 4), U), head, body)
         return box.table()
 
     # last step
 
     def finish(self, table: pa.Table, answers: pa.Table) -> pa.Table:
-        _, both, code, value = unpack(answers, 3, (U, 2), I, I)
-        contexts = Answers(both[:, 0], both[:, 1])
-        _, both, window_code, window_value = unpack(answers, 4, (U, 2), I, I)
-        windows = Answers(both[:, 0], both[:, 1])
+        more = [I] if self.by_document else []
+        _, told, *value = unpack(answers, 3, (U, 2), *more)
+        contexts = Answers(told[:, 0], told[:, 1], HALF)
+        _, window, origin, *window_value = unpack(answers, 4, (U, 2), U, *more)
+        windows, grams = Answers(window[:, 0], window[:, 1], HALF), np.unique(origin)
         out = []
         for part, own in self.parts(table):
             flags = np.zeros(len(part.seq) + 1, dtype=I)  # +1 where a covered range starts, -1 behind its end
             if len(contexts):
-                sel, to = contexts.match(*self.keys(part, np.arange(len(part.at))))
-                self.mark(flags, part, part.at[sel], code[to], value[to])
+                sel, to = contexts.match(self.contexts(part, np.arange(len(part.at))))
+                self.mark(flags, part, part.at[sel], told[to, 1], *(v[to] for v in value))
             if len(windows):
-                start = self.windows(part, np.arange(len(part.at)))
-                sel, to = windows.match(part.name(start, start + self.length, 3), part.name(start, start + self.length, 4) & ~ONE)
-                self.mark(flags, part, start[sel], window_code[to], window_value[to])
+                start, _, key = self.windows(part, np.flatnonzero(find(grams, part.gram) >= 0))
+                sel, to = windows.match(key)
+                self.mark(flags, part, start[sel], window[to, 1], *(v[to] for v in window_value))
             out.append(self.result(part, np.cumsum(flags[:-1]) > 0, own))
         return pa.concat_tables(out)
 
-    def mark(self, flags: np.ndarray, part: Part, at: np.ndarray, code: np.ndarray, value: np.ndarray) -> None:
-        a, b = self.spans(code, self.held(part, at) > value)
+    def mark(self, flags: np.ndarray, part: Part, at: np.ndarray, said: np.ndarray, value: np.ndarray | None = None) -> None:
+        code = (said & ~HALF).astype(I)
+        a, b = self.spans(code, np.zeros(len(at), dtype=bool) if value is None else self.held(part, at) > value)
         for x, y in zip(a.T, b.T, strict=True):
             hit = y > x
             np.add.at(flags, at[hit] + x[hit], 1)
@@ -372,24 +394,25 @@ class Repeats:
 
 
 class Answers:
-    """What messages say about keys of two hashes."""
+    """What messages say about keys of two hashes; of the second one only the bits of ``mask`` may be known."""
 
-    def __init__(self, first: np.ndarray, second: np.ndarray) -> None:
-        self.order = np.lexsort((second, first))
-        self.first, self.second = first[self.order], second[self.order]
+    def __init__(self, first: np.ndarray, second: np.ndarray, mask: np.uint64 = ~U(0)) -> None:
+        self.order, self.mask = np.lexsort((second, first)), mask
+        self.first, self.second = first[self.order], second[self.order] & mask
         self.nth = np.arange(len(first)) - np.searchsorted(self.first, self.first)  # among keys that share the first hash
 
     def __len__(self) -> int:
         return len(self.first)
 
-    def match(self, first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(places in ``first``, ascending; the answers to them)."""
+    def match(self, key: Callable) -> tuple[np.ndarray, np.ndarray]:
+        """(places, ascending, of keys that are known; the answers to them); key(places or None, second?) gives hashes."""
         sel, to = [], []
+        first = key(None, False)
         for k in range(int(self.nth.max()) + 1 if len(self) else 0):  # once, unless keys share the first hash
             own = np.flatnonzero(self.nth == k)
             at = find(self.first[own], first)
             hit = np.flatnonzero(at >= 0)
-            hit = hit[self.second[own[at[hit]]] == second[hit]]
+            hit = hit[self.second[own[at[hit]]] == key(hit, True) & self.mask]
             sel.append(hit)
             to.append(self.order[own[at[hit]]])
         sel, to = K.rejoin(sel), K.rejoin(to)
@@ -397,6 +420,11 @@ class Answers:
         return sel[order], to[order]
 
 
+def _head(first: np.ndarray, second: np.ndarray, before: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """Both hashes of a context, and how many elements it has before its place and from it on."""
+    return np.stack([first, second, before.astype(U) << U(32) | after.astype(U)], axis=1)
+
+
 def _firsts(sel: np.ndarray, to: np.ndarray, sent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The first of ``sel`` for each of ``to`` that was not sent yet; they are marked as sent."""
     to, first = np.unique(to, return_index=True)
@@ -405,10 +433,10 @@ def _firsts(sel: np.ndarray, to: np.ndarray, sent: np.ndarray) -> tuple[np.ndarr
     return sel[first[new]], to[new]
 
 
-def _kinds(gram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of the sorted grams of distinct contexts: how many contexts each one's gram has, and whether they are too many."""
+def _kinds(gram: np.ndarray) -> np.ndarray:
+    """Of the sorted grams of distinct contexts: how many contexts each one's gram has."""
     _, back, count = np.unique(gram, return_inverse=True, return_counts=True)
-    return count[back], count[back] > MANY
+    return count[back]
 
 
 def _of_table(method):

@@ -31,20 +31,19 @@ class WordRepeats(Repeats):
 
     def __init__(self, length: int = 13, gram: int | None = None) -> None:
         self.length = length
-        self.gram = gram or max(1, -(-2 * length // 3))
+        self.gram = gram or max(1, -(-3 * length // 5))
 
     def elements(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, tuple]:
         starts, ends, first = K.word_spans(data, off)
         return K.span_hash(data, starts, ends), first, (starts, ends)
 
     def namer(self, seq: np.ndarray):  # noqa: ANN201
-        sums: dict[int, np.ndarray] = {}
+        sums: dict[bool, np.ndarray] = {}
 
-        def name(starts: np.ndarray, ends: np.ndarray, seed: int) -> np.ndarray:
-            if seed not in sums:
-                with np.errstate(over="ignore"):
-                    sums[seed] = K.prefix_hash(K.mix(seq + U(seed) * K.BASE) if seed else seq)
-            return K.prefix_span(sums[seed], starts, ends)
+        def name(starts: np.ndarray, ends: np.ndarray, second: bool) -> np.ndarray:
+            if second not in sums:
+                sums[second] = K.prefix_hash(seq, K.OTHER if second else K.BASE)
+            return K.prefix_span(sums[second], starts, ends, K.OTHER_INVERSE if second else K.INVERSE)
 
         return name
 

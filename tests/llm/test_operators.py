@@ -173,7 +173,7 @@ def test_components(spark, monkeypatch, few):
     assert got == {x: forest.find(x) for x in forest.up if forest.find(x) != x}
 
 
-@pytest.mark.parametrize("many", [20_000, 2])
+@pytest.mark.parametrize("many", [repeats.MANY, 1200])
 def test_byte_repeats(docs, rows, none, monkeypatch, many):
     monkeypatch.setattr(repeats, "MANY", many)
     columns = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
@@ -197,7 +197,7 @@ def test_suffix_order():
         assert n == same
 
 
-@pytest.mark.parametrize("many", [20_000, 2])
+@pytest.mark.parametrize("many", [repeats.MANY, 300])
 def test_word_repeats(docs, rows, none, monkeypatch, many):
     monkeypatch.setattr(repeats, "MANY", many)
     monkeypatch.setattr(wordrepeats, "ROOM", 8)
@@ -617,7 +617,8 @@ def _contents(op, table):
 
     (part, _), *rest = op.parts(table)
     assert not rest
-    first, second = op.keys(part, np.arange(len(part.at)))
+    key = op.contexts(part, np.arange(len(part.at)))
+    first, second = key(None, False), key(None, True)
     _, sel = np.unique(np.stack([part.gram, first, second], axis=1), axis=0, return_index=True)
     sel = sel[(part.high - part.low)[sel] >= op.length]
     body = op.contents(part, part.at[sel], part.low[sel], part.high[sel])

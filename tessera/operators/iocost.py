@@ -84,11 +84,21 @@ def request_costs(trace: DataFrame, disk: Disk = Disk(), seq: str = "seq", start
     return paid.unionByName(none.select(*keep, *[zero.alias(c) for c in ("cylinders", "seek_ns", "rot_ns", "transfer_ns")]))
 
 
-def io_cost(trace: DataFrame, disk: Disk = Disk(), seq: str = "seq", start: str = "start_block", blocks: str = "n_blocks") -> DataFrame:
-    """One row: reads, blocks, cylinders, seek_ns, rot_ns, transfer_ns of the whole trace."""
+def io_cost(trace: DataFrame, disk: Disk = Disk(), seq: str = "seq", start: str = "start_block", blocks: str = "n_blocks", write: str | None = None) -> DataFrame:
+    """One row: reads, blocks, cylinders, seek_ns, rot_ns, transfer_ns of the whole trace.
+
+    With ``write``, a boolean column that marks requests that write, also writes, and in
+    microseconds io_us, seek_us, rot_us and transfer_us; reads then leaves the writes out.
+    """
     costs = request_costs(trace, disk, seq, start, blocks)
     total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
-    return costs.agg(F.count(F.lit(1)).alias("reads"), total(blocks).alias("blocks"), *[total(c).alias(c) for c in ("cylinders", "seek_ns", "rot_ns", "transfer_ns")])
+    parts = ("seek_ns", "rot_ns", "transfer_ns")
+    writes = F.coalesce(F.col(write), F.lit(False)) if write else F.lit(False)
+    out = costs.agg(F.count_if(~writes).alias("reads"), *([F.count_if(writes).alias("writes")] if write else []), total(blocks).alias("blocks"), *[total(c).alias(c) for c in ("cylinders", *parts)])
+    if not write:
+        return out
+    out = out.withColumn("io_ns", sum((F.col(c) for c in parts), F.lit(0).cast("long")))
+    return out.select("*", *[F.floor((F.col(c) + 500) / F.lit(1000)).cast("long").alias(c.replace("_ns", "_us")) for c in ("io_ns", *parts)])
 
 
 def micros(ns: int) -> int:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import struct
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -11,7 +12,7 @@ from pyspark.sql import types as T
 
 from ..functions.cost import ColumnStats
 from ..functions.predicates import NUMBERS, quoted
-from .ordered import with_previous
+from .ordered import running_total, with_previous
 
 #: Exact counting up to this many distinct values; rows of a sample; buckets; and
 #: distinct values up to which text columns get a histogram.
@@ -68,7 +69,7 @@ def histogram(df: DataFrame, column: str, buckets: int = BUCKETS, sample: int |
 
     With ``sample`` None, or no more rows than that, the histogram is exact.  The ranking sees the
     sample only, so its single task is bounded.  Without a sample, values are counted first and
-    the ranking runs over distinct values.
+    the ranking runs over distinct values, stretch by stretch.
     """
     values = df.select(quoted(column).alias("v")).where("v is not null")
     if sample is not None:
@@ -80,8 +81,11 @@ def histogram(df: DataFrame, column: str, buckets: int = BUCKETS, sample: int |
         out = ranked.groupBy("bucket").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count(F.lit(1)).alias("k"), F.first("n").alias("n"))
         return out.crossJoin(F.broadcast(total)).select("bucket", "lo", "hi", F.floor(F.col("k") * F.col("total") / F.col("n")).cast("long").alias("freq"))
     counts = values.groupBy("v").agg(F.count(F.lit(1)).alias("k"))
-    ranked = counts.withColumn("upto", F.sum("k").over(W.orderBy("v").rowsBetween(W.unboundedPreceding, 0)))
-    ranked = ranked.withColumn("n", F.sum("k").over(W.partitionBy(F.lit(0))))
+    if numeric(df, column):
+        ranked = running_total(counts, "v", "k", "upto")
+    else:  # text columns have a histogram only if their distinct values are few
+        ranked = counts.withColumn("upto", F.sum("k").over(W.partitionBy(F.lit(0)).orderBy("v").rowsBetween(W.unboundedPreceding, 0)))
+    ranked = ranked.crossJoin(F.broadcast(values.agg(F.count(F.lit(1)).alias("n"))))
     chunk = F.ceil(F.col("n").cast("double") / F.least(F.lit(buckets), F.col("n")))
     first, last = F.floor((F.col("upto") - F.col("k")) / chunk), F.floor((F.col("upto") - 1) / chunk)
     spread = ranked.withColumn("chunk", chunk.cast("long")).withColumn("bucket", F.explode(F.sequence(first.cast("int"), last.cast("int"))))
@@ -107,7 +111,7 @@ def profile(df: DataFrame, order: str | None = None) -> dict[str, list]:
         if tag and first[f"lo{i}"] is not None:
             stats.append({"RangeStat": {"lower_bound": {tag: first[f"lo{i}"]}, "upper_bound": {tag: first[f"hi{i}"]}}})
         stats.append({"CardinalityStat": distinct[c]})
-        stats.append({"DensityStat": min(1.0, distinct[c] / rows)})
+        stats.append({"DensityStat": struct.unpack("f", struct.pack("f", min(1.0, distinct[c] / rows)))[0]})
         if tag or (isinstance(kind, T.StringType) and distinct[c] <= TEXT_DISTINCT):
             tag = tag or "String"
             points = [[{"lower_bound": {tag: r["lo"]}, "upper_bound": {tag: r["hi"]}}, r["freq"]] for r in histogram(df, c).orderBy("bucket").collect()]
@@ -116,6 +120,18 @@ def profile(df: DataFrame, order: str | None = None) -> dict[str, list]:
     return out
 
 
+def quick_stats(df: DataFrame) -> dict[str, ColumnStats]:
+    """What the estimates read of a table, in one pass: ranges, and distinct values by sketches; nothing for an empty table."""
+    wanted = [(c, i, numeric(df, c)) for i, c in enumerate(df.columns)]
+    row = df.agg(
+        F.count(F.lit(1)).alias("rows"), *[F.approx_count_distinct(quoted(c), ERROR).alias(f"n{i}") for c, i, _ in wanted],
+        *[f(quoted(c)).alias(f"{n}{i}") for c, i, number in wanted if number for n, f in (("lo", F.min), ("hi", F.max))],
+    ).first()
+    if row["rows"] == 0:
+        return {}
+    return {c: ColumnStats(row[f"lo{i}"] if number else None, row[f"hi{i}"] if number else None, row[f"n{i}"], min(1.0, row[f"n{i}"] / row["rows"])) for c, i, number in wanted}
+
+
 def estimator_stats(profiled: dict[str, list]) -> dict[str, ColumnStats]:
     """What the estimates read, out of a table's saved statistics."""
     out = {}

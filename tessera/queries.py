@@ -2,21 +2,28 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions.cost import ColumnStats, base_rows, estimate, selectivity
+from .functions.formatting import format_float
 from .operators import profile as P
-from .operators.iocost import io_cost
-from .operators.validate import same_rows
+from .operators.iocost import Disk, DiskFile, io_cost
+from .operators.validate import SuiteQuery, run_suite, same_rows, validate_ordered, validate_unordered
 from .plans.builder import Plan, col, f32, f64, i32, i64, scan, string
 from .plans.compiler import compile_query
 from .plans.corpus import CORPUS
-from .plans.ir import Query
-from .plans.rewrite import optimize
+from .plans.ir import Op, PlanError, Predicate, Query
+from .plans.rewrite import optimize, scanned
 from .plans.sqltext import from_sql
 from .sources.catalog import Catalog
+from .sources.delimited import discover, parse_schema, write_delimited
+from .sources.rowblock import RowBlockSource
+from .sources.sink import framed, text_lines, write_text
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 
@@ -58,12 +65,14 @@ def alias(table: str, name: str, columns: list[str]) -> Plan:
 
 
 def _rewritten(name: str) -> Run:
-    """A corpus query through the plan rewrites; without statistics, so reordering knows no sizes."""
+    """A corpus query through the plan rewrites, ordered by statistics of its tables, one pass over each."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         tables = catalog(spark, sf_dir)
         columns = lambda t: tables.table(t).columns
-        return compile_query(optimize(corpus_query(name, tables), columns), tables)
+        query = corpus_query(name, tables)
+        stats = {t: P.quick_stats(tables.table(t)) for t in sorted(scanned(query.root))}
+        return compile_query(optimize(query, columns, stats), tables)
 
     return run
 
@@ -74,6 +83,204 @@ def _same(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(ok,)], "same boolean")
 
 
+def _differ(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tables that lack a row, hold one twice, or name a column otherwise are not the same."""
+    nation = catalog(spark, sf_dir).table("nation")
+    cases = {"whole": nation, "lacking": nation.filter("n_nationkey <> 3"), "twice": nation.unionAll(nation.filter("n_nationkey = 3")), "renamed": nation.withColumnRenamed("n_name", "name")}
+    return spark.createDataFrame([(k, same_rows(nation, v)) for k, v in cases.items()], "name string, same boolean")
+
+
+def _folder(spark: SparkSession, name: str) -> str:
+    """A folder for the files of a query: in the warehouse, which driver and executors share."""
+    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_tessera/{name}"
+
+
+SUPPLIER = ("s_suppkey", "s_name", "s_nationkey", "s_acctbal")
+
+
+def _blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The suppliers, written as row blocks and read again."""
+    table = catalog(spark, sf_dir).table("supplier").select(*SUPPLIER)
+    spark.dataSource.register(RowBlockSource)
+    path = _folder(spark, "blocks").removeprefix("file:")
+    table.write.format("rowblock").mode("overwrite").option("path", path).save()
+    return spark.read.format("rowblock").schema(table.schema).load(path)
+
+
+def _delimited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations and regions, written as delimited text, found again by their schema files, and joined."""
+    tables, folder = catalog(spark, sf_dir), _folder(spark, "delimited")
+    for name in ("nation", "region"):
+        write_delimited(tables.table(name), folder, name)
+    return compile_query(scan("nation").cross(scan("region")).filter("n_regionkey", "EQ", col("r_regionkey")).build(), discover(spark, folder))
+
+
+def _schemas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = []
+    for name, text in {"two": "a|b|\ni32|String|", "all": "a|b|c|d|e\nI32|I64|FLOAT32|FLOAT64|STRING"}.items():
+        rows += [(name, i, c.name, c.type) for i, c in enumerate(parse_schema(text, name).columns)]
+    for name, text in {"short": "a|b", "uneven": "a|b\nI32", "unknown": "a\nDATE"}.items():
+        try:
+            parse_schema(text, name)
+        except PlanError:
+            rows.append((name, -1, "error", "error"))
+    return spark.createDataFrame(rows, "name string, place int, column_name string, type string")
+
+
+def _saved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A catalog saved with statistics and loaded again: a plan over its tables."""
+    text = catalog(spark, sf_dir).profile(P.profile, ("nation", "region")).to_json()
+    tables = Catalog.load(spark, text, lambda spec: spark.read.parquet(f"{sf_dir}/{spec.file_id}.parquet"))
+    columns = lambda t: tables.table(t).columns
+    plan = scan("nation").cross(scan("region")).filter("n_regionkey", "EQ", col("r_regionkey")).project_multiple([("n_name", "n_name"), ("r_name", "r_name")]).build()
+    return compile_query(optimize(plan, columns, tables.stats(P.estimator_stats)), tables)
+
+
+def _saved_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranges (-1 for text) and distinct values of the nations' columns, as a saved catalog tells them."""
+    text = catalog(spark, sf_dir).profile(P.profile, ("nation",)).to_json()
+    stats = Catalog.load(spark, text, lambda spec: spark.read.parquet(f"{sf_dir}/{spec.file_id}.parquet")).stats(P.estimator_stats)["nation"]
+    return spark.createDataFrame([(c, -1 if s.low is None else s.low, -1 if s.high is None else s.high, s.distinct) for c, s in stats.items()], "column_name string, lo long, hi long, ndv long")
+
+
+def _sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The suppliers as lines of text, written in parallel and read again."""
+    path = _folder(spark, "sink")
+    write_text(catalog(spark, sf_dir).table("supplier").select(*SUPPLIER), path)
+    return spark.read.text(path).withColumnRenamed("value", "line")
+
+
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The regions in the framed protocol, line by line."""
+    plan = scan("region").sort("r_regionkey").project_multiple([("r_regionkey", "r_regionkey"), ("r_name", "r_name")])
+    lines = framed(compile_query(plan.build(), catalog(spark, sf_dir)))
+    return spark.createDataFrame(list(enumerate(lines)), "place long, line string")
+
+
+def _floats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    values = [1.0, 0.1, 12345678.9, 1e16, 1e-5, 123456789012345.6, -0.0, float("inf"), float("nan"), 0.0001]
+    return spark.createDataFrame([(i, format_float(x)) for i, x in enumerate(values)], "place int, shown string")
+
+
+def _estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base cardinalities, selectivities and plan estimates from exact statistics."""
+    tables = catalog(spark, sf_dir)
+    stats = {t: P.estimator_stats(P.profile(tables.table(t))) for t in ("nation", "customer")}
+    bare = {"t": {"x": ColumnStats()}}
+    say = lambda op, value, column="c_custkey", s=stats: selectivity(s, Predicate(column, Op[op], value))
+    node = lambda plan: estimate(stats, plan.build().root)
+    rows = [
+        ("base_nation", base_rows(stats, "nation")), ("base_customer", base_rows(stats, "customer")), ("base_unknown", base_rows(stats, "t")),
+        ("eq", say("EQ", i64(7))), ("eq_unknown", say("EQ", i64(7), "x", bare)), ("eq_density", say("EQ", i64(7), "x", {"t": {"x": ColumnStats(density=0.25)}})),
+        ("ne", say("NE", i64(7))), ("ne_unknown", say("NE", i64(7), "x", bare)), ("ne_density", say("NE", i64(7), "x", {"t": {"x": ColumnStats(density=0.25)}})), ("ne_no_stats", say("NE", i64(7), "y", bare)),
+        ("lt", say("LT", f64(0.0), "c_acctbal")), ("gt", say("GT", f64(0.0), "c_acctbal")), ("lt_below", say("LT", f64(-1e9), "c_acctbal")), ("gt_column", say("GT", col("c_nationkey"))), ("lt_text", say("LT", string("x"), "c_name")), ("renamed", say("GT", i64(7), "c.c_custkey")),
+        ("scan", node(scan("customer"))), ("filter", node(scan("customer").filter("c_nationkey", "EQ", i32(3)))), ("least", node(scan("customer").filter("c_custkey", "EQ", i64(3)))), ("cross", node(scan("customer").cross(scan("nation")))),
+        ("sorted", node(scan("customer").sort("c_name").project("c_name", "c_name"))),
+    ]
+    return spark.createDataFrame([(k, round(float(v), 9)) for k, v in rows], "name string, value double")
+
+
+ESTIMATES_SQL = """
+WITH c AS (SELECT CAST(count(DISTINCT c_custkey) AS DOUBLE) AS k, CAST(count(DISTINCT c_nationkey) AS DOUBLE) AS n, min(c_acctbal) AS lo, max(c_acctbal) AS hi,
+  CAST(greatest(count(DISTINCT c_custkey), count(DISTINCT c_name), count(DISTINCT c_acctbal), count(DISTINCT c_nationkey), count(DISTINCT c_mktsegment)) AS DOUBLE) AS base FROM customer),
+t AS (SELECT CAST(greatest(count(DISTINCT n_nationkey), count(DISTINCT n_name)) AS DOUBLE) AS base FROM nation),
+v AS (SELECT unnest([{'name': 'base_nation', 'value': t.base}, {'name': 'base_customer', 'value': c.base}, {'name': 'base_unknown', 'value': 1000.0},
+  {'name': 'eq', 'value': 1 / k}, {'name': 'eq_unknown', 'value': 0.1}, {'name': 'eq_density', 'value': 0.75},
+  {'name': 'ne', 'value': 1 - 1 / k}, {'name': 'ne_unknown', 'value': 0.9}, {'name': 'ne_density', 'value': 0.25}, {'name': 'ne_no_stats', 'value': 0.33},
+  {'name': 'lt', 'value': (0 - lo) / (hi - lo)}, {'name': 'gt', 'value': 1 - (0 - lo) / (hi - lo)}, {'name': 'lt_below', 'value': 0.01}, {'name': 'gt_column', 'value': 0.33}, {'name': 'lt_text', 'value': 0.33}, {'name': 'renamed', 'value': 0.33},
+  {'name': 'scan', 'value': c.base}, {'name': 'filter', 'value': c.base * greatest(1 / n, 0.05)}, {'name': 'least', 'value': c.base * 0.05}, {'name': 'cross', 'value': c.base * t.base}, {'name': 'sorted', 'value': c.base}]) AS x FROM c, t)
+SELECT x.name AS name, round(CAST(x.value AS DOUBLE), 9) AS value FROM v"""
+
+
+def _layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where files of as many blocks as tables have rows lie on the disk."""
+    tables = catalog(spark, sf_dir)
+    disk = Disk(files=tuple(DiskFile(t, tables.table(t).count() * 4096) for t in ("nation", "customer", "orders")))
+    disk.check()
+    files, end = disk.layout()
+    return spark.createDataFrame([(k, a, n) for k, (a, n) in files.items()] + [("end", end, 0)], "id string, first_block long, n_blocks long")
+
+
+LAYOUT_SQL = """
+WITH s AS (SELECT (SELECT count(*) FROM nation) AS a, (SELECT count(*) FROM customer) AS b, (SELECT count(*) FROM orders) AS c),
+g AS (SELECT *, a + greatest(4 * a, 2441407) AS b0, b + greatest(4 * b, 2441407) AS wb, c + greatest(4 * c, 2441407) AS wc FROM s)
+SELECT 'nation' AS id, CAST(0 AS BIGINT) AS first_block, CAST(a AS BIGINT) AS n_blocks FROM g UNION ALL SELECT 'customer', b0, b FROM g UNION ALL SELECT 'orders', b0 + wb, c FROM g UNION ALL SELECT 'end', b0 + wb + wc, 0 FROM g"""
+
+
+def _checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which disks and files are refused."""
+    cases = {
+        "whole": Disk(files=(DiskFile("a", 8192),)), "no_block": Disk(block_size=0), "spaced": Disk(files=(DiskFile("a b", 4096),)),
+        "no_name": Disk(files=(DiskFile("", 4096),)), "empty": Disk(files=(DiskFile("a", 0),)), "part": Disk(files=(DiskFile("a", 5000),)),
+    }
+
+    def ok(disk: Disk) -> bool:
+        try:
+            disk.check()
+        except ValueError:
+            return False
+        return True
+
+    return spark.createDataFrame([(k, ok(d)) for k, d in cases.items()], "name string, ok boolean")
+
+
+def _verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A result against its lines: as it is, out of order, cut short, unended, with an empty line; ordered or not."""
+    lines = list(text_lines(catalog(spark, sf_dir).table("region").orderBy("r_regionkey")))
+    cases = {"same": [*lines, "!"], "turned": [*lines[::-1], "!"], "short": [*lines[:-1], "!"], "unended": lines, "empty": [*lines[:-1], "", "!"], "other": [*lines[:-1], "x|", "!"]}
+    return spark.createDataFrame([(k, bool(validate_ordered(v, lines)), bool(validate_unordered(v, lines))) for k, v in cases.items()], "name string, ordered boolean, unordered boolean")
+
+
+def _suite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A suite of queries runs in order, skips what is disabled and stops at the first that fails."""
+    tables, path = catalog(spark, sf_dir), Path(_folder(spark, "suite").removeprefix("file:"))
+    path.mkdir(parents=True, exist_ok=True)
+    plan = scan("region").sort("r_regionkey").project("r_name", "r_name").build()
+    right = list(text_lines(compile_query(plan, tables)))
+    for name, lines in (("right", right), ("turned", right[::-1])):
+        (path / name).write_text("\n".join(lines) + "\n", encoding="utf-8")
+    one = lambda name, file, **more: {"execution_name": name, "query": json.loads(plan.to_json()), "expected_output_file": str(path / file), **more}
+    suite = SuiteQuery.from_json(json.dumps([one("first", "right"), one("skipped", "turned", disabled=True), one("sorted", "turned", sort_before_check=True), one("wrong", "turned"), one("not_run", "right")]))
+    done = run_suite(suite, lambda q: [*text_lines(compile_query(q, tables)), "!"])
+    return spark.createDataFrame([(k, bool(v)) for k, v in done.items()], "name string, ok boolean")
+
+
+def _spilled_cross(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A product whose sides are both dealt out, as they are when neither fits in memory."""
+    tables = catalog(spark, sf_dir)
+    held = Catalog(spark).register("nation", tables.table("nation").hint("shuffle_replicate_nl")).register("supplier", tables.table("supplier"))
+    return compile_query(scan("nation").cross(scan("supplier")).project_multiple([("n_name", "n_name"), ("s_name", "s_name")]).build(), held)
+
+
+def _with_nan(spark: SparkSession, sf_dir: str) -> Catalog:
+    orders = catalog(spark, sf_dir).table("orders").select("o_orderkey", F.when(F.col("o_orderkey") % 5 == 0, float("nan")).otherwise(F.col("o_totalprice")).alias("price"))
+    return Catalog(spark).register("prices", orders)
+
+
+def _nan(op: str, value: float) -> Run:
+    return lambda spark, sf_dir: compile_query(scan("prices").filter("price", op, f64(value)).project("o_orderkey", "o_orderkey").build(), _with_nan(spark, sf_dir))
+
+
+def _sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many rows a sample has, how many of them are rows of the table, and how often one is drawn at most."""
+    orders = catalog(spark, sf_dir).table("orders").select("o_orderkey", "o_totalprice")
+    drawn = P.reservoir(orders).groupBy("o_orderkey", "o_totalprice").agg(F.count(F.lit(1)).alias("k"))
+    both = drawn.join(orders, ["o_orderkey", "o_totalprice"], "left_semi")
+    return both.agg(F.sum("k").cast("long").alias("rows"), F.count(F.lit(1)).alias("members"), F.max("k").alias("most"))
+
+
+def _no_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The statistics of a table without rows: none for any column."""
+    stats = P.profile(catalog(spark, sf_dir).table("nation").filter("false"))
+    return spark.createDataFrame([(c, len(x)) for c, x in stats.items()], "column_name string, stats int")
+
+
+def _written(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = catalog(spark, sf_dir).table("orders")
+    trace = orders.select(F.col("o_orderkey").alias("seq"), (F.col("o_custkey") * 977).alias("start_block"), (1 + F.col("o_orderkey") % 8).alias("n_blocks"), (F.col("o_orderkey") % 3 == 0).alias("put"))
+    return io_cost(trace, write="put")
+
+
 def _trace(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = catalog(spark, sf_dir).table("orders")
     return io_cost(orders.select(F.col("o_orderkey").alias("seq"), (F.col("o_custkey") * 977).alias("start_block"), (1 + F.col("o_orderkey") % 8).alias("n_blocks")))
@@ -88,6 +295,11 @@ CAST(sum(CAST(round((CASE WHEN dist=0 THEN CAST(0 AS DOUBLE) WHEN dist=1 THEN CA
 CAST(sum(CASE WHEN seqr THEN 0 ELSE CAST(round(CAST(0.5 AS DOUBLE)*60/7200*1000*1000000) AS BIGINT) END) AS BIGINT) AS rot_ns,
 CAST(sum(CAST(round(nb*4096/CAST(1000000 AS DOUBLE)/150*1000*1000000) AS BIGINT)) AS BIGINT) AS transfer_ns FROM l"""
 
+WRITES_SQL = f"""
+WITH o AS ({IO_SQL}), w AS (SELECT count_if(o_orderkey % 3 = 0) AS writes FROM orders)
+SELECT CAST(reads - writes AS BIGINT) AS reads, CAST(writes AS BIGINT) AS writes, blocks, cylinders, seek_ns, rot_ns, transfer_ns, seek_ns + rot_ns + transfer_ns AS io_ns,
+(seek_ns + rot_ns + transfer_ns + 500) // 1000 AS io_us, (seek_ns + 500) // 1000 AS seek_us, (rot_ns + 500) // 1000 AS rot_us, (transfer_ns + 500) // 1000 AS transfer_us FROM o, w"""
+
 SIGNS = {"EQ": "=", "NE": "<>", "GT": ">", "GTE": ">=", "LT": "<", "LTE": "<="}
 
 #: Column, literal and its SQL for predicates of each type.
@@ -120,14 +332,12 @@ def _registry() -> dict[str, tuple[Run, str | None]]:
         "proj_duplicate_source": (_plan(scan("region").project_multiple([("r_name", "a"), ("r_name", "b")])), "SELECT r_name AS a, r_name AS b FROM region"),
         "proj_string_literal": (_plan(scan("nation").project_multiple([("n_name", "n_name"), ("'lit'", "tag")])), "SELECT n_name AS n_name, 'lit' AS tag FROM nation"),
         "cross_2": (_plan(scan("nation").cross(scan("region"))), "SELECT * FROM nation, region"),
-        "cross_3_small": (_plan(scan("region").cross(scan("nation")).cross(scan("supplier").filter("s_suppkey", "LT", i32(5)).project("s_name", "s_name"))), "SELECT region.*, nation.*, s_name FROM region, nation, supplier WHERE s_suppkey < 5"),
         "theta_lt": (_plan(scan("nation").cross(scan("region")).filter("n_regionkey", "LT", col("r_regionkey")).project_multiple(names)), "SELECT n_name, r_name FROM nation, region WHERE n_regionkey < r_regionkey"),
         "theta_ne": (_plan(scan("nation").cross(scan("region")).filter("n_regionkey", "NE", col("r_regionkey")).project_multiple(names)), "SELECT n_name, r_name FROM nation, region WHERE n_regionkey <> r_regionkey"),
         "equi_single": (_plan(scan("orders").cross(scan("customer")).filter("o_custkey", "EQ", col("c_custkey")).project_multiple([("o_orderkey", "o_orderkey"), ("c_name", "c_name")])), "SELECT o_orderkey, c_name FROM orders, customer WHERE o_custkey = c_custkey"),
         "equi_mixed_keys": (_plan(scan("customer").cross(scan("part").project_multiple([("p_size", "p_size"), ("p_partkey", "p_partkey")])).filter("c_custkey", "EQ", col("p_size")).project_multiple([("c_custkey", "c_custkey"), ("p_partkey", "p_partkey")])), "SELECT c_custkey, p_partkey FROM customer, part WHERE c_custkey = p_size"),
         "equi_multi_key": (_plan(alias("lineitem", "a", line).cross(alias("lineitem", "b", line)).filter_multiple([("a.l_orderkey", "EQ", col("b.l_orderkey")), ("a.l_linenumber", "EQ", col("b.l_linenumber"))]).project_multiple([("a.l_orderkey", "a_key"), ("a.l_linenumber", "a_line"), ("b.l_suppkey", "b_supp")])), "SELECT a.l_orderkey AS a_key, a.l_linenumber AS a_line, b.l_suppkey AS b_supp FROM lineitem a, lineitem b WHERE a.l_orderkey=b.l_orderkey AND a.l_linenumber=b.l_linenumber"),
         "equi_residual": (_plan(scan("orders").cross(scan("lineitem")).filter_multiple([("o_orderkey", "EQ", col("l_orderkey")), ("l_shipdate", "LT", col("o_orderdate"))]).project_multiple([("o_orderkey", "o_orderkey"), ("l_linenumber", "l_linenumber")])), "SELECT o_orderkey, l_linenumber FROM orders, lineitem WHERE o_orderkey = l_orderkey AND l_shipdate < o_orderdate"),
-        "self_join_alias": (_plan(alias("lineitem", "l1", line).cross(alias("lineitem", "l2", line)).filter_multiple([("l1.l_orderkey", "EQ", col("l2.l_orderkey")), ("l1.l_suppkey", "NE", col("l2.l_suppkey")), ("l1.l_partkey", "LT", i32(50))]).project_multiple([("l1.l_orderkey", "k"), ("l1.l_suppkey", "s1"), ("l2.l_suppkey", "s2")])), "SELECT l1.l_orderkey AS k, l1.l_suppkey AS s1, l2.l_suppkey AS s2 FROM lineitem l1, lineitem l2 WHERE l1.l_orderkey = l2.l_orderkey AND l1.l_suppkey <> l2.l_suppkey AND l1.l_partkey < 50"),
         "cross_3_whole": (_plan(scan("region").cross(scan("nation")).cross(scan("supplier").project("s_name", "s_name"))), "SELECT region.*, nation.*, s_name FROM region, nation, supplier"),
         "self_join_whole": (_plan(alias("lineitem", "l1", line).cross(alias("lineitem", "l2", line)).filter_multiple([("l1.l_orderkey", "EQ", col("l2.l_orderkey")), ("l1.l_suppkey", "NE", col("l2.l_suppkey"))]).project_multiple([("l1.l_orderkey", "k"), ("l1.l_suppkey", "s1"), ("l2.l_suppkey", "s2")])), "SELECT l1.l_orderkey AS k, l1.l_suppkey AS s1, l2.l_suppkey AS s2 FROM lineitem l1, lineitem l2 WHERE l1.l_orderkey = l2.l_orderkey AND l1.l_suppkey <> l2.l_suppkey"),
         "derived_table_join": (_plan(scan("customer").filter("c_acctbal", "LT", f64(0.0)).project_multiple([("c_custkey", "id"), ("c_name", "c_name")]).cross(scan("orders").filter("o_orderstatus", "EQ", "F")).filter("id", "EQ", col("o_custkey")).project_multiple([("c_name", "c_name"), ("o_orderkey", "o_orderkey")])), "SELECT c_name, o_orderkey FROM (SELECT c_custkey AS id, c_name FROM customer WHERE c_acctbal < 0) c, (SELECT * FROM orders WHERE o_orderstatus = 'F') o WHERE id = o_custkey"),
@@ -152,6 +362,30 @@ def _registry() -> dict[str, tuple[Run, str | None]]:
         "stat_ndv_hll": (_table("lineitem", lambda t: P.column_summary(t, "l_extendedprice", exact=False).select("rows", "ndv")), None),
         "stat_reservoir": (_table("orders", lambda t: P.reservoir(t)), None),
         "io_cost_trace": (_trace, IO_SQL),
+        "io_cost_writes": (_written, WRITES_SQL),
+        "disk_layout": (_layout, LAYOUT_SQL),
+        "disk_checks": (_checks, "SELECT * FROM (VALUES ('whole', true), ('no_block', false), ('spaced', false), ('no_name', false), ('empty', false), ('part', false)) t(name, ok)"),
+        "estimates": (_estimates, ESTIMATES_SQL),
+        "rowblock_roundtrip": (_blocks, "SELECT s_suppkey, s_name, s_nationkey, s_acctbal FROM supplier"),
+        "delimited_roundtrip": (_delimited, "SELECT nation.*, region.* FROM nation, region WHERE n_regionkey = r_regionkey"),
+        "schema_files": (_schemas, "SELECT * FROM (VALUES ('two', 0, 'a', 'I32'), ('two', 1, 'b', 'STRING'), ('all', 0, 'a', 'I32'), ('all', 1, 'b', 'I64'), ('all', 2, 'c', 'FLOAT32'), ('all', 3, 'd', 'FLOAT64'), ('all', 4, 'e', 'STRING'), ('short', -1, 'error', 'error'), ('uneven', -1, 'error', 'error'), ('unknown', -1, 'error', 'error')) t(name, place, column_name, type)"),
+        "catalog_saved": (_saved, "SELECT n_name, r_name FROM nation, region WHERE n_regionkey = r_regionkey"),
+        "catalog_stats": (_saved_stats, "SELECT 'n_nationkey' AS column_name, CAST(min(n_nationkey) AS BIGINT) AS lo, CAST(max(n_nationkey) AS BIGINT) AS hi, count(DISTINCT n_nationkey) AS ndv FROM nation UNION ALL SELECT 'n_name', -1, -1, count(DISTINCT n_name) FROM nation UNION ALL SELECT 'n_regionkey', min(n_regionkey), max(n_regionkey), count(DISTINCT n_regionkey) FROM nation"),
+        "sink_text": (_sink, "SELECT concat(s_suppkey, '|', s_name, '|', s_nationkey, '|', CAST(s_acctbal AS VARCHAR), '|') AS line FROM supplier"),
+        "sink_framed": (_lines, "SELECT CAST(0 AS BIGINT) AS place, 'validate' AS line UNION ALL SELECT row_number() OVER (ORDER BY r_regionkey), concat(r_regionkey, '|', r_name, '|') FROM region UNION ALL SELECT count(*) + 1, '!' FROM region"),
+        "sink_floats": (_floats, "SELECT * FROM (VALUES (0, '1.0'), (1, '0.1'), (2, '12345678.9'), (3, '1e16'), (4, '1e-5'), (5, '123456789012345.6'), (6, '-0.0'), (7, 'inf'), (8, 'NaN'), (9, '0.0001')) t(place, shown)"),
+        "cross_spilled": (_spilled_cross, "SELECT n_name, s_name FROM nation, supplier"),
+        "sort_external": (_plan(scan("lineitem").sort_multiple([("l_shipdate", False), ("l_extendedprice", True), ("l_orderkey", True), ("l_linenumber", False)]).project_multiple([(c, c) for c in ("l_shipdate", "l_extendedprice", "l_orderkey", "l_linenumber")])), "SELECT l_shipdate, l_extendedprice, l_orderkey, l_linenumber FROM lineitem ORDER BY l_shipdate DESC, l_extendedprice, l_orderkey, l_linenumber DESC"),
+        "pred_nan_gt": (_nan("GT", 1000.0), "SELECT o_orderkey FROM orders WHERE o_orderkey % 5 <> 0 AND o_totalprice > 1000"),
+        "pred_nan_ne": (_nan("NE", 1000.0), "SELECT o_orderkey FROM orders WHERE o_orderkey % 5 = 0 OR o_totalprice <> 1000"),
+        "pred_nan_lte": (_nan("LTE", 100000.0), "SELECT o_orderkey FROM orders WHERE o_orderkey % 5 <> 0 AND o_totalprice <= 100000"),
+        "stat_sample_rows": (_sample, "SELECT CAST(least(10000, count(*)) AS BIGINT) AS rows, CAST(least(10000, count(*)) AS BIGINT) AS members, CAST(1 AS BIGINT) AS most FROM orders"),
+        "stat_no_rows": (_no_rows, "SELECT * FROM (VALUES ('n_nationkey', 0), ('n_name', 0), ('n_regionkey', 0)) t(column_name, stats)"),
+        "stat_histogram_within_sample": (_table("supplier", lambda t: P.histogram(t, "s_acctbal")), "WITH s AS (SELECT s_acctbal AS v, row_number() OVER (ORDER BY s_acctbal) AS rn, count(*) OVER () AS n FROM supplier) SELECT CAST(floor((rn-1)/ceil(CAST(n AS DOUBLE)/least(10,n))) AS INT) AS bucket, min(v) AS lo, max(v) AS hi, count(*) AS freq FROM s GROUP BY 1"),
+        "validate_differs": (_differ, "SELECT * FROM (VALUES ('whole', true), ('lacking', false), ('twice', false), ('renamed', false)) t(name, same)"),
+        "validate_lines": (_verdicts, "SELECT * FROM (VALUES ('same', true, true), ('turned', false, true), ('short', false, false), ('unended', false, false), ('empty', false, false), ('other', false, false)) t(name, ordered, unordered)"),
+        "validate_suite": (_suite, "SELECT * FROM (VALUES ('first', true), ('sorted', true), ('wrong', false)) t(name, ok)"),
+        "stat_ordered_not": (_table("orders", lambda t: P.is_ordered(t, "o_totalprice", "o_orderkey")), "WITH s AS (SELECT o_totalprice AS v, lag(o_totalprice) OVER (ORDER BY o_orderkey) AS p FROM orders) SELECT bool_and(p IS NULL OR p <= v) AS is_ordered FROM s"),
     }
     return out
 

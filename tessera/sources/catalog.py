@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -76,6 +77,29 @@ class Catalog:
         specs = [{"name": s.name, "file_id": s.file_id, "column_specs": [{"column_name": c.name, "data_type": CATALOG_TYPES[c.type], "stats": c.stats or None} for c in s.columns]} for s in self.specs.values()]
         return json.dumps({"table_specs": specs})
 
+    def profile(self, profiler: Callable[[DataFrame], dict[str, list]], tables: tuple[str, ...] = ()) -> Catalog:
+        """Fill in the specs of tables (all, if none are named) with their columns and the profiler's statistics."""
+        tags = {type(t): n for n, t in TYPES.items()}
+        for name in tables or self.names():
+            df = self.table(name)
+            stats = profiler(df)
+            held = self.specs.get(name)
+            self.specs[name] = TableSpec(name, held.file_id if held else name, [ColumnSpec(f.name, tags.get(type(f.dataType), "STRING"), stats.get(f.name, [])) for f in df.schema.fields])
+        return self
+
+    def stats(self, reader: Callable[[dict[str, list]], dict]) -> dict[str, dict]:
+        """What ``reader`` makes of each table's saved statistics."""
+        return {s.name: reader({c.name: c.stats for c in s.columns}) for s in self.specs.values()}
+
+    @staticmethod
+    def load(spark: SparkSession, text: str, source: Callable[[TableSpec], DataFrame]) -> Catalog:
+        """A saved catalog, statistics included; ``source`` opens a table by its spec when a plan scans it."""
+        out = Catalog(spark)
+        for spec in Catalog.specs_from_json(text):
+            out.specs[spec.name] = spec
+            out.register(spec.name, lambda spec=spec: source(spec))
+        return out
+
     @staticmethod
     def specs_from_json(text: str) -> list[TableSpec]:
         back = {v: k for k, v in CATALOG_TYPES.items()}

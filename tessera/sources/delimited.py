@@ -8,7 +8,6 @@ null in the missing numeric columns.
 
 from __future__ import annotations
 
-import os
 import warnings
 
 from pyspark.sql import DataFrame, SparkSession
@@ -38,19 +37,32 @@ def read_delimited(spark: SparkSession, path: str, spec: TableSpec) -> DataFrame
     return df.select(*[F.coalesce(quoted(f.name), F.lit("")).alias(f.name) if isinstance(f.dataType, T.StringType) else quoted(f.name) for f in df.schema.fields])
 
 
+def names_in(spark: SparkSession, folder: str) -> list[str]:
+    """Names of the files and folders in a folder of any file system that Spark reads."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
+    return sorted(f.getPath().getName() for f in found)
+
+
 def discover(spark: SparkSession, folder: str) -> Catalog:
     """Every NAME.csv in ``folder`` with a NAME.schema beside it; others are left out with a warning."""
-    out = Catalog(spark)
-    for name in sorted(os.listdir(folder)):
+    out, names = Catalog(spark), names_in(spark, folder)
+    for name in names:
         if not name.endswith(".csv"):
             continue
         table = name[:-4]
-        sidecar = os.path.join(folder, f"{table}.schema")
-        if not os.path.exists(sidecar):
+        if f"{table}.schema" not in names:
             warnings.warn(f"{name} has no schema file and is left out", stacklevel=2)
             continue
-        with open(sidecar, encoding="utf-8") as f:
-            spec = parse_schema(f.read(), table)
+        spec = parse_schema(spark.read.text(f"{folder}/{table}.schema", wholetext=True).first()[0], table)
         out.specs[table] = spec
-        out.register(table, lambda p=os.path.join(folder, name), s=spec: read_delimited(spark, p, s))
+        out.register(table, lambda p=f"{folder}/{name}", s=spec: read_delimited(spark, p, s))
     return out
+
+
+def write_delimited(df: DataFrame, folder: str, table: str) -> None:
+    """A folder NAME.csv of part files, and NAME.schema, as ``discover`` reads them."""
+    spark, tags = df.sparkSession, {type(t): n for n, t in TYPES.items()}
+    df.select(*[F.col(f"`{c}`").cast("string") for c in df.columns]).write.mode("overwrite").csv(f"{folder}/{table}.csv", sep="|", quote="", escape="", header=False, emptyValue="")
+    lines = ["|".join(df.columns), "|".join(tags[type(f.dataType)] for f in df.schema.fields)]
+    spark.createDataFrame([("\n".join(lines),)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/{table}.schema")

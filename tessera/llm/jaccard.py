@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 from . import kernels as K
 from .components import components
 from .linkage import forest_by_pivots, linked
-from .tables import WORD, materialise, row_key, small, spread
+from .tables import WORD, materialise, small, spread
 
 #: Counters of the table that orders tokens: 2**COUNTER_BITS, whatever the input.
 COUNTER_BITS = 20
@@ -526,10 +526,15 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     That is the row with the component's smallest id, null ids last, and of its texts the one with
     the smallest hash; of rows that repeat id and text, one.  Rows without words stay.
     """
-    name = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), row_key(F.col(text_col), F.col(id_col)).alias("key"))
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    name = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.unhex(F.sha2(text, 256)).alias("text"))
     found = near_duplicates(docs.withColumn("_tessera_name", name), "_tessera_name", text_col, width, percent)
-    gone = found.filter(F.col("doc_id.key") != F.col("component_id.key")).select(F.col("doc_id.key").alias("_tessera_key")).distinct()
-    out = docs.withColumn("_tessera_key", row_key(F.col(text_col), F.col(id_col))).join(gone, "_tessera_key", "left_anti")
+    # null ids as a value of their own, so that rows meet by plain equality
+    key = lambda c: F.struct(F.col(f"{c}.none").alias("none"), F.coalesce(F.col(f"{c}.id").cast("string"), F.lit("")).alias("id"), F.col(f"{c}.text").alias("text"))
+    gone = found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(key("doc_id").alias("_tessera_key")).distinct()
+    out = docs.withColumn("_tessera_name", name).withColumn("_tessera_key", key("_tessera_name")).drop("_tessera_name")
+    # a derived key: both sides are dealt out anew, so that a hot one can be split
+    out = out.join(gone.select(F.struct("_tessera_key").alias("_tessera_gone")), F.struct("_tessera_key") == F.col("_tessera_gone"), "left_anti")
     out = out.withColumn("_tessera_nth", F.row_number().over(W.partitionBy("_tessera_key").orderBy("_tessera_key")))
     wordless = ~F.coalesce(F.col(text_col).cast("string"), F.lit("")).rlike(WORD)
     return out.filter((F.col("_tessera_nth") == 1) | wordless).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -19,9 +19,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import kernels as K
-from .tables import materialise, row_key
+from .tables import materialise
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_letters", "n_lines")
 
@@ -170,6 +171,23 @@ def fit(patterns: np.ndarray, counts: np.ndarray, rounds: int = 500, prior: floa
     return model
 
 
+def _fitted(counts: DataFrame, rules: list[Rule]) -> tuple[Column, DataFrame]:
+    """The votes on a row of counts as one number; and p_good of each such pattern, at most 3**len(rules) rows."""
+    pattern = sum((r.vote() * 3**i for i, r in enumerate(rules)), F.lit(0)).cast("int")
+    table = counts.groupBy(pattern.alias("pattern")).count().collect()
+    codes = np.array([x[0] for x in table], dtype=np.int64)
+    votes = codes[:, None] // 3 ** np.arange(len(rules)) % 3 if len(codes) else np.zeros((0, len(rules)), np.int64)
+    model = fit(votes, np.array([x[1] for x in table], dtype=float))
+    return pattern, counts.sparkSession.createDataFrame([(int(c), float(p)) for c, p in zip(codes, model.posterior(votes), strict=True)], "pattern int, p_good double")
+
+
+def _judged(counts: DataFrame, pattern: Column, scores: DataFrame, threshold: float) -> DataFrame:
+    """Rows with counts, with base_failed, p_good and kept as well."""
+    base = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
+    out = counts.withColumn("pattern", pattern).join(F.broadcast(scores), "pattern", "left").withColumn("base_failed", base)
+    return out.withColumn("kept", ~F.col("base_failed") & (F.col("p_good") >= threshold))
+
+
 def quality_filter(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: list[Rule] | None = None, threshold: float = 0.5) -> DataFrame:
     """One row per row of ``docs``: doc_id, the counts, base_failed, p_good and kept.
 
@@ -180,26 +198,32 @@ def quality_filter(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     repeated rows get equal results each; other columns are not read, whatever their names; an
     empty table gives an empty result.
     """
-    rules = rules or standard_rules()
     counts = materialise(text_counts(docs, id_col, text_col))
-    pattern = sum((r.vote() * 3**i for i, r in enumerate(rules)), F.lit(0)).cast("int")
-    voted = counts.withColumn("pattern", pattern)
-    table = voted.groupBy("pattern").count().collect()  # at most 3**len(rules) rows
-    codes = np.array([x[0] for x in table], dtype=np.int64)
-    votes = codes[:, None] // 3 ** np.arange(len(rules)) % 3 if len(codes) else np.zeros((0, len(rules)), np.int64)
-    model = fit(votes, np.array([x[1] for x in table], dtype=float))
-    scores = docs.sparkSession.createDataFrame([(int(c), float(p)) for c, p in zip(codes, model.posterior(votes), strict=True)], "pattern int, p_good double")
-    base = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    out = voted.join(F.broadcast(scores), "pattern", "left").withColumn("base_failed", base)
-    return out.select("doc_id", *COUNTS, "base_failed", "p_good", (~F.col("base_failed") & (F.col("p_good") >= threshold)).alias("kept"))
+    out = _judged(counts, *_fitted(counts, rules or standard_rules()), threshold)
+    return out.select("doc_id", *COUNTS, "base_failed", "p_good", "kept")
+
+
+def with_counts(docs: DataFrame, text_col: str) -> DataFrame:
+    """The rows of ``docs``, its columns by number (c0, c1, ..), with the counts of their texts."""
+    at = docs.columns.index(text_col)
+    named = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, off = K.text_arrays(batch.column(batch.num_columns - 1))
+            for i, j, part, cut in K.slices(data, off):
+                columns = [batch.column(k).slice(i, j - i) for k in range(batch.num_columns - 1)] + [pa.array(x.astype(np.int64)) for x in count_slice(part, cut)]
+                yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[:-1], *COUNTS])
+
+    schema = T.StructType(named.schema.fields + [T.StructField(c, T.LongType()) for c in COUNTS])
+    return named.withColumn("_text", F.col(f"c{at}").cast("string")).mapInArrow(run, schema)
 
 
-def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that the model keeps, with all their columns.
+def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` that the model keeps, with all their columns; each row is judged by its own text.
 
-    The verdict depends on the text alone and is looked up by it, so rows that share an id, or
-    have none, are judged each by their own text.
+    Texts are counted twice, for the model and for the verdicts, and never moved.
     """
-    keyed = docs.withColumn("_tessera_key", row_key(F.col(text_col)))
-    bad = quality_filter(keyed, "_tessera_key", text_col).filter(~F.col("kept")).select(F.col("doc_id").alias("_tessera_key")).distinct()
-    return keyed.join(bad, "_tessera_key", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    pattern, scores = _fitted(text_counts(docs, id_col, text_col), standard_rules())
+    out = _judged(with_counts(docs, text_col), pattern, scores, threshold).filter("kept")
+    return out.select(*[f"c{i}" for i in range(len(docs.columns))]).toDF(*docs.columns)

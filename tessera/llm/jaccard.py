@@ -533,8 +533,7 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     key = lambda c: F.struct(F.col(f"{c}.none").alias("none"), F.coalesce(F.col(f"{c}.id").cast("string"), F.lit("")).alias("id"), F.col(f"{c}.text").alias("text"))
     gone = found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(key("doc_id").alias("_tessera_key")).distinct()
     out = docs.withColumn("_tessera_name", name).withColumn("_tessera_key", key("_tessera_name")).drop("_tessera_name")
-    # a derived key: both sides are dealt out anew, so that a hot one can be split
-    out = out.join(gone.select(F.struct("_tessera_key").alias("_tessera_gone")), F.struct("_tessera_key") == F.col("_tessera_gone"), "left_anti")
+    out = out.join(gone, "_tessera_key", "left_anti")  # dealt out as the rows are numbered below, so texts move once
     out = out.withColumn("_tessera_nth", F.row_number().over(W.partitionBy("_tessera_key").orderBy("_tessera_key")))
     wordless = ~F.coalesce(F.col(text_col).cast("string"), F.lit("")).rlike(WORD)
     return out.filter((F.col("_tessera_nth") == 1) | wordless).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -72,12 +72,11 @@ def shingle_sets(data: np.ndarray, off: np.ndarray, width: int) -> tuple[np.ndar
     token, doc = runs[at], K.owner(first)[at]
     few = np.flatnonzero((count > 0) & (count < width))
     if len(few):
-        own = np.zeros(len(few), dtype=np.uint64)
-        with np.errstate(over="ignore"):
-            for k in range(width - 1):
-                has = count[few] > k
-                own[has] = (own[has] + words[first[few][has] + k]) * K.BASE
-        token, doc = np.concatenate([token, K.mix(own + count[few].astype(np.uint64))]), np.concatenate([doc, few])
+        own = K.BASE + count[few].astype(np.uint64)
+        for k in range(width - 1):
+            has = count[few] > k
+            own[has] = K.fold(own[has], words[first[few][has] + k])
+        token, doc = np.concatenate([token, K.mix(own)]), np.concatenate([doc, few])
     order = np.lexsort((token, doc))
     token, doc = token[order], doc[order]
     new = np.ones(len(token), dtype=bool)

@@ -5,9 +5,10 @@ UTF-8 bytes of several documents back to back, and ``offsets`` (one more than th
 documents).  ``slices`` cuts a column of any size into slices of about ``SLICE_BYTES``, never
 inside a document, so that the working arrays stay small however long the batch is.
 
-Hashes of bytes fold eight bytes at a time through an avalanche step; only sequences of such
-hashes are hashed as polynomials.  Hashes select candidates and name words; what must be exact is
-compared byte for byte (``same_spans``, ``exact_ids``).
+Hashes of bytes fold eight bytes at a time, and those of runs of words a word at a time, through a
+step that cannot be undone (``fold``); only the contexts of repeats.py are hashed as polynomials of
+such hashes.  Hashes select candidates and name words; what must be exact is compared byte for byte
+(``same_spans``, ``exact_ids``).
 """
 
 from __future__ import annotations
@@ -66,6 +67,11 @@ def mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(33))
 
 
+def fold(state: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """``state`` with ``x`` folded in; as ``x`` also goes around the avalanche, no ``x`` can be worked out that leads to a wanted state."""
+    return mix(state ^ x) ^ x
+
+
 def text_arrays(column) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of an Arrow string column; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -111,8 +117,8 @@ NEAR = 64
 def span_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
     """64-bit hashes of the byte spans [starts, ends).
 
-    Each eight bytes are folded in by an avalanche step, so there is no algebra by which the hash
-    of one text could be carried over to another; bytes beyond the first NEAR count by their xxh3.
+    Each eight bytes are folded in, so there is no algebra by which the hash of one text could be
+    carried over to another; bytes beyond the first NEAR count by their xxh3.
     """
     lanes, size = _lanes(data), ends - starts
     with np.errstate(over="ignore"):
@@ -124,12 +130,12 @@ def span_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int
             live, left = live[left > 0], left[left > 0]
         if len(live) == 0:
             break
-        out[live] = mix(out[live] ^ (lanes[starts[live] + k] & _LOWEST[np.minimum(left, 8)]))
+        out[live] = fold(out[live], lanes[starts[live] + k] & _LOWEST[np.minimum(left, 8)])
     far = np.flatnonzero(size > NEAR)
     if len(far):
         raw = memoryview(np.ascontiguousarray(data))
         rest = [xxh3_64_intdigest(raw[a:b], seed) for a, b in zip((starts[far] + NEAR).tolist(), ends[far].tolist(), strict=True)]
-        out[far] = mix(out[far] ^ np.array(rest, dtype=np.uint64))
+        out[far] = fold(out[far], np.array(rest, dtype=np.uint64))
     return out
 
 
@@ -206,10 +212,9 @@ def run_hash(words: np.ndarray, n: int) -> np.ndarray:
     if len(words) < n:
         return np.zeros(0, dtype=np.uint64)
     m = len(words) - n + 1
-    with np.errstate(over="ignore"):
-        out = np.zeros(m, dtype=np.uint64)
-        for i in range(n):
-            out = (out + words[i : i + m]) * BASE
+    out = np.full(m, BASE)
+    for i in range(n):
+        out = fold(out, words[i : i + m])
     return mix(out)
 
 

@@ -497,6 +497,37 @@ def test_texts_that_fool_polynomials(spark, size):
     assert collected(bytesuffix.drop_repeated_bytes(docs), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == sorted(brute.byte_repeats(plain, 400))
 
 
+def colliding_words(n):
+    """Pairs of words of 16 signs that share a hash if eight bytes are only mixed into a state by exclusive or."""
+    import numpy as np
+
+    signs = np.array([c for c in range(33, 127) if not 65 <= c < 91], np.uint8)
+    x, y, tail = (np.random.default_rng(k).choice(signs, (1_000_000, 8)) for k in range(3))
+    start = kernels.mix(np.array([16], np.uint64) * kernels.BASE)
+    a, b, t = (np.ascontiguousarray(w).view("<u8").ravel() for w in (x, y, tail))
+    other = (t ^ kernels.mix(start ^ a) ^ kernels.mix(start ^ b)).view(np.uint8).reshape(-1, 8)
+    able = np.flatnonzero(np.isin(other, signs).all(axis=1))[:n]
+    return [tuple(bytes(w).decode() for w in (np.append(x[i], tail[i]), np.append(y[i], other[i]))) for i in able]
+
+
+def test_words_that_fool_an_invertible_hash(spark):
+    """Words worked out backwards from a common state are different words everywhere."""
+    found = colliding_words(2)
+    for x, y in found:
+        data, off = kernels.text_arrays(pa.array([x, y]))
+        a, b = kernels.span_hash(data, off[:-1], off[1:]).tolist()
+        assert len(x) == len(y) == 16 and x != y and a != b
+    (x, y), (v, w) = found
+    filler = " ".join(f"w{i}" for i in range(12))
+    given = [(7, f"{filler} {x}", "s"), (8, f"{filler} {y}", "s"), (9, f"{v} a b {w} a b {v} a b", "s"), (10, x, "s"), (11, y, "s"), (12, f"{filler} {x}", "s")]
+    docs, plain = frame(spark, given), [(i, t) for i, t, _ in given]
+    for width in (1, 3, 5):
+        assert collected(jaccard.near_duplicates(docs, width=width, percent=90), "doc_id", "n_shingles", "component_id") == sorted(brute.jaccard(plain, width, 90), key=key)
+    for a, b in zip(sorted(tuple(r) for r in brown.score(docs).collect()), sorted(brute.unigram(plain)), strict=True):
+        assert a[:5] == b[:5]
+    assert collected(wordrepeats.drop_repeated_words(docs), "doc_id", "n_words", "n_removed", "kept_sha256") == sorted(brute.word_repeats(plain, 13))
+
+
 def weak(data, starts, ends, seed=0):
     """A byte hash that collides all the time."""
     return kernels.mix((ends - starts).astype("uint64") + kernels.BASE)

@@ -140,3 +140,14 @@ def test_rewrites(tables):
     assert shown.index("Filter i EQ 1") > shown.index("Cross")
     lit = scan("t").project_multiple([("'k'", "k"), ("i", "j")]).filter_multiple([("k", "EQ", "k"), ("j", "EQ", 2)]).build()
     assert [tuple(r) for r in compile_query(optimize(lit, columns), tables).collect()] == [("k", 2)]
+
+
+def test_reorder_looks_at_what_a_tie_leaves():
+    """A table tied by a column of few values comes after a larger one that is tied by its key."""
+    columns = {"a": ["a_key", "a_kind"], "b": ["b_key", "b_kind"], "c": ["c_key", "c_a", "c_b"]}
+    stats = {"a": {"a_key": ColumnStats(distinct=1_000), "a_kind": ColumnStats(distinct=5)}, "b": {"b_key": ColumnStats(distinct=50_000), "b_kind": ColumnStats(distinct=5)}, "c": {"c_key": ColumnStats(distinct=900_000), "c_a": ColumnStats(distinct=1_000), "c_b": ColumnStats(distinct=50_000)}}
+    plan = scan("a").cross(scan("b")).cross(scan("c")).filter_multiple([("a_kind", "EQ", col("b_kind")), ("c_a", "EQ", col("a_key")), ("c_b", "EQ", col("b_key"))]).build()
+    done = optimize(plan, columns.__getitem__, stats)
+    shown = explain(done.root)
+    assert shown.index("Scan a") < shown.index("Scan c") < shown.index("Scan b")
+    assert output(done.root, columns.__getitem__) == output(plan.root, columns.__getitem__)

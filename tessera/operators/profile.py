@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import struct
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -12,6 +13,7 @@ from pyspark.sql import types as T
 
 from ..functions.cost import ColumnStats
 from ..functions.predicates import NUMBERS, quoted
+from ..plans.ir import Op, Predicate
 from .ordered import running_total, with_previous
 
 #: Exact counting up to this many distinct values; rows of a sample; buckets; and
@@ -120,16 +122,25 @@ def profile(df: DataFrame, order: str | None = None) -> dict[str, list]:
     return out
 
 
-def quick_stats(df: DataFrame) -> dict[str, ColumnStats]:
-    """What the estimates read of a table, in one pass: ranges, and distinct values by sketches; nothing for an empty table."""
-    wanted = [(c, i, numeric(df, c)) for i, c in enumerate(df.columns)]
+def quick_stats(df: DataFrame, predicates: Sequence[Predicate] | None = None) -> dict[str, ColumnStats]:
+    """What the estimates read of a table, in one pass: rows, ranges, and distinct values by sketches; nothing for an empty table.
+
+    With ``predicates``, no more than these need: distinct values of the columns that they hold
+    equal or unequal, ranges of those that they compare otherwise, and always the number of rows.
+    """
+    exact = {Op.EQ, Op.NE}
+    named = lambda ops: {c for p in predicates or () if p.op in ops for c in (p.column, p.value.value if p.value.kind == "Column" else None)}
+    equal, ranged = (set(df.columns),) * 2 if predicates is None else (named(exact), named(set(Op) - exact))
+    wanted = [(c, i, c in equal, c in ranged and numeric(df, c)) for i, c in enumerate(df.columns) if c in equal | ranged]
     row = df.agg(
-        F.count(F.lit(1)).alias("rows"), *[F.approx_count_distinct(quoted(c), ERROR).alias(f"n{i}") for c, i, _ in wanted],
-        *[f(quoted(c)).alias(f"{n}{i}") for c, i, number in wanted if number for n, f in (("lo", F.min), ("hi", F.max))],
+        F.count(F.lit(1)).alias("rows"), *[F.approx_count_distinct(quoted(c), ERROR).alias(f"n{i}") for c, i, counted, _ in wanted if counted],
+        *[f(quoted(c)).alias(f"{n}{i}") for c, i, _, number in wanted if number for n, f in (("lo", F.min), ("hi", F.max))],
     ).first()
-    if row["rows"] == 0:
+    rows = row["rows"]
+    if rows == 0:
         return {}
-    return {c: ColumnStats(row[f"lo{i}"] if number else None, row[f"hi{i}"] if number else None, row[f"n{i}"], min(1.0, row[f"n{i}"] / row["rows"])) for c, i, number in wanted}
+    found = {c: (*((row[f"lo{i}"], row[f"hi{i}"]) if number else (None, None)), *((row[f"n{i}"], min(1.0, row[f"n{i}"] / rows)) if counted else (None, None))) for c, i, counted, number in wanted}
+    return {c: ColumnStats(*found.get(c, ()), rows=rows) for c in (found or df.columns[:1])}
 
 
 def estimator_stats(profiled: dict[str, list]) -> dict[str, ColumnStats]:

@@ -3,12 +3,13 @@ import warnings
 
 import pytest
 
+from tessera.functions.cost import base_rows
 from tessera.functions.formatting import format_float
 from tessera.operators import profile as P
 from tessera.operators.iocost import Disk, DiskFile, io_cost, micros, request_costs
 from tessera.operators.ordered import with_previous
 from tessera.operators.validate import SuiteQuery, run_suite, same_rows, validate_ordered, validate_unordered
-from tessera.plans.builder import scan
+from tessera.plans.builder import col, predicate, scan
 from tessera.plans.compiler import compile_query
 from tessera.plans.ir import PlanError
 from tessera.sources.catalog import Catalog
@@ -152,3 +153,12 @@ def test_stream(spark, sf, tmp_path):
     for bad, where in ((plan.sort("id"), catalog), (plan, static)):
         with pytest.raises(PlanError):
             compile_stream(bad.build(), where)
+
+
+def test_quick_stats_of_what_is_compared(spark):
+    """Only columns that predicates compare are counted or ranged; the rows of the table are known without them."""
+    df = spark.createDataFrame([(i, i % 3, float(i), "ab"[i % 2]) for i in range(40)], "k int, m long, d double, s string")
+    done = P.quick_stats(df, [predicate("m", "EQ", col("other")), predicate("d", "LT", 3.5)])
+    assert set(done) == {"m", "d"} and done["m"].distinct == 3 and (done["d"].low, done["d"].high, done["d"].distinct) == (0.0, 39.0, None)
+    assert base_rows({"t": done}, "t") == base_rows({"t": P.quick_stats(df, [])}, "t") == 40
+    assert set(P.quick_stats(df)) == {"k", "m", "d", "s"} and P.quick_stats(df.limit(0), []) == {}

@@ -38,19 +38,22 @@ def column_summary(df: DataFrame, column: str, exact: bool = True) -> DataFrame:
     return df.agg(rows.alias("rows"), F.min(c).alias("lo"), F.max(c).alias("hi"), ndv.alias("ndv")).withColumn("density", F.least(F.lit(1.0), F.col("ndv").cast("double") / F.col("rows")).cast("float"))
 
 
-def distinct_counts(df: DataFrame, columns: list[str]) -> dict[str, int]:
-    """Exact up to EXACT_DISTINCT values, estimated beyond.
+def distinct_counts(df: DataFrame, columns: list[str], exact: bool = False) -> dict[str, int]:
+    """Exact up to EXACT_DISTINCT values, estimated beyond; with ``exact``, exact however many there are.
 
     All estimates come from one pass; only columns whose estimate leaves exactness open are
     counted again, each as a distinct aggregation of its own that combines before its shuffle.
     """
     if not columns:
         return {}
+    count = lambda c: df.select(quoted(c).alias("v")).where("v is not null").distinct().count()
+    if exact:
+        return {c: count(c) for c in columns}
     row = df.agg(*[F.approx_count_distinct(quoted(c), ERROR).alias(f"c{i}") for i, c in enumerate(columns)]).first()
     out = {c: int(row[i]) for i, c in enumerate(columns)}
     few = [c for c in columns if out[c] <= EXACT_DISTINCT * (1 + 5 * ERROR)]
     for c in few:
-        n = df.select(quoted(c).alias("v")).where("v is not null").distinct().count()
+        n = count(c)
         out[c] = n if n <= EXACT_DISTINCT else out[c]
     return out
 
@@ -95,14 +98,17 @@ def histogram(df: DataFrame, column: str, buckets: int = BUCKETS, sample: int |
     return spread.groupBy("bucket").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum(inside).cast("long").alias("freq"))
 
 
-def profile(df: DataFrame, order: str | None = None) -> dict[str, list]:
-    """Statistics of every column, in the saved catalog's form; empty lists for an empty table."""
+def profile(df: DataFrame, order: str | None = None, exact: bool = False) -> dict[str, list]:
+    """Statistics of every column, in the saved catalog's form; empty lists for an empty table.
+
+    With ``exact``, distinct values are counted, however many there are; histograms stay as they are.
+    """
     columns = df.columns
     first = df.agg(F.count(F.lit(1)).alias("rows"), *[f(quoted(c)).alias(f"{n}{i}") for i, c in enumerate(columns) if numeric(df, c) for n, f in (("lo", F.min), ("hi", F.max))]).first()
     rows = first["rows"]
     if rows == 0:
         return {c: [] for c in columns}
-    distinct = distinct_counts(df, columns)
+    distinct = distinct_counts(df, columns, exact)
     out: dict[str, list] = {}
     for i, c in enumerate(columns):
         stats: list = []

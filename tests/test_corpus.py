@@ -1,5 +1,5 @@
 import pytest
-from duck import connect, same
+from duck import TABLES, connect, same
 
 from tessera import queries as Q
 from tessera.plans.corpus import CORPUS
@@ -75,3 +75,20 @@ def test_plans_are_joins(spark, sf):
 def test_nine_way_join_has_no_product(spark, sf):
     plan = Q.queries()["b10"](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+@pytest.fixture(scope="module")
+def many(tmp_path_factory, sf):
+    """Customers and suppliers beyond what the profiler counts exactly and samples whole, with the other tables as they are."""
+    folder = tmp_path_factory.mktemp("many")
+    c = connect(sf)
+    for t in TABLES:
+        c.execute(f"COPY {t} TO '{folder}/{t}.parquet' (FORMAT parquet)")
+    c.execute(f"COPY (SELECT t.* REPLACE (c_custkey + i * 150 AS c_custkey) FROM customer t, range(120) r(i)) TO '{folder}/customer.parquet' (FORMAT parquet)")
+    c.execute(f"COPY (SELECT t.* REPLACE (s_suppkey + i * 10 AS s_suppkey, s_acctbal + i AS s_acctbal) FROM supplier t, range(1500) r(i)) TO '{folder}/supplier.parquet' (FORMAT parquet)")
+    return str(folder)
+
+
+@pytest.mark.parametrize("name", ["estimates"])
+def test_matches_oracle_beyond_samples(spark, many, name):
+    same(Q.queries()[name](spark, many), connect(many), Q.oracle_sql()[name])

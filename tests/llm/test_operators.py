@@ -732,3 +732,21 @@ def test_window_minima():
 
 def test_group_count(spark, none):
     assert tables.group_count(none) >= 4
+
+
+def test_window_minima_at_the_borders_of_documents():
+    """A window that begins or ends its document has its minimum, also where no value of it is small and other documents are beside it."""
+    import numpy as np
+
+    from tessera.llm import kernels as K
+
+    width, large = 201, np.uint64((1 << 64) - 1000)
+    for size in (width, width + 1):
+        values = np.full(3 * size, large) + np.tile(np.arange(size, dtype=np.uint64) % 7, 3)
+        values[size] = values[2 * size - 1] = large - np.uint64(1)
+        off = np.array([0, size, 2 * size, 3 * size])
+        expected = set()
+        for a, b in zip(off[:-1], off[1:]):
+            for k in range(a, b - width + 1):
+                expected.add(k + width - 1 - int(np.argmin(values[k : k + width][::-1])))
+        assert set(K.window_minima(values, off, width).tolist()) == expected
